@@ -152,3 +152,30 @@ def build(df: DataFrame, shards: int, arrays, uri: str, extra: str = "") -> tupl
 
     rows = df.repartition(shards, "shard").mapInArrow(write, "shard int, n long, stats string").collect()
     return Store(uri, {r.shard: r.n for r in rows}), [json.loads(r.stats) for r in rows]
+
+
+#: Rows that carry numbers between tasks by the thousand: each holds what one batch has for one shard.
+BLOCKS = "shard int, n int, block binary"
+
+
+def blocks(shard: np.ndarray, *cols: np.ndarray):
+    """Record batches with one row for each shard: its values of all columns, one column after the other."""
+    import pyarrow as pa
+
+    order = np.argsort(shard, kind="stable")
+    ids, starts = np.unique(shard[order], return_index=True)
+    ends = np.append(starts, len(order))[1:]
+    cols = [c[order] for c in cols]
+    data = [b"".join(c[a:b].tobytes() for c in cols) for a, b in zip(starts, ends, strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(data, pa.binary())], ["shard", "n", "block"])
+
+
+def unblock(t, *types) -> tuple[np.ndarray, ...]:
+    """The columns that a shard's blocks hold."""
+    parts: list[list] = [[] for _ in types]
+    for n, block in zip(t.column("n").to_pylist(), t.column("block").to_pylist(), strict=True):
+        at = 0
+        for part, kind in zip(parts, types, strict=True):
+            part.append(np.frombuffer(block, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return tuple(np.concatenate([np.zeros(0, k), *p]).astype(k) for p, k in zip(parts, types, strict=True))

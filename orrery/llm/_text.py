@@ -139,3 +139,18 @@ def sum_runs(keys: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, ...]:
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], *(np.add.reduceat(c[order], first) for c in cols)
+
+
+def pieces(batches, column: str = "text", most: int = 6 << 20):
+    """Record batches cut so that a column's bytes stay below a bound, or a single row is left."""
+    for b in batches:
+        if not b.num_rows:
+            yield b
+            continue
+        col = b.column(column).cast(pa.large_string())
+        off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+        at = 0
+        while at < b.num_rows:
+            to = min(b.num_rows, max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1))
+            yield b.slice(at, to - at)
+            at = to

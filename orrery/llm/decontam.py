@@ -41,7 +41,7 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
 
 def _item_windows(width: int):
     def f(batches):
-        for b in batches:
+        for b in X.pieces(batches):
             h, off = X.words(b.column("text"), X.ALNUM)
             ids = b.column("item_id").to_pylist()
             rows: dict[str, list] = {"window": [], "words": [], "item_id": []}
@@ -109,7 +109,7 @@ def _keys(shard, t):
 
 def _counts(store: S.Store, shards: int, ks: list[int]):
     def f(batches):
-        for b in batches:
+        for b in X.pieces(batches):
             h, off = X.words(b.column("text"), X.ALNUM)
             found = []
             for k in ks:
@@ -192,7 +192,7 @@ def _occurrences(index: S.Store, shards: int, ks: list[int], h: np.ndarray, off:
 
 def _judge(index: S.Store, shards: int, ks: list[int], share: int, keep: list[str]):
     def f(batches):
-        for b in batches:
+        for b in X.pieces(batches):
             h, off = X.words(b.column("text"), X.ALNUM)
             edge = np.zeros(len(h) + 1, np.int64)
             found: list[set] = [set() for _ in range(b.num_rows)]

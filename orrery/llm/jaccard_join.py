@@ -118,7 +118,7 @@ def _shard(sig: np.ndarray, shards: int) -> np.ndarray:
 
 def _signature_rows(words: int, edges, plan, shards: int):
     def f(batches):
-        for b in batches:
+        for b in X.pieces(batches):
             x, off = _sets(b.column("text"), words)
             cls, _ = _classes(x, off)
             _, first = np.unique(cls, return_index=True)
@@ -134,16 +134,14 @@ def _signature_rows(words: int, edges, plan, shards: int):
             edge[1:-1] = sig[1:] != sig[:-1]
             keep = edge[:-1] | edge[1:]
             sig, c = sig[keep], c[keep]
-            for i in range(0, len(sig), 200_000):
-                s = sig[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(_shard(s, shards)), pa.array(s.view(np.int64)), pa.array(c[i : i + 200_000].view(np.int64))], ["shard", "sig", "cls"])
+            yield from S.blocks(_shard(sig, shards), sig, c)
 
     return f
 
 
 def _shared(shard, t):
     """Signatures that two different sets have."""
-    sig, cls = t.column("sig").to_numpy(), t.column("cls").to_numpy()
+    sig, cls = S.unblock(t, np.int64, np.int64)
     order = np.argsort(sig)
     sig, cls = sig[order], cls[order]
     if not len(sig):
@@ -159,7 +157,7 @@ def _active_rows(words: int, edges, plan, shared: S.Store, shards: int, uri: str
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        for k, b in enumerate(batches):
+        for k, b in enumerate(X.pieces(batches)):
             x, off = _sets(b.column("text"), words)
             c1, c2 = _classes(x, off)
             n = np.diff(off)
@@ -234,7 +232,7 @@ def classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10) ->
     shards = max(1, round(sum(r.w for r in rows) * 2.4 * (den - num) / (den + num) / SIGNATURES_PER_SHARD), int(spark.conf.get("spark.sql.shuffle.partitions")))
     edges = np.array(edges)
     text = docs.select(F.col("text").cast("string").alias("text"))
-    shared, _ = S.build(text.mapInArrow(_signature_rows(words, edges, plan, shards), "shard int, sig long, cls long"), shards, _shared, f"{home}/shared")
+    shared, _ = S.build(text.mapInArrow(_signature_rows(words, edges, plan, shards), S.BLOCKS), shards, _shared, f"{home}/shared")
     mine = ("n_shingles", "component_id", "cls", "place", "sigs", "text")
     keep = [c for c in docs.columns if c not in mine]
     schema = T.StructType([docs.schema[c] for c in keep] + T.StructType().add("cls", "binary").add("n_shingles", "long").add("place", "long").add("sigs", T.ArrayType(T.LongType())).fields)

@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, *, most_rows: in
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")  # bounded by most_rows
 
     def f(batches):
-        for b in batches:
+        for b in X.pieces(batches):
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("quality").cast(pa.int32()), *(pa.array(x[:, j]) for j in range(x.shape[1]))], ["doc_id", "quality", *FEATURES])
 
@@ -178,7 +178,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     keep = [c for c in docs.columns if c != "score"]
 
     def f(batches):
-        for b in batches:
+        for b in X.pieces(batches):
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(model.score(features(b.column("text"))) if b.num_rows else [], pa.float64())], [*keep, "score"])
 
     return docs.select(keep).mapInArrow(f, T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())]))
