@@ -5,7 +5,8 @@ band or in neighbours, so group g holds bands g and g + 1, and bounds the symmet
 sets by H. The universe of shingles is hashed into m segments. With p segments at allocation 1 (subset
 and its one-deletion neighbourhood), the rest at 0 (subset), and m + p = H + 1 + K, linked sets agree on an
 indexed value of some segment. Where p = 0, K segments may go unindexed: each set leaves out its K
-poorest subsets, in one global order, and of K + 1 equal subsets the richest stays in both. (m, p, K) comes
+commonest subsets, in one global order, and of K + 1 equal subsets the rarest stays in both. So subsets of a
+passage that very many documents hold are left to the documents that have nothing else. (m, p, K) comes
 from a cost model with the number of documents in the band: values written plus pairs met by chance.
 
 Passes over the texts: one writes the signatures and keeps those that two different sets share; one writes
@@ -33,9 +34,16 @@ from . import _store as S
 from . import _text as X
 from ._graph import components
 
-#: The chance that two unrelated documents share a shingle, for the cost model alone.
-CHANCE = 0.1
+#: For the cost model alone: the chance that two unrelated documents share a shingle, and the share of
+#: documents that have half of their shingles from one common passage.
+CHANCE, COMMON = 0.1, 0.05
 SIGNATURES_PER_SHARD = 1_000_000
+#: 64-bit words for the segments that a set shares with none.
+WORDS = 4
+BITS = [f"u{i}" for i in range(WORDS)]
+#: 64-bit words of a set's sketch, a bit for each shingle's hash: each bit in which two sketches differ stands for a
+#: shingle that only one of the sets has, so the sets differ in as many at least.
+SKETCH = 16
 
 
 def bands(num: int, den: int, largest: int) -> list[int]:
@@ -45,19 +53,26 @@ def bands(num: int, den: int, largest: int) -> list[int]:
     return edges + [edges[-1] * den // num + 1, (edges[-1] * den // num + 1) * den // num + 1]
 
 
-def allocation(edges: list[int], g: int, num: int, den: int, documents: int) -> tuple[int, int, int]:
-    """(m, p, K) of group g: segments, those with deletions, and poorest subsets left out."""
+def allocation(edges: list[int], g: int, num: int, den: int, documents: int) -> tuple[int, int, int, int]:
+    """(m, p, K, H) of group g: segments, those with deletions, commonest subsets left out, and the largest difference
+    of linked sets. All 0: only equal sets link."""
     small, r = edges[g], edges[g + 1] - 1
     s = min(r * den // num, edges[g + 2] - 1)
     h = (den - num) * (r + s) // (den + num)
-    best = None
-    for p, k in [(0, 0), (0, math.ceil(0.15 * (h + 1))), *((p, 0) for p in {1, (h + 1) // 4, (h + 1) // 2} if 1 <= p <= (h + 1) // 2)]:
+    if h == 0:
+        return 0, 0, 0, 0
+    best = (math.inf,)
+    for p, k in [(0, 0), *((0, math.ceil(f * (h + 1))) for f in (0.25, 0.5, 1)), *((p, 0) for p in {1, (h + 1) // 2} if 1 <= p <= (h + 1) // 2)]:
         m = h + 1 + k - p
         fill = small / m
-        written = documents * (m - k + p * fill)
-        met = documents**2 * ((m - p - k) * CHANCE ** (fill * (1.3 if k else 1)) + p * (1 + fill) * CHANCE ** max(0, fill - 1))
-        best = min(best or (math.inf,), (written + met, m, p, k))
-    return best[1:]
+
+        def met(share: float, m: int = m, p: int = p, k: int = k, fill: float = fill) -> float:
+            return (m - p - k) * share ** (fill * (2 if k else 1)) + p * (1 + fill) * share ** max(0.0, fill - 1)
+
+        # left-out subsets take those of a common passage first, if there are enough of them
+        passage = 0 if k >= 1.5 * m * 0.5**fill else COMMON**2 * met(0.5)
+        best = min(best, (documents * (m + p * fill) + documents**2 * (met(CHANCE) + passage), m, p, k))
+    return *best[1:], h
 
 
 def _sets(texts: pa.Array, words: int):
@@ -72,18 +87,20 @@ def _classes(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return X.mix(a[off[1:]] - a[off[:-1]]), b[off[1:]] - b[off[:-1]]
 
 
-def signatures(x: np.ndarray, off: np.ndarray, edges: np.ndarray, plan: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, document) of all indexed values. plan: a row (m, p, K) for each group."""
+def signatures(x: np.ndarray, off: np.ndarray, edges: np.ndarray, plan: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(signature, document, cell, segment) of all subsets and deletions. plan: a row (m, p, K, H) for each group. A cell is a
+    document in a group, twice the document's place plus 0 or 1; of its subsets K may be left out. A deletion's segment is -1."""
     n = np.diff(off)
     band = np.searchsorted(edges, n, "right") - 1
     sums = X.mix(x * X.MUL1 + X.U(5))
-    sigs, docs = [], []
+    sigs, cells, segments = [np.zeros(0, X.U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for back in (0, 1):
         sel = np.flatnonzero((n > 0) & (band >= back))
+        sel = sel[plan[band[sel] - back, 0] > 0]
         if not len(sel):
             continue
         g = band[sel] - back
-        m, p, k = plan[g].T
+        m, p = plan[g, :2].T
         salt = X.mix(g.astype(X.U) * X.GOLD + X.U(11))
         owner = np.repeat(np.arange(len(sel)), n[sel])
         at = np.repeat(off[sel] - np.concatenate([[0], np.cumsum(n[sel])[:-1]]), n[sel]) + np.arange(len(owner))
@@ -96,20 +113,27 @@ def signatures(x: np.ndarray, off: np.ndarray, edges: np.ndarray, plan: np.ndarr
         of = np.repeat(np.arange(len(sel)), m)
         index = np.arange(base[-1]) - base[of]
         tag = X.mix(index.astype(X.U) * X.MUL2 + salt[of])
-        exact = X.mix(total ^ tag)
-        keep = np.ones(len(exact), bool)
-        if k.any():  # the K poorest subsets stay out; ties by the value, the same in every set
-            size = np.bincount(cell, minlength=base[-1])
-            order = np.lexsort((exact, size, of))
-            keep[order[np.arange(len(order)) - base[of] < k[of]]] = False
-        sigs.append(exact[keep])
-        docs.append(sel[of[keep]])
+        sigs.append(X.mix(total ^ tag))
+        cells.append(2 * sel[of] + back)
+        segments.append(index)
         more = np.flatnonzero(seg < p[owner])
         if len(more):
             c = cell[more]
             sigs.append(X.mix((total[c] - part[more]) ^ tag[c]))
-            docs.append(sel[owner[more]])
-    return (np.concatenate(sigs), np.concatenate(docs)) if sigs else (np.zeros(0, X.U), np.zeros(0, np.int64))
+            cells.append(2 * sel[owner[more]] + back)
+            segments.append(np.full(len(more), -1))
+    cell = np.concatenate(cells)
+    return np.concatenate(sigs), cell // 2, cell, np.concatenate(segments)
+
+
+def without_commonest(sig: np.ndarray, cell: np.ndarray, count: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """Which signatures stay when each cell leaves out its `leave` commonest, ties by value: one order for all sets."""
+    order = np.lexsort((sig, -count, cell))
+    c = cell[order]
+    first = np.searchsorted(c, c)
+    keep = np.ones(len(sig), bool)
+    keep[order[np.arange(len(c)) - first < leave[c]]] = False
+    return keep
 
 
 def _shard(sig: np.ndarray, shards: int) -> np.ndarray:
@@ -118,13 +142,13 @@ def _shard(sig: np.ndarray, shards: int) -> np.ndarray:
 
 def _signature_rows(words: int, edges, plan, shards: int):
     def f(batches):
-        for b in X.pieces(batches):
+        for b in X.pieces(batches, most=3 << 20):
             x, off = _sets(b.column("text"), words)
             cls, _ = _classes(x, off)
             _, first = np.unique(cls, return_index=True)
             once = np.zeros(len(cls), bool)
             once[first] = True
-            sig, doc = signatures(x, off, edges, plan)
+            sig, doc, _, _ = signatures(x, off, edges, plan)
             ok = once[doc]
             sig, c = sig[ok], cls[doc[ok]]
             order = np.lexsort((c, sig))
@@ -140,14 +164,15 @@ def _signature_rows(words: int, edges, plan, shards: int):
 
 
 def _shared(shard, t):
-    """Signatures that two different sets have."""
+    """Signatures that two different sets have, and how common they are (at most two counts from each batch)."""
     sig, cls = S.unblock(t, np.int64, np.int64)
     order = np.argsort(sig)
     sig, cls = sig[order], cls[order]
     if not len(sig):
-        return {"key": sig}
+        return {"key": sig, "n": sig}
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    return {"key": sig[first][np.minimum.reduceat(cls, first) != np.maximum.reduceat(cls, first)]}
+    more = np.minimum.reduceat(cls, first) != np.maximum.reduceat(cls, first)
+    return {"key": sig[first][more], "n": np.diff(np.append(first, len(sig)))[more].astype(np.int32)}
 
 
 def _active_rows(words: int, edges, plan, shared: S.Store, shards: int, uri: str, keep: list[str]):
@@ -157,27 +182,35 @@ def _active_rows(words: int, edges, plan, shared: S.Store, shards: int, uri: str
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        for k, b in enumerate(X.pieces(batches)):
+        for k, b in enumerate(X.pieces(batches, most=3 << 20)):
             x, off = _sets(b.column("text"), words)
             c1, c2 = _classes(x, off)
             n = np.diff(off)
             _, first = np.unique(np.stack([c1, c2], 1), axis=0, return_index=True)
             once = np.zeros(len(c1), bool)
             once[first] = True
-            sig, doc = signatures(x, off, edges, plan)
+            sig, doc, cell, segment = signatures(x, off, edges, plan)
             ok = once[doc]
-            sig, doc = sig[ok], doc[ok]
-            of, hit = _shard(sig, shards), np.zeros(len(sig), bool)
+            sig, doc, cell, segment = sig[ok], doc[ok], cell[ok], segment[ok]
+            of, count = _shard(sig, shards), np.zeros(len(sig), np.int32)
             order = np.argsort(of, kind="stable")
             ends = np.searchsorted(of[order], np.arange(shards + 1))
             for s in shared.sizes:
                 mine = order[ends[s] : ends[s + 1]]
-                hit[mine] = S.find(shared.array(s, "key"), sig[mine].view(np.int64)) >= 0
-            sig, doc = sig[hit], doc[hit]
-            order = np.argsort(doc, kind="stable")
-            sig, doc = sig[order], doc[order]
-            sig_off = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            active = np.flatnonzero(np.diff(sig_off) > 0)
+                at = S.find(shared.array(s, "key"), sig[mine].view(np.int64))
+                count[mine] = np.where(at < 0, 0, shared.array(s, "n")[at])
+            band = np.searchsorted(edges, n, "right") - 1
+            group = plan[np.maximum(np.repeat(band, 2) - np.tile([0, 1], len(n)), 0)]
+            hit = without_commonest(sig, cell, count, group[:, 2]) & (count > 0)
+            # a subset that no other set has differs in every other set: bits of these segments bound the difference
+            own = np.zeros((2 * len(n), WORDS), X.U)
+            alone = (count == 0) & (segment >= 0) & (group[cell, 1] == 0)
+            bit = segment[alone] % (64 * WORDS)
+            np.bitwise_or.at(own, (cell[alone], bit // 64), X.U(1) << (bit % 64).astype(X.U))
+            sig, doc, cell = sig[hit], doc[hit], cell[hit]
+            order = np.argsort(cell, kind="stable")
+            sig, doc, cell = sig[order], doc[order], cell[order]
+            active = np.unique(doc)
             place = np.full(b.num_rows, -1, np.int64)
             if len(active):
                 place[active] = (pid << 40) + (k << 20) + np.arange(len(active))
@@ -185,7 +218,17 @@ def _active_rows(words: int, edges, plan, shared: S.Store, shards: int, uri: str
                 S.put(f"{uri}/{pid}-{k}-off.npy", np.concatenate([[0], np.cumsum(n[active])]))
             cls = np.stack([c1, c2], 1).astype(X.U)
             cls = pa.array([r.tobytes() if m else None for r, m in zip(cls, n, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), cls, pa.array(n), pa.array(place, mask=place < 0), pa.ListArray.from_arrays(pa.array(sig_off.astype(np.int32)), pa.array(sig.view(np.int64)))], [*keep, "cls", "n_shingles", "place", "sigs"])
+            ends = np.searchsorted(cell, np.arange(2 * b.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sig.view(np.int64)))
+            one = pa.StructArray.from_arrays([lists, pa.array(group[:, 3].astype(np.int32)), *(pa.array(own[:, i].view(np.int64)) for i in range(WORDS))], ["sigs", "h", *BITS])
+            sketch = np.zeros((b.num_rows, SKETCH), X.U)
+            for d in active:
+                bit = np.unique(x[off[d] : off[d + 1]] % X.U(64 * SKETCH)).astype(np.int64)
+                sketch[d] = np.packbits(np.bincount(bit, minlength=64 * SKETCH).astype(bool)).view(X.U)
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * SKETCH), pa.array(sketch.view(np.int64).ravel()))
+            full = np.flatnonzero(np.diff(ends) > 0)  # cells with a signature
+            cells = pa.ListArray.from_arrays(pa.array(np.searchsorted(full // 2, np.arange(b.num_rows + 1)).astype(np.int32)), one.take(pa.array(full)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), cls, pa.array(n), pa.array(place, mask=place < 0), cells, sketch], [*keep, "cls", "n_shingles", "place", "cells", "sketch"])
 
     return f
 
@@ -229,28 +272,35 @@ def classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10) ->
     edges = bands(num, den, max((r.l for r in rows), default=0) + 1)
     near = {r.b: r.n for r in rows}
     plan = np.array([allocation(edges, g, num, den, 1 + sum(near.get(int(math.log(edges[g]) / math.log(den / num)) + d, 0) for d in (-1, 0, 1, 2))) for g in range(len(edges) - 2)], np.int64)
-    shards = max(1, round(sum(r.w for r in rows) * 2.4 * (den - num) / (den + num) / SIGNATURES_PER_SHARD), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(1, round(sum(r.w for r in rows) * 3.2 * (den - num) / (den + num) / SIGNATURES_PER_SHARD), int(spark.conf.get("spark.sql.shuffle.partitions")))
     edges = np.array(edges)
     text = docs.select(F.col("text").cast("string").alias("text"))
     shared, _ = S.build(text.mapInArrow(_signature_rows(words, edges, plan, shards), S.BLOCKS), shards, _shared, f"{home}/shared")
-    mine = ("n_shingles", "component_id", "cls", "place", "sigs", "text")
+    mine = ("n_shingles", "component_id", "cls", "place", "cells", "sketch", "text")
     keep = [c for c in docs.columns if c not in mine]
-    schema = T.StructType([docs.schema[c] for c in keep] + T.StructType().add("cls", "binary").add("n_shingles", "long").add("place", "long").add("sigs", T.ArrayType(T.LongType())).fields)
+    cell = T.StructType([T.StructField("sigs", T.ArrayType(T.LongType())), T.StructField("h", T.IntegerType()), *(T.StructField(u, T.LongType()) for u in BITS)])
+    schema = T.StructType([docs.schema[c] for c in keep] + T.StructType().add("cls", "binary").add("n_shingles", "long").add("place", "long").add("cells", T.ArrayType(cell)).add("sketch", T.ArrayType(T.LongType())).fields)
     sets = f"{home}/sets"
     found = S.saved(docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(_active_rows(words, edges, plan, shared, shards, sets, keep), schema), f"{home}/found")
     one = found.where("place is not null").groupBy("cls").agg(F.min("place").alias("v"))
-    index = S.saved(found.where("place is not null").select("cls", "place", "n_shingles", "sigs").join(one, "cls").where("place = v").select("v", F.col("n_shingles").alias("n"), F.explode("sigs").alias("sig")), f"{home}/index")
-    fits = f"{den} * least(n, m) >= {num} * greatest(n, m)"
-    pivot = index.groupBy("sig").agg(F.min(F.struct("v", "n")).alias("p")).select("sig", F.col("p.v").alias("w"), F.col("p.n").alias("m"))
-    stars = S.saved(index.join(pivot, "sig").where(f"v <> w and {fits}").select(F.col("w").alias("a"), F.col("v").alias("b")).distinct(), f"{home}/stars")
+    cells = found.where("place is not null").select("cls", "place", "n_shingles", "cells").join(one, "cls").where("place = v").select("v", F.col("n_shingles").alias("n"), F.explode("cells").alias("c"))
+    index = S.saved(cells.select("v", "n", "c.h", *(f"c.{u}" for u in BITS), F.explode("c.sigs").alias("sig")), f"{home}/index")
+    other_bits = [f"w{i}" for i in range(WORDS)]
+    fits = f"{den} * least(n, m) >= {num} * greatest(n, m) AND h >= " + " + ".join(f"bit_count({u} | {w})" for u, w in zip(BITS, other_bits, strict=True))
+    # the set with the fewest subsets of its own is the nearest to the middle of its group
+    alone = F.expr(" + ".join(f"bit_count({u})" for u in BITS))
+    pivot = index.groupBy("sig").agg(F.min(F.struct(alone.alias("alone"), F.col("v").alias("w"), F.col("n").alias("m"), *(F.col(u).alias(w) for u, w in zip(BITS, other_bits, strict=True)))).alias("p")).select("sig", "p.*")
+    stars = S.saved(index.join(pivot, "sig").where(f"v <> w AND {fits}").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), f"{home}/stars")
     check = _verify(sets, num, den)
     links = S.saved(stars.mapInArrow(check, "a long, b long"), f"{home}/links")
     roots = components(links, f"{home}/first")
     labelled = index.join(roots, F.col("v") == F.col("node"), "left").select("sig", "v", "n", F.coalesce("root", "v").alias("root"))
     split = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    rest = S.saved(labelled.join(split, "sig", "left_semi"), f"{home}/rest")
-    other = rest.select("sig", F.col("v").alias("w"), F.col("n").alias("m"), F.col("root").alias("other"))
-    pairs = rest.join(other, "sig").where(f"v < w and root <> other and {fits}").select(F.col("v").alias("a"), F.col("w").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    sketches = found.where("place is not null").select(F.col("place").alias("v"), *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)))
+    rest = S.saved(labelled.join(split, "sig", "left_semi").join(sketches, "v"), f"{home}/rest")
+    other = rest.select("sig", F.col("v").alias("w"), F.col("n").alias("m"), F.col("root").alias("other"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
+    near = f"v < w AND root <> other AND {den} * least(n, m) >= {num} * greatest(n, m) AND {den + num} * ({' + '.join(f'bit_count(s{i} ^ t{i})' for i in range(SKETCH))}) <= {den - num} * (n + m)"
+    pairs = rest.join(other, "sig").where(near).select(F.col("v").alias("a"), F.col("w").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = S.saved(pairs.mapInArrow(check, "a long, b long"), f"{home}/more")
     if not more.isEmpty():
         roots = components(links.unionByName(more), f"{home}/second")
