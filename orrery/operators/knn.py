@@ -72,7 +72,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *
     def part(of: np.ndarray, block: np.ndarray):
         def f(batches):
             for b in batches:
-                if not b.num_rows:
+                if not b.num_rows or not len(of):
                     continue
                 x = matrix(b.column("embedding"))
                 x = unit(x) if metric != "euclidean" else x

@@ -1,4 +1,504 @@
-"""All registered queries of the reference's operators, with the same in SQL."""
+"""All registered queries of the reference's operators, each with the same in SQL where SQL can express it.
+
+The corpus is embeddings joined with documents by id; language, source and length are its metadata, the language its
+namespace, the label modulo 3 its tenant. Searches ask for every row whose id is divisible by 100. The access log is
+the events table, a user being the document; times are read as of the log's last event.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import vector as V
+from ..operators import cache, hotness, knn, merge, ops, ranking, store
+from ..operators.filters import And, Exact, In, Not, Or, Range, compiled, matching_ids
+from ..streaming import jobs
+
+K, DAY = 10, 86400.0
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("n_chars"), F.col("n_chars").cast("string"))
+    d = table(spark, sf, "documents").select("doc_id", meta.alias("metadata"), F.col("lang").alias("namespace"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    return e.join(d, "doc_id").withColumn("tenant", F.col("label") % 3)
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("n_chars"), F.col("n_chars").cast("string"))
+    return table(spark, sf, "documents").select("doc_id", meta.alias("metadata"))
+
+
+def log(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", F.col("user_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+CORPUS = """q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings WHERE vec_id % 100 = 0),
+c AS (SELECT e.vec_id AS doc_id, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS b, d.lang, d.source, d.n_chars, e.label FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"""
+DOT = "list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2]))"
+L2 = "sqrt(list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+COS = f"greatest(0.0, 1 - {DOT})"
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _knn_sql(distance: str, score: str, where: str = "true", least: float | None = None) -> str:
+    return f"""WITH {CORPUS}, d AS (SELECT query_id, doc_id, round({distance}, 12) AS distance FROM q CROSS JOIN c WHERE {where}),
+s AS (SELECT *, {score} AS score FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id)::INTEGER AS rank FROM s{f' WHERE score >= {least}' if least else ''})
+SELECT query_id, rank, doc_id, round(distance, 6) AS distance, round(score, 6) AS score FROM r WHERE rank <= {K}"""
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "rank", "doc_id", r6("distance").alias("distance"), r6("score").alias("score"))
+
+
+@query(_knn_sql(COS, "1 - distance"))
+def knn_cosine(spark, sf):
+    return _found(knn.knn(corpus(spark, sf), asked(spark, sf), K))
+
+
+@query(_knn_sql(L2, "1 / (1 + distance)"))
+def knn_euclidean(spark, sf):
+    return _found(knn.knn(corpus(spark, sf), asked(spark, sf), K, "euclidean"))
+
+
+@query(_knn_sql(COS, "1 - distance"))
+def knn_inner_product(spark, sf):
+    return _found(knn.knn(corpus(spark, sf), asked(spark, sf), K, "inner_product"))
+
+
+@query(_knn_sql(COS, "1 - distance", least=0.25))
+def knn_min_score(spark, sf):
+    return _found(knn.knn(corpus(spark, sf), asked(spark, sf), K, min_score=0.25))
+
+
+FILTER = And((In("lang", ("en", "fr")), Range("n_chars", "ge", "1000")))
+
+
+@query(_knn_sql(COS, "1 - distance", "lang IN ('en', 'fr') AND n_chars >= 1000"))
+def knn_filtered_pre(spark, sf):
+    return _found(knn.knn(corpus(spark, sf), asked(spark, sf), K, where=FILTER))
+
+
+def _post_sql(wide: int, extra: str = "true") -> str:
+    return f"""WITH {CORPUS}, d AS (SELECT query_id, doc_id, lang, n_chars, round({COS}, 12) AS distance FROM q CROSS JOIN c),
+w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS k FROM d),
+f AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total_found, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id)::INTEGER AS rank FROM w WHERE k <= {wide} AND lang IN ('en', 'fr') AND n_chars >= 1000 AND {extra})
+SELECT query_id, rank, doc_id, round(distance, 6) AS distance, round(1 - distance, 6) AS score, total_found FROM f WHERE rank <= {K}"""
+
+
+@query(_post_sql(30))
+def knn_filtered_post(spark, sf):
+    return knn.knn_post_filter(corpus(spark, sf), asked(spark, sf), K, FILTER).withColumns({"distance": r6("distance"), "score": r6("score")})
+
+
+@query(_post_sql(100, "lang = 'en'"))
+def knn_total_found(spark, sf):
+    return knn.knn_post_filter(corpus(spark, sf), asked(spark, sf), K, FILTER, namespace="en").withColumns({"distance": r6("distance"), "score": r6("score")})
+
+
+@query(_knn_sql(COS, "1 - distance", "label % 3 = 1"))
+def tenant_isolated_knn(spark, sf):
+    return _found(knn.knn(corpus(spark, sf).where("tenant = 1"), asked(spark, sf), K))
+
+
+@query()
+def knn_ivf_recall(spark, sf):
+    """Recall of the approximate search against the exact one."""
+    c, q = corpus(spark, sf), asked(spark, sf)
+    exact, near = knn.knn(c, q, K).select("query_id", "doc_id"), knn.ivf(c, q, K).select("query_id", F.col("doc_id").alias("found"))
+    hit = exact.join(near.withColumnRenamed("query_id", "q2"), (F.col("query_id") == F.col("q2")) & (F.col("doc_id") == F.col("found")), "left")
+    return hit.groupBy("query_id").agg((F.count("found") / F.count("*")).alias("recall"))
+
+
+@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings)
+SELECT vec_id, round(sqrt(list_sum(list_transform(b, lambda x: x * x))), 6) AS norm, round(list_sum(b), 6) AS total, len(b)::INTEGER AS n FROM v""")
+def vector_norms(spark, sf):
+    e = F.col("embedding")
+    return table(spark, sf, "embeddings").select("vec_id", r6(V.l2_norm(e)).alias("norm"), r6(F.aggregate(V.as_double(e), F.lit(0.0), lambda s, x: s + x)).alias("total"), F.size(e).alias("n"))
+
+
+def _filter_query(name: str, f, sql: str) -> None:
+    def run(spark, sf):
+        return docs(spark, sf).where(compiled(f, F.col("metadata"))).select("doc_id")
+
+    run.__name__ = name
+    query(f"SELECT doc_id FROM documents WHERE {sql}")(run)
+
+
+_filter_query("filter_exact", Exact("lang", "de"), "lang = 'de'")
+_filter_query("filter_range_num", Range("n_chars", "lt", "1000.5"), "n_chars < 1000.5")
+_filter_query("filter_range_lex", Range("source", "ge", "src15"), "source >= 'src15'")
+_filter_query("filter_in", In("source", ("src1", "src3", "none")), "source IN ('src1', 'src3', 'none')")
+_filter_query("filter_and", And((Exact("lang", "en"), Range("n_chars", "gt", "500"))), "lang = 'en' AND n_chars > 500")
+_filter_query("filter_or", Or((Exact("lang", "es"), Exact("source", "src2"))), "lang = 'es' OR source = 'src2'")
+_filter_query("filter_not", Not(Or((Exact("lang", "en"), Exact("nokey", "x")))), "lang <> 'en'")
+
+
+@query("SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND n_chars >= 1000 AND NOT (source = 'src2')")
+def filter_index_equiv(spark, sf):
+    return matching_ids(And((FILTER, Not(Exact("source", "src2")))), docs(spark, sf))
+
+
+@query("""SELECT e.event_id AS pos, e.user_id * 7 AS doc_id, d.doc_id IS NOT NULL AS found, d.lang FROM events e LEFT JOIN documents d ON e.user_id * 7 = d.doc_id""")
+def bulk_query_positional(spark, sf):
+    ids = log(spark, sf).select(F.col("event_id").alias("pos"), (F.col("doc_id") * 7).alias("doc_id"))
+    return store.lookup(docs(spark, sf), ids).select("pos", "doc_id", "found", F.col("metadata")["lang"].alias("lang"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT user_id FROM events)")
+def batch_delete_ids(spark, sf):
+    return store.without_ids(docs(spark, sf), log(spark, sf)).select("doc_id")
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE NOT (lang = 'en' AND n_chars > 2000) GROUP BY lang")
+def batch_delete_filter(spark, sf):
+    left = store.without_matching(docs(spark, sf), And((Exact("lang", "en"), Range("n_chars", "gt", "2000"))))
+    return left.groupBy(F.col("metadata")["lang"].alias("lang")).agg(F.count("*").alias("n"))
+
+
+def _updates(spark, sf):
+    return table(spark, sf, "labels").select("doc_id", F.create_map(F.lit("lang"), F.lit("xx"), F.lit("quality"), F.col("quality").cast("string")).alias("new"))
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.lang ELSE 'xx' END AS lang, d.source, CAST(l.quality AS VARCHAR) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def metadata_merge(spark, sf):
+    m = F.col("metadata")
+    return store.updated(docs(spark, sf), _updates(spark, sf), True).select("doc_id", m["lang"].alias("lang"), m["source"].alias("source"), m["quality"].alias("quality"))
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.source END AS source, CAST(l.quality AS VARCHAR) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def metadata_replace(spark, sf):
+    m = F.col("metadata")
+    return store.updated(docs(spark, sf), _updates(spark, sf), False).select("doc_id", m["source"].alias("source"), m["quality"].alias("quality"))
+
+
+@query(f"""WITH {CORPUS}, d AS (SELECT query_id, doc_id, round({COS}, 12) AS distance, label FROM q CROSS JOIN c),
+r AS (SELECT query_id, doc_id, distance, CASE WHEN label < 3 THEN 0 ELSE 1 END AS tier FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id)::INTEGER AS rank FROM r)
+SELECT query_id, doc_id, rank, tier FROM k WHERE rank <= {K}""")
+def tier_merge(spark, sf):
+    c, q = corpus(spark, sf), asked(spark, sf)
+    hot, cold = knn.knn(c.where("label < 3"), q, 2 * K), knn.knn(c, q, 2 * K)
+    return merge.merged_top_k(hot, cold, K).select("query_id", "doc_id", "rank", "tier")
+
+
+def _changes(spark, sf):
+    """A change log of orders: customers are documents, F deletes, P updates, O inserts."""
+    o = table(spark, sf, "orders")
+    op = F.when(F.col("o_orderstatus") == "F", "delete").when(F.col("o_orderstatus") == "P", "update").otherwise("insert")
+    return o.select(F.col("o_custkey").cast("long").alias("doc_id"), F.col("o_orderkey").cast("long").alias("ord"), F.col("o_orderkey").cast("long").alias("seq"), F.lit(0).cast("long").alias("ts"), op.alias("op"), F.col("o_orderkey").cast("long").alias("payload"), F.col("o_orderpriority").alias("metadata"))
+
+
+_LOG = "l AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, CASE o_orderstatus WHEN 'F' THEN 'delete' WHEN 'P' THEN 'update' ELSE 'insert' END AS op, o_orderpriority AS metadata FROM orders)"
+
+
+@query(f"""WITH {_LOG}, e AS (SELECT c_custkey AS doc_id, -1 AS ord, 'insert' AS op, c_mktsegment AS metadata, -1 AS payload FROM customer UNION ALL SELECT doc_id, ord, op, metadata, ord FROM l WHERE ord > 1000),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord DESC) AS k FROM e WHERE op <> 'update'),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord DESC) AS k FROM e WHERE op = 'update')
+SELECT b.doc_id, b.payload, CASE WHEN u.ord > b.ord THEN u.metadata ELSE b.metadata END AS metadata FROM b LEFT JOIN u ON b.doc_id = u.doc_id AND u.k = 1 WHERE b.k = 1 AND b.op = 'insert'""")
+def wal_replay(spark, sf):
+    snap = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.lit(-1).cast("long").alias("payload"), F.col("c_mktsegment").alias("metadata"))
+    return store.replayed(snap, _changes(spark, sf), 1000, 0)
+
+
+@query(f"""WITH {_LOG}, g AS (SELECT doc_id, max(ord) FILTER (WHERE op = 'delete') AS gone FROM l GROUP BY doc_id), a AS (SELECT l.* FROM l JOIN g ON l.doc_id = g.doc_id WHERE gone IS NULL OR ord > gone)
+SELECT doc_id, max(ord) AS seq, count(*) AS version FROM a GROUP BY doc_id""")
+def latest_state(spark, sf):
+    return store.latest(_changes(spark, sf)).select("doc_id", "seq", "version")
+
+
+@query("SELECT v.vec_id AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN v.label = 9 THEN 'corrupt' WHEN v.label % 2 = 1 THEN 'stale' ELSE 'match' END AS status FROM embeddings v LEFT JOIN documents d ON v.vec_id = d.doc_id")
+def coherence_check(spark, sf):
+    e = table(spark, sf, "embeddings")
+    hot = e.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("version"), V.digest(F.col("embedding")).alias("digest"), F.when(F.col("label") == 9, 0).otherwise(V.digest(F.col("embedding"))).alias("actual"))
+    cold = corpus(spark, sf).select("doc_id", F.when(F.col("label") % 2 == 1, 2).otherwise(1).alias("version"), V.digest(F.col("embedding")).alias("digest"))
+    return store.coherence(hot, cold)
+
+
+@query("SELECT v.vec_id AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'repair' WHEN v.label = 9 THEN 'keep_cold_diverged' ELSE 'keep_cold' END AS action FROM embeddings v LEFT JOIN documents d ON v.vec_id = d.doc_id")
+def drain_actions(spark, sf):
+    hot = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when(F.col("label") == 9, 0).otherwise(V.digest(F.col("embedding"))).alias("digest"))
+    return merge.drain(hot, corpus(spark, sf).select("doc_id", V.digest(F.col("embedding")).alias("digest")))
+
+
+@query("SELECT vec_id, (label::BIGINT << 32) | vec_id AS gid, label::BIGINT AS tenant, vec_id AS local FROM embeddings")
+def tenant_id_map(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", V.global_id(F.col("label"), F.col("vec_id")).alias("gid"))
+    t, local = V.split_id(F.col("gid"))
+    return e.select("vec_id", "gid", t.alias("tenant"), local.alias("local"))
+
+
+@query("SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
+def first_passages(spark, sf):
+    return merge.first_of_equal(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id")
+
+
+@query("""SELECT (SELECT count(doc_id) - count(DISTINCT doc_id) FROM documents) AS duplicates, (SELECT count(DISTINCT len(embedding)) FROM embeddings) AS dimensions,
+(SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS without_metadata, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS without_document""")
+def snapshot_check(spark, sf):
+    return store.snapshot_problems(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), table(spark, sf, "documents"))
+
+
+WINDOW, HALF = 7 * DAY, DAY
+_HOT = f"""m AS (SELECT max(ts) AS t FROM events), a AS (SELECT user_id AS doc_id, ts, epoch_us(t) - epoch_us(ts) AS age FROM events, m WHERE epoch_us(ts) >= epoch_us(t) - {int(WINDOW * 1e6)}),
+h AS (SELECT doc_id, sum(exp(-(age / 1e6) / {HALF})) AS raw, count(*) AS accesses, min(age) / 1e6 AS last_age FROM a GROUP BY doc_id),
+s AS (SELECT *, CASE WHEN last_age <= 3600 THEN least(1.0, ln(1 + raw) / ln(1 + max(raw) OVER ()) + 0.12) ELSE ln(1 + raw) / ln(1 + max(raw) OVER ()) END AS score FROM h)"""
+
+
+def _scores(spark, sf):
+    l = log(spark, sf)
+    at = hotness.newest(l)
+    return hotness.normalised(hotness.hotness(l, at, WINDOW, HALF), at, boost_s=3600)
+
+
+@query(f"WITH {_HOT} SELECT doc_id, round(raw, 6) AS raw, accesses, round(score, 6) AS score FROM s")
+def hot_documents(spark, sf):
+    return _scores(spark, sf).select("doc_id", r6("raw").alias("raw"), "accesses", r6("score").alias("score"))
+
+
+@query(f"WITH {_HOT} SELECT round(0.8 * 0.5 + 0.2 * greatest(0.05, least(1.0, min(score))), 6) AS threshold FROM (SELECT score FROM s ORDER BY round(score, 9) DESC, doc_id LIMIT 50)")
+def hotness_threshold(spark, sf):
+    return hotness.recalibrated(_scores(spark, sf).withColumn("score", F.round("score", 9)), 50, 0.5).select(r6("threshold").alias("threshold"))
+
+
+@query(f"""WITH {_HOT}, b AS (SELECT doc_id, round(score, 9) AS score, ((doc_id % 32) * {hotness.GOLDEN % 32}) % 32 AS bucket FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, doc_id) > 2 AS over_cap FROM b)
+SELECT doc_id, bucket::INTEGER AS bucket, over_cap FROM r ORDER BY over_cap, score DESC, doc_id LIMIT 40""")
+def diversity_topn(spark, sf):
+    return hotness.diverse_top(_scores(spark, sf).withColumn("score", F.round("score", 9)), 40, 32).select("doc_id", "bucket", "over_cap")
+
+
+@query(f"WITH {_HOT} SELECT doc_id, round(round(score, 9) / (1 + least(1.0, 0.35 * least(accesses % 12, 10))), 6) AS admission FROM s")
+def admission_scores(spark, sf):
+    return _scores(spark, sf).select("doc_id", r6(hotness.admission(F.round("score", 9), F.col("accesses") % 12)).alias("admission"))
+
+
+@query("SELECT count(DISTINCT user_id) / count(*) AS diversity, count(*) AS accesses FROM events")
+def log_diversity(spark, sf):
+    return hotness.diversity(log(spark, sf))
+
+
+@query("SELECT event_id, user_id AS doc_id FROM events ORDER BY event_id DESC LIMIT 500")
+def ring_buffer(spark, sf):
+    return hotness.ring_buffer(log(spark, sf), 500, "event_id").select("event_id", "doc_id")
+
+
+def _ab(spark, sf):
+    e = log(spark, sf)
+    return e.select((F.col("event_id")).alias("timestamp_ms"), F.when(F.pmod("doc_id", F.lit(2)) == 0, "lru_baseline").otherwise("learned_predictor").alias("strategy"), F.when(F.col("event_id") % 10 < 6, "hit").when(F.col("event_id") % 10 < 9, "miss").otherwise("eviction").alias("event_type"), "doc_id", (F.col("event_id") % 1000 + 100).alias("latency_ns"))
+
+
+@query("""WITH m AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'lru_baseline' ELSE 'learned_predictor' END AS strategy, event_id % 10 AS k, event_id % 1000 + 100 AS ns FROM events)
+SELECT strategy, count(*) FILTER (WHERE k < 6) AS hits, count(*) FILTER (WHERE k BETWEEN 6 AND 8) AS misses, count(*) AS events, count(*) FILTER (WHERE k < 6) / count(*) FILTER (WHERE k < 9) AS hit_rate,
+CAST(floor(sum(ns) FILTER (WHERE k < 6) / count(*) FILTER (WHERE k < 6)) AS BIGINT) AS mean_hit_ns FROM m GROUP BY strategy""")
+def ab_summary(spark, sf):
+    return cache.ab_summary(_ab(spark, sf))
+
+
+CACHES, CAPACITY = 4, 12
+
+
+@query(f"""WITH a AS (SELECT event_id AS pos, user_id AS doc, user_id % {CACHES} AS cache_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events),
+d AS (SELECT a.cache_id, a.pos, a.prev, count(DISTINCT b.doc) AS apart FROM a LEFT JOIN a b ON a.cache_id = b.cache_id AND b.pos > a.prev AND b.pos < a.pos GROUP BY a.cache_id, a.pos, a.prev)
+SELECT cache_id, count(*) AS accesses, count(*) FILTER (WHERE prev IS NOT NULL AND apart < {CAPACITY}) AS hits FROM d GROUP BY cache_id""")
+def lru_hit_rate(spark, sf):
+    a = log(spark, sf).select(F.col("event_id").alias("pos"), "doc_id", (F.col("doc_id") % CACHES).alias("cache_id"))
+    return cache.lru(a, CAPACITY).groupBy("cache_id").agg(F.count("*").alias("accesses"), F.count_if("hit").alias("hits"))
+
+
+@query()
+def learned_admission(spark, sf):
+    a = log(spark, sf).select(F.col("event_id").alias("pos"), "doc_id", (F.col("doc_id") % CACHES).alias("cache_id"))
+    s = _scores(spark, sf).select("doc_id", "score")
+    return cache.learned(a.join(s, "doc_id", "left"), CAPACITY, 0.5).groupBy("cache_id").agg(F.count("*").alias("accesses"), F.count_if("hit").alias("hits"))
+
+
+@query()
+def rate_limited(spark, sf):
+    r = log(spark, sf).select(F.col("doc_id").alias("tenant"), (F.unix_micros("ts") / 1e6).alias("t"))
+    return cache.token_bucket(r, 1 / 86400, 2.0).groupBy("tenant").agg(F.count("*").alias("requests"), F.count_if("allowed").alias("allowed"))
+
+
+@query()
+def circuit_states(spark, sf):
+    c = log(spark, sf).select(F.col("event_type").alias("service"), (F.unix_micros("ts") / 1e6).alias("t"), (F.col("event_id") % 3 != 0).alias("ok"))
+    return cache.circuit_breaker(c, failures=2, window_s=7200.0, open_s=3600.0).groupBy("service", "state").agg(F.count("*").alias("calls"), F.count_if("refused").alias("refused"))
+
+
+def _results(spark, sf):
+    """Documents of each source, judged by quality, in the order of their ids."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    return d.select(F.col("source").alias("query_id"), "doc_id", place.alias("position"), (F.col("quality") * (1 + F.col("n_chars") % 3)).cast("double").alias("relevance"))
+
+
+_RANKED = """r AS (SELECT d.source AS query_id, d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS position, CAST(l.quality * (1 + d.n_chars % 3) AS DOUBLE) AS relevance FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) - 1 AS ideal FROM r),
+n AS (SELECT query_id, sum(CASE WHEN position < 10 THEN relevance / log2(position + 2) ELSE 0 END) AS dcg, sum(CASE WHEN ideal < 10 THEN relevance / log2(ideal + 2) ELSE 0 END) AS idcg FROM i GROUP BY query_id)"""
+
+
+@query(f"WITH {_RANKED} SELECT query_id, round(dcg, 6) AS dcg, round(idcg, 6) AS idcg, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg FROM n")
+def dcg_ndcg(spark, sf):
+    return ranking.dcg(_results(spark, sf), 10).select("query_id", *(r6(c).alias(c) for c in ("dcg", "idcg", "ndcg")))
+
+
+@query(f"WITH {_RANKED} SELECT query_id, round(coalesce(1.0 / (min(CASE WHEN relevance > 0 THEN position END) + 1), 0), 6) AS mrr, round(count(*) FILTER (WHERE position < 10 AND relevance > 0) / count(*) FILTER (WHERE relevance > 0), 6) AS recall FROM r GROUP BY query_id")
+def mrr_recall(spark, sf):
+    r = _results(spark, sf)
+    totals = r.groupBy("query_id").agg(F.count_if(F.col("relevance") > 0).alias("total"))
+    return ranking.mrr(r).join(ranking.recall(r, totals, 10), "query_id").select("query_id", r6("mrr").alias("mrr"), r6("recall").alias("recall"))
+
+
+@query(f"WITH {_RANKED} SELECT round(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END), 6) AS mean_ndcg, count(*) AS queries FROM n")
+def mean_ndcg(spark, sf):
+    return ranking.mean_ndcg(_results(spark, sf), 10).select(r6("mean_ndcg").alias("mean_ndcg"), "queries")
+
+
+@query("""WITH s AS (SELECT event_type AS service, value AS latency_ms, event_id % 4 <> 0 AS hit, event_id % 500 = 0 AS error FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY latency_ms) - 1 AS i, count(*) OVER (PARTITION BY service) AS n FROM s),
+a AS (SELECT service, count(*) AS total, max(CASE WHEN i = least(floor(0.99 * n), n - 1) THEN latency_ms END) AS p99, avg(hit::INT) AS hit_rate, avg(error::INT) AS error_rate FROM r GROUP BY service)
+SELECT service, total, round(p99, 6) AS p99, round(hit_rate, 6) AS hit_rate, round(1 - error_rate, 6) AS availability, ((p99 > 10)::INT + (hit_rate < 0.7)::INT + (error_rate > 0.001)::INT + (1 - error_rate < 0.999)::INT)::INTEGER AS breaches FROM a""")
+def slo_status(spark, sf):
+    s = log(spark, sf).select(F.col("event_type").alias("service"), F.col("value").alias("latency_ms"), (F.col("event_id") % 4 != 0).alias("hit"), (F.col("event_id") % 500 == 0).alias("error"))
+    return ops.slo(s, least=1).select("service", "total", r6("p99").alias("p99"), r6("hit_rate").alias("hit_rate"), r6("availability").alias("availability"), "breaches")
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, round(max(CASE WHEN i = least(floor(0.5 * n), n - 1) THEN value END), 6) AS p50, round(max(CASE WHEN i = least(floor(0.9 * n), n - 1) THEN value END), 6) AS p90, round(max(CASE WHEN i = least(floor(0.99 * n), n - 1) THEN value END), 6) AS p99 FROM r GROUP BY event_type""")
+def latency_percentiles(spark, sf):
+    return hotness.nearest_rank(log(spark, sf), ["event_type"], "value", [50, 90, 99]).select("event_type", *(r6(p).alias(p) for p in ("p50", "p90", "p99")))
+
+
+def _usage(spark, sf):
+    op = F.element_at(F.array(F.lit("query"), F.lit("insert"), F.lit("delete")), (F.col("event_id") % 3 + 1).cast("int"))
+    return log(spark, sf).select((F.col("doc_id") % 10).alias("tenant"), op.alias("op"), "doc_id", F.col("event_id").alias("seq"))
+
+
+_USAGE = "u AS (SELECT user_id % 10 AS tenant, event_id % 3 AS k, user_id AS doc_id, event_id AS seq FROM events)"
+
+
+@query(f"WITH {_USAGE} SELECT tenant, count(*) FILTER (WHERE k = 0) AS query_count, count(*) FILTER (WHERE k = 1) AS insert_count, count(*) FILTER (WHERE k = 2) AS delete_count, count(*) AS billable_events FROM u GROUP BY tenant")
+def usage_by_tenant(spark, sf):
+    return ops.usage(_usage(spark, sf))
+
+
+@query(f"""WITH {_USAGE}, s AS (SELECT tenant, seq, sum(CASE k WHEN 1 THEN 2 WHEN 2 THEN -3 ELSE 0 END) OVER (PARTITION BY tenant ORDER BY seq) AS p FROM u)
+SELECT tenant, seq, CAST(p - least(0, min(p) OVER (PARTITION BY tenant ORDER BY seq)) AS BIGINT) AS value FROM s""")
+def usage_saturating(spark, sf):
+    e = _usage(spark, sf).withColumn("delta", F.when(F.col("op") == "insert", 2).when(F.col("op") == "delete", -3).otherwise(0))
+    return ops.saturating(e, "tenant", "seq", "delta").select("tenant", "seq", "value")
+
+
+@query(f"""WITH {_USAGE}, f AS (SELECT tenant, doc_id, min(seq) AS first FROM u WHERE k = 1 GROUP BY tenant, doc_id), p AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY first) AS place FROM f)
+SELECT u.tenant, u.doc_id, u.seq, p.place <= 8 AS accepted FROM u JOIN p ON u.tenant = p.tenant AND u.doc_id = p.doc_id WHERE u.k = 1""")
+def quota(spark, sf):
+    return ops.quota(_usage(spark, sf).where("op = 'insert'").drop("op"), 8)
+
+
+_BACKUPS = "b AS (SELECT event_id AS id, CASE WHEN event_id % 50 <> 0 THEN event_id - 1 END AS parent_id, epoch_us(ts) // 1000000 AS ts, CASE WHEN event_id % 50 = 0 THEN 'full' ELSE 'incremental' END AS kind FROM events), m AS (SELECT max(ts) AS now FROM b)"
+
+
+def _backups(spark, sf):
+    e = log(spark, sf)
+    return e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 50 != 0, F.col("event_id") - 1).alias("parent_id"), F.unix_seconds("ts").alias("ts"), F.when(F.col("event_id") % 50 == 0, "full").otherwise("incremental").alias("kind"))
+
+
+@query(f"""WITH {_BACKUPS}, c AS (SELECT id, ts, now - ts AS age, CASE WHEN now - ts < 86400 THEN 'hourly' WHEN now - ts < 604800 THEN 'daily' WHEN now - ts < 2419200 THEN 'weekly' WHEN now - ts < 31104000 THEN 'monthly' ELSE 'expired' END AS class,
+CASE WHEN now - ts < 86400 THEN ts // 3600 WHEN now - ts < 604800 THEN ts // 86400 WHEN now - ts < 2419200 THEN ts // 604800 WHEN now - ts < 31104000 THEN ts // 2592000 ELSE -1 END AS bucket FROM b, m),
+r AS (SELECT *, row_number() OVER (PARTITION BY class, bucket ORDER BY ts DESC, id DESC) AS k FROM c)
+SELECT id, class, CAST(bucket AS BIGINT) AS bucket, (k = 1 AND class <> 'expired') OR age < 7200 AS keep FROM r""")
+def retention(spark, sf):
+    b = _backups(spark, sf)
+    now = b.agg(F.max("ts")).first()[0]
+    return ops.retention(b, now, least_age=7200).select("id", "class", "bucket", "keep")
+
+
+@query(f"""WITH RECURSIVE {_BACKUPS}, c AS (SELECT id, parent_id, ts, kind, 0 AS step FROM (SELECT b.* FROM b, m WHERE kind = 'full' AND ts <= now - 864000 ORDER BY ts DESC, id DESC LIMIT 1)
+UNION ALL SELECT b.id, b.parent_id, b.ts, b.kind, c.step + 1 FROM b JOIN c ON b.parent_id = c.id JOIN m ON b.ts <= now - 864000)
+SELECT id, kind, CAST(step AS INTEGER) AS step FROM c""")
+def pitr_chain(spark, sf):
+    b = _backups(spark, sf)
+    return ops.chain(b, b.agg(F.max("ts")).first()[0] - 864000).select("id", "kind", F.col("step").cast("int").alias("step"))
+
+
+@query("""WITH w AS (SELECT user_id AS doc_id, ts, unnest(range(24)) AS k FROM events),
+s AS (SELECT doc_id, ts, to_timestamp((epoch_us(ts) // 3600000000 - k) * 3600) AS start FROM w)
+SELECT doc_id, CAST(epoch_us(start) // 1000000 AS BIGINT) AS start_s, count(*) AS accesses FROM s GROUP BY doc_id, start""")
+def window_counts(spark, sf):
+    return jobs.windowed_counts(log(spark, sf), "24 hours", "1 hour").select("doc_id", F.unix_seconds("start").alias("start_s"), "accesses")
+
+
+THRESHOLDS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+
+
+@query(f"""WITH {CORPUS}, e AS (SELECT e.vec_id, label FROM embeddings e), p AS (SELECT query_id, doc_id, e.label = c.label AS same, {DOT} AS cos FROM q JOIN e ON q.query_id = e.vec_id JOIN c ON q.query_id <> c.doc_id),
+t AS (SELECT unnest([{', '.join(map(str, THRESHOLDS))}]) AS threshold)
+SELECT CAST(threshold AS DOUBLE) AS threshold, round(count(*) FILTER (WHERE same AND cos >= threshold) / count(*) FILTER (WHERE same), 6) AS tpr, round(count(*) FILTER (WHERE NOT same AND cos >= threshold) / count(*) FILTER (WHERE NOT same), 6) AS fpr FROM p, t GROUP BY threshold""")
+def threshold_roc(spark, sf):
+    """The stated queries against all rows: how often a cosine reaches each threshold, by equal and different labels."""
+    c = corpus(spark, sf)
+    own = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    near = knn.knn(c, asked(spark, sf), knn.MOST_K, keep=("label",), skip_self=True).join(own, "query_id").withColumn("same", F.col("label") == F.col("own"))
+    cells = near.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in THRESHOLDS))))
+    rate = lambda same: r6(F.count_if(same & (F.col("score") >= F.col("threshold"))) / F.count_if(same))
+    return cells.groupBy("threshold").agg(rate(F.col("same")).alias("tpr"), rate(~F.col("same")).alias("fpr"))
+
+
+@query(f"""WITH u AS (SELECT label, vec_id, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+t AS (SELECT label, i, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM u GROUP BY label, i)
+SELECT label, max(n) AS n, round((sum(s * s) - sum(q)) / (max(n) * (max(n) - 1.0)), 6) AS similarity FROM t GROUP BY label""")
+def cluster_similarity(spark, sf):
+    """Mean cosine within each label without the diagonal, from sums: |sum x|^2 is the sum of all products."""
+    e = table(spark, sf, "embeddings").select("label", F.posexplode(V.as_double(F.col("embedding"))).alias("i", "x"))
+    t = e.groupBy("label", "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
+    return t.groupBy("label").agg(F.max("n").alias("n"), r6((F.sum(F.col("s") * F.col("s")) - F.sum("q")) / (F.max("n") * (F.max("n") - 1.0))).alias("similarity"))
+
+
+def _cached(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.where("vec_id % 100 < 50").select(F.col("vec_id").alias("cache_id"), F.col("label").alias("scope"), (F.col("vec_id") % 10).alias("hash"), (F.col("vec_id") % 15).alias("k"), "embedding", F.col("vec_id").alias("seq"))
+
+
+@query(f"""WITH e AS (SELECT *, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, label AS scope, vec_id AS hash, v AS a FROM e WHERE vec_id % 100 = 0),
+c AS (SELECT vec_id AS cache_id, label AS scope, vec_id % 10 AS hash, vec_id % 15 AS k, v AS b FROM e WHERE vec_id % 100 BETWEEN 1 AND 49),
+s AS (SELECT query_id, cache_id, round({DOT}, 12) AS sim FROM q JOIN c ON q.scope = c.scope AND c.k >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, cache_id DESC) AS n FROM s WHERE sim > 0.2)
+SELECT q.query_id, r.cache_id, CASE WHEN r.cache_id IS NULL THEN 'miss' ELSE 'similar' END AS path, round(r.sim, 6) AS sim FROM q LEFT JOIN r ON q.query_id = r.query_id AND r.n = 1""")
+def query_cache_lookup(spark, sf):
+    e = table(spark, sf, "embeddings").where("vec_id % 100 = 0")
+    a = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"), (F.col("vec_id") + 1000).alias("hash"), F.lit(5).alias("k"), "embedding")
+    return cache.query_cache_lookup(a, _cached(spark, sf).where("cache_id % 100 > 0"), threshold=0.2, scan_limit=1 << 30).withColumn("sim", r6("sim"))
+
+
+@query(f"""WITH {CORPUS}, d AS (SELECT query_id, doc_id, round({COS}, 12) AS distance FROM q CROSS JOIN c WHERE label < 8), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS k FROM d),
+w AS (SELECT query_id, max(distance) AS worst, count(*) AS n FROM r WHERE k <= {K} GROUP BY query_id)
+SELECT DISTINCT q.query_id AS cache_id FROM q JOIN w ON q.query_id = w.query_id JOIN c ON c.label >= 8 AND (n < {K} OR round({COS}, 12) <= worst)""")
+def query_cache_invalidate(spark, sf):
+    c, q = corpus(spark, sf), asked(spark, sf)
+    results = knn.knn(c.where("label < 8"), q, K).select(F.col("query_id").alias("cache_id"), "distance")
+    cached = q.select(F.col("query_id").alias("cache_id"), F.lit(K).alias("k"), "embedding")
+    return cache.invalidated(results, cached, c.where("label >= 8"))
