@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("query_id")
+def _by():
+    return Window.partitionBy("query_id")
+
 
 
 def _gain(place: Column) -> Column:
@@ -14,8 +16,8 @@ def _gain(place: Column) -> Column:
 
 def dcg(results: DataFrame, k: int) -> DataFrame:
     """(query_id, dcg, idcg, ndcg) over the first k entries of each list; ndcg is 0 where the ideal is."""
-    listed = F.row_number().over(BY.orderBy("position", "doc_id")) - 1
-    ideal = F.row_number().over(BY.orderBy(F.col("relevance").desc(), "doc_id")) - 1
+    listed = F.row_number().over(_by().orderBy("position", "doc_id")) - 1
+    ideal = F.row_number().over(_by().orderBy(F.col("relevance").desc(), "doc_id")) - 1
     sums = results.withColumn("_p", listed).withColumn("_i", ideal).groupBy("query_id").agg(F.sum(F.when(F.col("_p") < k, _gain(F.col("_p"))).otherwise(0.0)).alias("dcg"), F.sum(F.when(F.col("_i") < k, _gain(F.col("_i"))).otherwise(0.0)).alias("idcg"))
     return sums.withColumn("ndcg", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0))
 
