@@ -117,7 +117,7 @@ def _counts(store: S.Store, shards: int, ks: list[int]):
                 at = _probe(store, shards, k, r)
                 doc = np.searchsorted(off, at, "right") - 1
                 found.append(r[at[at + k <= off[doc + 1]]])
-            key, n = X.sum_runs(np.concatenate(found), np.ones(sum(map(len, found)), np.int64))
+            key, n = X.sum_runs(np.concatenate([np.zeros(0, X.U), *found]), np.ones(sum(map(len, found)), np.int64))
             yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "n": pa.array(n)})
 
     return f

@@ -80,9 +80,10 @@ def packed(docs: DataFrame, *, lengths: tuple[int, ...] = LENGTHS, group: int =
     groups = max(1, -(-pieces.count() // group))
 
     def pack(batches):
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        t = pa.Table.from_batches(batches)
         g, size, id_, salt, piece = (t.column(c).fill_null(-(1 << 63)).to_numpy() for c in ("g", "n_tokens", "doc_id", "salt", "piece"))
         order = np.lexsort((piece, salt, id_, -size, g))
         t, g = t.take(pa.array(order)), g[order]

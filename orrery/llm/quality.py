@@ -124,7 +124,7 @@ def _tree2(grad: np.ndarray, hess: np.ndarray, ridge: float) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 32, rounds: int = 150, rate: float = 0.1, depth: int = 2, pairs: int = 6, pair_rounds: int = 30, ridge: float = 1.0) -> Model:
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         start = float(np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3))))
         return Model([np.zeros(0)] * len(FEATURES), start, [np.zeros(1)] * len(FEATURES))
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
