@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import _store as S
 
 ROWS_PER_TREE = 32_768
-LEAF, FAN = 256, 16
+LEAF, FAN = 2048, 16
 
 
 def _matrix(col, width: int, scale: float) -> np.ndarray:
@@ -38,11 +38,11 @@ def _matrix(col, width: int, scale: float) -> np.ndarray:
     return out
 
 
-def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers."""
-    if x.size and y.size and np.abs(x).max() * np.abs(y).max() * x.shape[-1] >= 2.0**53:
-        return x.astype(np.int64) @ y.astype(np.int64)
-    return x @ y
+def _dots(x: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
+    """Exact inner products of whole numbers; bound is the product of the squared norms, above each partial sum's square."""
+    if bound >= 2.0**104:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    return x @ q
 
 
 def tree(ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -120,8 +120,9 @@ class Search:
                 ok = t["key"][part] != own
                 if len(ids) == k:
                     ok &= bound(t, np.abs(d - t["apart"][part]) - slack) >= scores[-1]
-                at = lo + np.flatnonzero(ok)
-                s, n = _dots(t["x"][at], q), t["key"][at]
+                if not ok.any():
+                    continue
+                s, n = _dots(t["x"][part], q, q2 * t["top"][0])[ok], t["key"][part][ok]
                 if len(ids) == k:
                     ok = s >= scores[-1]
                     s, n = s[ok], n[ok]
