@@ -170,3 +170,8 @@ def invalidated(results: DataFrame, cached: DataFrame, inserted: DataFrame) -> D
     pairs = c.join(new, F.coalesce(F.col("n"), F.lit(0)) < F.col("k"), "left_semi").select("cache_id")
     full = c.where(F.col("n") >= F.col("k")).join(new, F.round(F.greatest(F.lit(0.0), 1 - cosine_similarity(F.col("embedding"), F.col("new"))), 12) <= F.round("worst", 12), "left_semi").select("cache_id")
     return pairs.unionByName(full).distinct()
+
+
+def invalidated_by_docs(results: DataFrame, changed: DataFrame) -> DataFrame:
+    """results: cache_id, doc_id; changed: doc_id. Cached queries whose results hold a changed document."""
+    return results.join(changed.select("doc_id"), "doc_id", "left_semi").select("cache_id").distinct()

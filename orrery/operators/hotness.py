@@ -83,3 +83,28 @@ def nearest_rank(values: DataFrame, by: list[str], value: str, percents: list[fl
     ranked = values.where(F.col(value).isNotNull()).withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1)
     index = lambda p: F.least(F.floor(F.lit(p / 100) * F.col("_n")), F.col("_n") - 1) if rule == "floor" else F.floor(F.lit(p / 100) * (F.col("_n") - 1) + 0.5)
     return ranked.groupBy(*by).agg(*(F.max(F.when(F.col("_i") == index(p), F.col(value))).alias(f"p{p:g}") for p in percents))
+
+
+def predictor_stats(scores: DataFrame, threshold: float, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
+    """One row: tracked documents, those above the threshold, the mean score, and percentiles by round(p/100 * (n - 1)).
+
+    Scores lie in [0, 1]. Counts of at most 10,001 ranges tell which ranges hold the percentiles; only the different
+    scores of those are ranked.
+    """
+    values = scores.groupBy("score").agg(F.count("*").alias("c")).withColumn("range", F.floor(F.col("score") * 10_000))
+    ranges = values.groupBy("range").agg(F.sum("c").alias("size"))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ranges.withColumn("below", F.sum("size").over(upto) - F.col("size")).withColumn("n", F.sum("size").over(Window.partitionBy()))
+    wanted = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.floor(p / 100 * (F.col("n") - 1) + 0.5).alias("at")) for p in percents)))
+    held = ranges.select("range", "size", "below", wanted.alias("w")).where("w.at >= below AND w.at < below + size").select("range", "w.p", (F.col("w.at") - F.col("below")).alias("at"))
+    running = F.sum("c").over(Window.partitionBy("p").orderBy("score"))
+    placed = values.join(F.broadcast(held), "range").withColumn("end", running).where("at >= end - c AND at < end")  # one row of held to each percentile
+    points = placed.agg(*(F.max(F.when(F.col("p") == p, F.col("score"))).alias(f"p{p}") for p in percents))
+    whole = scores.agg(F.count("*").alias("tracked"), F.count_if(F.col("score") > threshold).alias("hot"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean"))
+    return whole.withColumn("_one", F.lit(1)).join(points.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def confusion(predictions: DataFrame) -> DataFrame:
+    """predictions: predicted, actual (booleans): how many of each combination."""
+    hit = lambda p, a: F.count_if((F.col("predicted") == p) & (F.col("actual") == a))
+    return predictions.agg(hit(True, True).alias("tp"), hit(True, False).alias("fp"), hit(False, True).alias("fn"), hit(False, False).alias("tn"))

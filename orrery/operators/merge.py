@@ -34,3 +34,11 @@ def first_of_equal(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def new_segments(all_: DataFrame, backed_up: DataFrame, key: str = "segment") -> DataFrame:
     return all_.join(backed_up.select(key), key, "left_anti")
+
+
+def by_precedence(tiers: list[DataFrame], key: str = "doc_id") -> DataFrame:
+    """Each key's row of the first tier that holds it, with the tier's place; all tiers have the same columns."""
+    rows = reduce(DataFrame.unionByName, [t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)])
+    others = [c for c in rows.columns if c not in (key, "tier")]
+    first = rows.groupBy(key).agg(F.min_by(F.struct("tier", *others), "tier").alias("_first"))
+    return first.select(key, *(F.col(f"_first.{c}").alias(c) for c in ("tier", *others)))

@@ -502,3 +502,58 @@ def query_cache_invalidate(spark, sf):
     results = knn.knn(c.where("label < 8"), q, K).select(F.col("query_id").alias("cache_id"), "distance")
     cached = q.select(F.col("query_id").alias("cache_id"), F.lit(K).alias("k"), "embedding")
     return cache.invalidated(results, cached, c.where("label >= 8"))
+
+
+@query(f"WITH {CORPUS}, d AS (SELECT query_id, doc_id, round({COS}, 12) AS distance, label FROM q CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS k FROM d) SELECT DISTINCT query_id AS cache_id FROM r WHERE k <= {K} AND label = 9")
+def query_cache_invalidate_docs(spark, sf):
+    c = corpus(spark, sf)
+    results = knn.knn(c, asked(spark, sf), K).select(F.col("query_id").alias("cache_id"), "doc_id")
+    return cache.invalidated_by_docs(results, c.where("label = 9"))
+
+
+@query(f"WITH {CORPUS}, d AS (SELECT query_id, doc_id, round({COS}, 12) AS distance FROM q CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id)::INTEGER AS rank FROM d) SELECT query_id, doc_id, rank FROM r WHERE rank <= 5")
+def served_accesses(spark, sf):
+    """The first results of each search, as they go to the access log."""
+    return knn.knn(corpus(spark, sf), asked(spark, sf), K).where("rank <= 5").select("query_id", "doc_id", "rank")
+
+
+@query("SELECT vec_id AS doc_id, (CASE WHEN label = 1 THEN 0 WHEN label < 3 THEN 1 ELSE 2 END)::INTEGER AS tier FROM embeddings")
+def tier_lookup(spark, sf):
+    """Cache before hot tier before cold tier."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return merge.by_precedence([e.where("label = 1"), e.where("label < 3"), e]).select("doc_id", "tier")
+
+
+@query(f"""WITH {_HOT}, r AS (SELECT round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9)) - 1 AS i, count(*) OVER () AS n FROM s)
+SELECT count(*) AS tracked, count(*) FILTER (WHERE score > 0.5) AS hot, round(avg(score), 6) AS mean, {', '.join(f"round(max(CASE WHEN i = floor({p / 100} * (n - 1) + 0.5) THEN score END), 6) AS p{p}" for p in (50, 90, 99))} FROM r""")
+def predictor_stats(spark, sf):
+    out = hotness.predictor_stats(_scores(spark, sf).withColumn("score", F.round("score", 9)), 0.5)
+    return out.select("tracked", "hot", *(r6(c).alias(c) for c in ("mean", "p50", "p90", "p99")))
+
+
+@query(f"""WITH {_HOT}, c AS (SELECT round(score, 9) >= 0.5 AS p, accesses >= 3 AS a FROM s)
+SELECT count(*) FILTER (WHERE p AND a) AS tp, count(*) FILTER (WHERE p AND NOT a) AS fp, count(*) FILTER (WHERE NOT p AND a) AS fn, count(*) FILTER (WHERE NOT p AND NOT a) AS tn FROM c""")
+def prediction_confusion(spark, sf):
+    return hotness.confusion(_scores(spark, sf).select((F.round("score", 9) >= 0.5).alias("predicted"), (F.col("accesses") >= 3).alias("actual")))
+
+
+@query(f"""WITH {_HOT}, f AS (SELECT user_id AS d, count(*) FILTER (WHERE event_id % 7 = 0) AS fp, count(*) FILTER (WHERE event_id % 5 = 0) AS fn, count(*) % 10 AS streak FROM events GROUP BY user_id),
+x AS (SELECT *, CASE WHEN fp > 0 THEN greatest(0.05, score - least(0.55, 0.15 * fp * (0.5 + 0.5 * greatest(0.1, exp(-0.5))))) ELSE score END AS a FROM s JOIN f ON s.doc_id = f.d),
+y AS (SELECT *, CASE WHEN fn > 0 THEN least(1.0, a + least(0.20, 0.02 * fn)) ELSE a END AS b FROM x)
+SELECT doc_id, round(CASE WHEN streak >= 6 THEN greatest(0.05, b / (1 + 0.35 * least(streak, 64))) ELSE b END, 6) AS score FROM y""")
+def feedback_corrections(spark, sf):
+    n = lambda k: F.count_if(F.col("event_id") % k == 0)
+    feedback = log(spark, sf).groupBy("doc_id").agg(n(7).alias("fp"), F.lit(30.0).alias("fp_age_s"), n(5).alias("fn"), (F.count("*") % 10).alias("streak"))
+    return hotness.corrected(_scores(spark, sf), feedback, 0.05).select("doc_id", r6("score").alias("score"))
+
+
+@query(f"WITH {_USAGE} SELECT count(*) FILTER (WHERE k = 0) AS query_count, count(*) FILTER (WHERE k = 1) AS insert_count, count(*) FILTER (WHERE k = 2) AS delete_count, count(*) AS billable_events, count(DISTINCT tenant) AS tenants FROM u")
+def usage_totals(spark, sf):
+    u = ops.usage(_usage(spark, sf))
+    return u.agg(*(F.sum(c).alias(c) for c in ("query_count", "insert_count", "delete_count", "billable_events")), F.count("*").alias("tenants"))
+
+
+@query("SELECT CAST(o_orderkey // 1000 AS BIGINT) AS segment, max(o_orderkey) AS max_seq FROM orders GROUP BY 1 HAVING max(o_orderkey) > 3000")
+def wal_segments_kept(spark, sf):
+    segments = _changes(spark, sf).groupBy(F.floor(F.col("seq") / 1000).alias("segment")).agg(F.max("seq").alias("max_seq"))
+    return store.kept_segments(segments, 3000)
