@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vector import cosine_similarity
+from ..functions.vector import clamp, cosine_similarity
 
 
 def fold(rows: DataFrame, key: str, order: list[str], new, step, out: T.StructType, parts: int | None = None) -> DataFrame:
@@ -75,23 +75,58 @@ def learned(accesses: DataFrame, capacity: int, threshold: float, *, warm: int |
     return fold(accesses, key, list(order), new, step, HIT)
 
 
-def semantic_admission(frequency, semantic, *, floor: float = 0.35):
-    """A score of both, with bonuses for a strong or fair semantic match."""
-    norm = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (semantic + 1) / 2))
-    bonus = F.when(semantic >= 0.85, 0.06).when(semantic >= 0.70, 0.02).otherwise(0.0)
-    return F.greatest(F.lit(floor), F.least(F.lit(1.0), 0.55 * frequency + 0.45 * norm + bonus))
+# Fixed values of the admission by frequency and likeness.
+SURE, LEAST_SEED, WEAK_LIKENESS, LIKENESS_FLOOR, ALIKE, VERY_ALIKE = 0.60, 0.20, 0.38, 0.35, 0.80, 0.96
 
 
-def admission_bias(intervals: DataFrame, *, max_bias: float = 0.2, step_share: float = 0.35) -> DataFrame:
-    """intervals: cache_id, pos, util, feedback, evict, miss (each 0 to 1): the bias moves towards its target by limited steps."""
+def semantic_score(frequency: Column, likeness: Column) -> Column:
+    """Both weighed, with a bonus for high likeness, in [0, 1]."""
+    above = clamp((likeness - LIKENESS_FLOOR) / (1 - LIKENESS_FLOOR), 0.0, 1.0)
+    bonus = F.when(likeness >= VERY_ALIKE, 0.06).when(likeness >= ALIKE, 0.02).otherwise(0.0)
+    return clamp(0.55 * frequency + 0.45 * above + bonus, 0.0, 1.0)
+
+
+def semantic_admission(frequency: Column, likeness: Column, threshold: float) -> Column:
+    """Whether a document is admitted; likeness is null while the cache is empty, when frequency decides alone."""
+    t = min(1.0, max(0.05, threshold))
+    sure = frequency >= max(SURE, min(1.0, t + 0.25))
+    weak = (likeness < WEAK_LIKENESS) & (frequency <= 0.75 * t)
+    return F.when(sure, True).when(likeness.isNull(), frequency > max(t, LEAST_SEED)).otherwise(~weak & (semantic_score(frequency, likeness) >= t))
+
+
+# Fixed values of the adaptive bias.
+DEADBAND, MISS_FLOOR, STREAK_WEIGHT, STEP_SHARE, LEAST_STEP = 0.03, 0.35, 0.5, 0.35, 0.005
+LEAST_FEEDBACK, LEAST_REQUESTS, LEAST_INSERTS = 4, 32, 8
+
+
+def admission_bias(intervals: DataFrame, *, target: float = 0.90, most: float = 0.18) -> DataFrame:
+    """intervals with bias, which is added to the admission threshold, for each cache_id in the order of pos.
+
+    intervals: cache_id, pos, running counts hits, misses, evictions and insertions, the cache's size and capacity, and
+    the documents wrongly cached (fp), wrongly left out (fn) and in a streak of misses (streak). A full cache, evictions and
+    wrongly cached documents raise the bias; an empty one and misses lower it, by limited steps.
+    """
+    by = Window.partitionBy("cache_id").orderBy("pos")
+    grown = lambda c: F.greatest(F.col(c) - F.lag(c).over(by), F.lit(0))
+    share = lambda part, whole, least: F.when(F.lag("pos").over(by).isNotNull() & (whole >= least), clamp(part / whole, 0.0, 1.0)).otherwise(0.0)
+    used = F.when(F.col("capacity") > 0, clamp(F.col("size") / F.col("capacity"), 0.0, 1.0)).otherwise(0.0)
+    off = used - target
+    fill = F.when(F.abs(off) <= DEADBAND, 0.0).when(off > 0, clamp(off / max(1 - target, 0.05), 0.0, 1.0)).otherwise(clamp(off / max(target, 0.05), -1.0, 0.0))
+    cold = F.col("fn") + STREAK_WEIGHT * F.col("streak")
+    total = cold + F.col("fp")
+    feedback = F.when(total < LEAST_FEEDBACK, 0.0).otherwise((F.col("fp") - cold) / total)
+    pressure = share(grown("evictions"), grown("insertions"), LEAST_INSERTS)
+    missed = share(grown("misses"), grown("hits") + grown("misses"), LEAST_REQUESTS)
+    relief = F.when((used < target - DEADBAND) & (missed > MISS_FLOOR), 0.10 * (missed - MISS_FLOOR) / (1 - MISS_FLOOR)).otherwise(0.0)
+    goal = clamp(0.60 * fill + 0.25 * feedback + 0.15 * pressure - relief, -1.0, 1.0) * most
+    limit = min(max(STEP_SHARE * most, LEAST_STEP), max(most, LEAST_STEP))
 
     def step(state, r):
-        target = max_bias * max(-1.0, min(1.0, 0.60 * r.util + 0.25 * r.feedback + 0.15 * r.evict - r.miss))
-        limit = step_share * max_bias
-        state["b"] += max(-limit, min(limit, target - state["b"]))
+        state["b"] = max(-most, min(most, state["b"] + max(-limit, min(limit, r.wanted_bias - state["b"]))))
         return (float(state["b"]),)
 
-    return fold(intervals, "cache_id", ["pos"], lambda: {"b": 0.0}, step, T.StructType([T.StructField("bias", T.DoubleType())]))
+    rows = intervals.withColumn("wanted_bias", goal)
+    return fold(rows, "cache_id", ["pos"], lambda: {"b": 0.0}, step, T.StructType([T.StructField("bias", T.DoubleType())])).drop("wanted_bias")
 
 
 def token_bucket(requests: DataFrame, rate: float, burst: float, key: str = "tenant") -> DataFrame:

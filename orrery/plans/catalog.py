@@ -557,3 +557,24 @@ def usage_totals(spark, sf):
 def wal_segments_kept(spark, sf):
     segments = _changes(spark, sf).groupBy(F.floor(F.col("seq") / 1000).alias("segment")).agg(F.max("seq").alias("max_seq"))
     return store.kept_segments(segments, 3000)
+
+
+@query(f"""WITH {_HOT}, c AS (SELECT doc_id, round(score, 9) AS f, CASE WHEN doc_id % 11 <> 0 THEN (doc_id * 37 % 101) / 101.0::DOUBLE END AS l FROM s),
+y AS (SELECT *, least(1.0, greatest(0.0, 0.55::DOUBLE * f + 0.45::DOUBLE * least(1.0, greatest(0.0, (l - 0.35::DOUBLE) / 0.65::DOUBLE)) + CASE WHEN l >= 0.96 THEN 0.06 WHEN l >= 0.8 THEN 0.02 ELSE 0 END)) AS score FROM c)
+SELECT doc_id, round(CASE WHEN l IS NOT NULL THEN score END, 6) AS score, CASE WHEN f >= 0.75 THEN true WHEN l IS NULL THEN f > 0.5 WHEN l < 0.38 AND f <= 0.375 THEN false ELSE score >= 0.5 END AS admitted FROM y""")
+def semantic_admission(spark, sf):
+    likeness = F.when(F.col("doc_id") % 11 != 0, (F.col("doc_id") * 37 % 101) / F.lit(101.0))
+    s = _scores(spark, sf).select("doc_id", F.round("score", 9).alias("f"), likeness.alias("l"))
+    return s.select("doc_id", F.when(F.col("l").isNotNull(), r6(cache.semantic_score(F.col("f"), F.col("l")))).alias("score"), cache.semantic_admission(F.col("f"), F.col("l"), 0.5).alias("admitted"))
+
+
+@query()
+def admission_bias(spark, sf):
+    """Hours are the intervals; a limited step is a fold."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    i = F.col("event_id") % 10
+    e = log(spark, sf).groupBy((F.col("doc_id") % CACHES).alias("cache_id"), F.floor(F.unix_seconds("ts") / 3600).alias("pos")).agg(n(i < 5, "hits"), n(i >= 5, "misses"), n(i >= 7, "evictions"), n(i >= 6, "insertions"), n(i == 1, "fp"), n(i == 2, "fn"), n(i == 3, "streak"))
+    running = Window.partitionBy("cache_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumns({c: F.sum(c).over(running) for c in ("hits", "misses", "evictions", "insertions")})
+    e = e.withColumns({"size": F.least(F.lit(CAPACITY), F.col("insertions")), "capacity": F.lit(CAPACITY)})
+    return cache.admission_bias(e).select("cache_id", "pos", r6("bias").alias("bias"))

@@ -93,3 +93,28 @@ def test_files(spark, tmp_path):
     files.save_snapshot(docs.where("doc_id < 3"), str(tmp_path / "s"), 2)
     df, seq = files.load_snapshot(spark, str(tmp_path / "s"))
     assert (df.count(), seq) == (3, 2)
+
+
+def test_semantic_admission(spark):
+    rows = [(0.80, 0.0, True), (0.30, None, False), (0.55, None, True), (0.37, 0.37, False), (0.40, 1.0, True), (0.40, 0.40, False)]
+    df = spark.createDataFrame(rows, "f double, l double, want boolean")
+    assert df.where(cache.semantic_admission(F.col("f"), F.col("l"), 0.5) != F.col("want")).count() == 0
+    score = df.where("l = 1").select(cache.semantic_score(F.col("f"), F.col("l")).alias("s")).first().s
+    assert score == pytest.approx(0.55 * 0.4 + 0.45 + 0.06)
+
+
+def test_admission_bias(spark):
+    names = "cache_id long, pos long, hits long, misses long, evictions long, insertions long, size long, capacity long, fp long, fn long, streak long"
+    full = [(0, 0, 0, 0, 0, 0, 100, 100, 4, 0, 0), (0, 1, 40, 0, 10, 10, 100, 100, 4, 0, 0), (0, 2, 80, 0, 20, 20, 100, 100, 4, 0, 0), (0, 3, 80, 0, 20, 20, 90, 100, 0, 0, 0)]
+    empty = [(1, 0, 0, 0, 0, 0, 0, 100, 0, 4, 0), (1, 1, 0, 40, 0, 0, 0, 100, 0, 4, 0)]
+    got = cache.admission_bias(spark.createDataFrame(full + empty, names)).orderBy("cache_id", "pos").collect()
+    # steps of 0.063; the full cache's goals are 0.153, 0.18, 0.18 and 0
+    assert [r.bias for r in got] == pytest.approx([0.063, 0.126, 0.18, 0.117, -0.063, -0.126])
+
+
+def test_predictor_stats(spark):
+    s = spark.createDataFrame([(i, x) for i, x in enumerate([0.1, 0.1, 0.1, 0.5, 0.9])], "doc_id long, score double")
+    r = hotness.predictor_stats(s, 0.4).first()
+    assert (r.tracked, r.hot, r.p50, r.p90, r.p99) == (5, 2, 0.1, 0.9, 0.9)
+    none = hotness.predictor_stats(s.where("false"), 0.4).first()
+    assert (none.tracked, none.hot, none["mean"], none.p50) == (0, 0, 0.0, None)
