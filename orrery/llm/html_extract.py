@@ -15,6 +15,7 @@ elements end with what holds them. Incoming columns named like a result are drop
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,28 +37,31 @@ CONTAINERS = frozenset("article aside blockquote body div dl fieldset figure foo
 
 
 class Lines(HTMLParser):
-    """The page's blocks: words, tags met, and the open containers of each."""
+    """The page's blocks: words, tags met, and the innermost open element of each; elements form a tree by `parent`."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # name, whether it hides, number
         self.hides = self.number = self.tags = 0
         self.parts: list[str] = []
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
-        self.names: dict[int, str] = {0: "body"}
+        self.lines: list[tuple[str, int, bool, int]] = []
+        self.names, self.parent = ["body"], [0]
+        self.count: Counter[str] = Counter()  # open elements by name, so that no end is sought in vain
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.hides > 0, tuple(n for _, _, n in self.open)))
+            self.lines.append((text, self.tags, self.hides > 0, self.open[-1][2] if self.open else 0))
         self.parts, self.tags = [], 0
 
     def pop_to(self, k: int) -> None:
-        self.hides -= sum(h for _, h, _ in self.open[k:])
+        for name, h, _ in self.open[k:]:
+            self.hides -= h
+            self.count[name] -= 1
         del self.open[k:]
 
     def hidden(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in HIDDEN or (tag == "header" and not any(n in ARTICLE for n, _, _ in self.open)):
+        if tag in HIDDEN or (tag == "header" and not any(self.count[n] for n in ARTICLE)):
             return True
         if tag in ("body", "html"):
             return False
@@ -82,16 +86,20 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.end_line()
             self.close_implied(tag)
-        if tag == "body" or (tag in ARTICLE and any(h and n in ("head", "nav", "header", "title") for n, h, _ in self.open)):
+        if tag == "body" or (tag in ARTICLE and self.hides and any(h and n in ("head", "nav", "header", "title") for n, h, _ in self.open)):
             self.pop_to(next((i for i, (n, h, _) in enumerate(self.open) if h), len(self.open)))
         hide = self.hidden(tag, attrs)
         self.number += 1
         self.hides += hide
-        self.names[self.number] = tag
+        self.names.append(tag)
+        self.parent.append(self.open[-1][2] if self.open else 0)
+        self.count[tag] += 1
         self.open.append((tag, hide, self.number))
 
     def close_implied(self, tag: str) -> None:
         ends = ENDS.get(tag, {"p"})
+        if not any(self.count[n] for n in ends):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in ends:
                 return self.pop_to(k)
@@ -107,6 +115,8 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 return self.pop_to(k)
@@ -151,22 +161,31 @@ def main_text(html: str | None) -> str:
     ratios = np.array([0.0 if hide else len(text) / max(1, tags) for text, tags, hide, _ in p.lines])
     smooth = smoothed(ratios)
     content = (smooth >= threshold(smooth)) & (ratios > 0)
-    mass: dict[int, int] = {}
-    for (text, _, hide, path), good in zip(p.lines, content, strict=True):
-        for n in path if not hide else ():
-            mass[n] = mass.get(n, 0) + (len(text) if good else 0)
-    parents = {path[i]: path[:i] for _, _, _, path in p.lines for i in range(len(path))}
-    tops = [n for n in mass if p.names[n] in ARTICLE and not any(p.names[q] == "article" for q in parents[n])]
+    # an element's number is above its parent's: sums go up the tree in falling order, marks down it in rising order
+    mass, seen = [0] * len(p.names), [False] * len(p.names)
+    for (text, _, hide, n), good in zip(p.lines, content, strict=True):
+        if not hide:
+            seen[n] = True
+            mass[n] += len(text) if good else 0
+    for n in range(len(mass) - 1, 0, -1):
+        mass[p.parent[n]] += mass[n]
+        seen[p.parent[n]] |= seen[n]
+    below = [False] * len(mass)  # inside an article
+    for n in range(1, len(mass)):
+        below[n] = below[p.parent[n]] or p.names[p.parent[n]] == "article"
+    tops = [n for n in range(1, len(mass)) if seen[n] and p.names[n] in ARTICLE and not below[n]]
     if any(p.names[n] == "article" for n in tops):
         tops = [n for n in tops if p.names[n] == "article"]
+    region = 0
     if tops:
         region = max(tops, key=lambda n: (mass[n], -n))
-    else:
-        region, whole = 0, sum(len(t) for (t, _, _, _), good in zip(p.lines, content, strict=True) if good)
-        for n in sorted(mass):
-            if p.names[n] in CONTAINERS and whole and mass[n] >= 0.9 * whole and (region == 0 or region in parents[n]):
-                region = n
-    return " ".join(text for text, _, hide, path in p.lines if not hide and (region == 0 or region in path))
+    elif mass[0]:
+        # two elements that hold nine tenths each lie in one another, so the last is the innermost
+        region = max((n for n in range(1, len(mass)) if p.names[n] in CONTAINERS and mass[n] >= 0.9 * mass[0]), default=0)
+    inside = [n == region for n in range(len(mass))]
+    for n in range(1, len(mass)):
+        inside[n] = inside[n] or inside[p.parent[n]]
+    return " ".join(text for text, _, hide, n in p.lines if not hide and inside[n])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -284,6 +284,13 @@ PAGES = [
 ]
 
 
+def test_html_deep_and_stray():
+    n = 60_000
+    got = html_extract.main_text("<div>a" * n).split()
+    assert set(got) == {"a"} and len(got) >= 0.9 * n
+    assert html_extract.main_text("<span>" * n + "<h1>b</h1></section>" * n) == " ".join("b" * n)
+
+
 def test_html(spark):
     assert [html_extract.main_text(h) for h, _ in PAGES] == [t for _, t in PAGES]
     got = html_extract.extract(spark.createDataFrame([(h, "clash") for h, _ in PAGES], "html string, text string")).collect()
