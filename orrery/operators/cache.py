@@ -210,3 +210,34 @@ def invalidated(results: DataFrame, cached: DataFrame, inserted: DataFrame) -> D
 def invalidated_by_docs(results: DataFrame, changed: DataFrame) -> DataFrame:
     """results: cache_id, doc_id; changed: doc_id. Cached queries whose results hold a changed document."""
     return results.join(changed.select("doc_id"), "doc_id", "left_semi").select("cache_id").distinct()
+
+
+def query_cache_stats(lookups: DataFrame) -> DataFrame:
+    """lookups: path (exact, similar, miss), sim: hits of each kind, the hit rate and the mean similarity of similar hits, in one row."""
+    n = lambda path: F.count_if(F.col("path") == path)
+    mean = F.coalesce(F.avg(F.when(F.col("path") == "similar", F.col("sim"))), F.lit(0.0))
+    out = lookups.agg(n("exact").alias("exact_hits"), n("similar").alias("similarity_hits"), n("miss").alias("misses"), mean.alias("avg_similarity"))
+    hits = F.col("exact_hits") + F.col("similarity_hits")
+    return out.withColumns({"total_hits": hits, "hit_rate": F.coalesce(F.try_divide(hits, hits + F.col("misses")), F.lit(0.0))})
+
+
+def flushes(inserts: DataFrame, most: int, age_s: float, key: str = "tier_id") -> DataFrame:
+    """inserts: doc_id, t (seconds): size after each insert and whether the tier is drained at it.
+
+    It is drained when it holds `most` documents, or when its last drain (before the first: its oldest document) is
+    `age_s` old. A document inserted again counts once and is as young as its last insert. The state is below `most` rows.
+    """
+
+    def step(state, r):
+        held = state["held"]
+        held.pop(r.doc_id, None)
+        held[r.doc_id] = r.t  # times rise, so the first is the oldest
+        since = state["last"] if state["last"] is not None else next(iter(held.values()))
+        size, due = len(held), len(held) >= most or r.t - since >= age_s
+        if due:
+            held.clear()
+            state["last"] = r.t
+        return size, due
+
+    out = T.StructType([T.StructField("size", T.LongType()), T.StructField("drained", T.BooleanType())])
+    return fold(inserts, key, ["t", "doc_id"], lambda: {"held": OrderedDict(), "last": None}, step, out)

@@ -148,3 +148,13 @@ def oversampling(f) -> int:
 def search_width(k: int, f=None, namespace: bool = False) -> int:
     factor = oversampling(f if f is not None else Always())
     return min(k * (min(factor * 4, 10) if namespace else factor), 10_000) if k <= 10_000 else math.inf
+
+
+def of_tenant(results: DataFrame, tenant: str, id_: str = "id") -> DataFrame:
+    """Rows whose id reads `tenant:...`."""
+    return results.where(F.col(id_).startswith(f"{tenant}:"))
+
+
+def scope(tenant: Column, namespace: Column, filter_text: Column) -> Column:
+    """One number for what a cached search depends on beside its vector; nulls differ from empty texts."""
+    return F.xxhash64(F.struct(tenant.isNull(), tenant, namespace.isNull(), namespace, filter_text.isNull(), filter_text))

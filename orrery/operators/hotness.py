@@ -108,3 +108,20 @@ def confusion(predictions: DataFrame) -> DataFrame:
     """predictions: predicted, actual (booleans): how many of each combination."""
     hit = lambda p, a: F.count_if((F.col("predicted") == p) & (F.col("actual") == a))
     return predictions.agg(hit(True, True).alias("tp"), hit(True, False).alias("fp"), hit(False, True).alias("fn"), hit(False, False).alias("tn"))
+
+
+def training_cycles(log: DataFrame, every_s: int, window_s: int, least: int) -> DataFrame:
+    """(cycle, events, trained): a cycle every `every_s` after the log's first event sees its last `window_s`, and trains on `least` events or more."""
+    t = F.unix_micros("ts")
+    every, window = every_s * 1_000_000, window_s * 1_000_000
+    start, end = log.agg(F.min(t), F.max(t)).first()
+    spark = log.sparkSession
+    if start is None or end - start < every:
+        return spark.createDataFrame([], "cycle long, events long, trained boolean")
+    last = (end - start) // every
+    since = t - F.lit(start)
+    first = F.greatest(F.lit(1), F.ceil(since / every)).cast("long")
+    seen = F.least(F.lit(last), F.floor((since + window) / every)).cast("long")
+    counts = log.select(first.alias("a"), seen.alias("b")).where("a <= b").select(F.explode(F.sequence("a", "b")).alias("cycle")).groupBy("cycle").agg(F.count("*").alias("events"))
+    n = F.coalesce("events", F.lit(0))
+    return spark.range(1, last + 1).select(F.col("id").alias("cycle")).join(counts, "cycle", "left").select("cycle", n.alias("events"), (n >= least).alias("trained"))

@@ -7,6 +7,7 @@ a bounded size; more queries than one block are more passes over the corpus, in
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -50,6 +51,17 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum(0.0, 1.0 - q @ x.T)
 
 
+def _asked(queries: DataFrame, metric: str) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The queries on the driver, their ids and vectors; a number above the bound is an error."""
+    asked = queries.limit(MOST_QUERIES + 1).toArrow()
+    if asked.num_rows > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries in one call: search in several")
+    asked = asked.combine_chunks()
+    ids = asked.column("query_id").to_numpy()
+    vectors = matrix(asked.column("embedding").combine_chunks()) if len(ids) else np.zeros((0, 0))
+    return asked, ids, unit(vectors) if metric != "euclidean" and len(ids) else vectors
+
+
 def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *, where=None, min_score: float = 0.0, keep: tuple[str, ...] = (), skip_self: bool = False) -> DataFrame:
     """(query_id, rank, doc_id, distance, score, *keep) by rising distance, then doc_id.
 
@@ -60,13 +72,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *
     if where is not None and not isinstance(where, Always):
         corpus = corpus.where(compiled(where, F.col("metadata")))
     corpus = corpus.select("doc_id", "embedding", *keep)
-    asked = queries.select("query_id", "embedding").limit(MOST_QUERIES + 1).toArrow()
-    if asked.num_rows > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one call: search in several")
-    asked = asked.combine_chunks()
-    ids = asked.column("query_id").to_numpy()
-    vectors = matrix(asked.column("embedding").combine_chunks()) if len(ids) else np.zeros((0, 0))
-    vectors = unit(vectors) if metric != "euclidean" and len(ids) else vectors
+    asked, ids, vectors = _asked(queries.select("query_id", "embedding"), metric)
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType()), *(corpus.schema[c] for c in keep)])
 
     def part(of: np.ndarray, block: np.ndarray):
@@ -146,3 +152,46 @@ def ivf(corpus: DataFrame, queries: DataFrame, k: int, *, cells: int = 16, probe
     parts = [knn(rows.where(F.col("cell") == c), asks.where(F.col("cell") == c), k, metric) for c in range(len(centres))]
     order = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def threshold_counts(corpus: DataFrame, queries: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """(threshold, same, hits, pairs): all pairs of a query and another row, by equal and different labels, and how many reach each cosine.
+
+    corpus: doc_id, embedding, label; queries: query_id, embedding, label. Each batch is counted where it is read, so
+    no pair leaves its task.
+    """
+    asked, ids, vectors = _asked(queries.select("query_id", "embedding", "label"), "cosine")
+    labels = asked.column("label").to_numpy()
+
+    def part(of: np.ndarray, own: np.ndarray, block: np.ndarray):
+        def f(batches):
+            for b in batches:
+                for at in range(0, b.num_rows if len(of) else 0, 1024):
+                    rows = b.slice(at, 1024)
+                    x, docs = unit(matrix(rows.column("embedding"))), rows.column("doc_id").to_numpy()
+                    cos = 1.0 - np.round(distances(block, x, "cosine"), 12)
+                    other = of[:, None] != docs
+                    same = own[:, None] == rows.column("label").to_numpy()
+                    out = [(t, s, int((cos[pick] >= t).sum()), int(pick.sum())) for s, pick in ((True, other & same), (False, other & ~same)) for t in thresholds]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["threshold", "same", "hits", "pairs"])
+
+        return f
+
+    rows = corpus.select("doc_id", "embedding", "label")
+    blocks = [rows.mapInArrow(part(ids[i : i + BLOCK], labels[i : i + BLOCK], vectors[i : i + BLOCK]), "threshold double, same boolean, hits long, pairs long") for i in range(0, max(1, len(ids)), BLOCK)]
+    return reduce(DataFrame.unionByName, blocks).groupBy("threshold", "same").agg(F.sum("hits").alias("hits"), F.sum("pairs").alias("pairs"))
+
+
+def over_fetch(k: int, live: int, slots: int) -> int:
+    """How many candidates to fetch so that k survive where only `live` of `slots` rows aren't deleted."""
+    most = min(MOST_K, max(slots, k))
+    if k == 0 or most <= k or live == 0 or live >= slots:
+        return min(k, most)
+    return max(k, min(most, math.ceil(k / (live / slots)) + max(k // 4, 2)))
+
+
+def effort(k: int, rows: int, override: int | None = None) -> int:
+    """Candidates that an approximate search keeps while it looks: as asked within limits, else 200, more where the collection is small."""
+    if override is not None:
+        return max(max(k, 1), min(override, MOST_K))
+    return max(200, min(max(4 * max(rows, k), 32), 2048)) if rows <= 1024 else 200

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +42,48 @@ def slo(samples: DataFrame, *, p99_ms: float = 10.0, hit_rate: float = 0.70, err
     out = out.withColumn("availability", 1 - F.col("error_rate"))
     broken = (F.col("p99") > p99_ms).cast("int") + (F.col("hit_rate") < hit_rate).cast("int") + (F.col("error_rate") > error_rate).cast("int") + (F.col("availability") < availability).cast("int")
     out = out.withColumn("breaches", F.when(F.col("total") >= least, broken).otherwise(0))
-    return out.withColumn("health", F.when(F.col("breaches") == 0, "healthy").when(F.col("breaches") == 1, "degraded").otherwise("unhealthy"))
+    return out.withColumn("health", health(F.col("breaches"), F.lit(False), F.lit(0)))
 
 
 def error_class(message: Column) -> Column:
-    m = F.lower(message)
-    out = F.when(m.contains("not found"), "not_found").when(m.contains("dimension") | m.contains("invalid"), "invalid_argument").when(m.contains("timeout") | m.contains("deadline"), "deadline_exceeded")
-    return out.when(m.contains("quota") | m.contains("exhausted"), "resource_exhausted").otherwise("internal")
+    """The kind of a failed search, by words of its message; the first kind that fits counts."""
+    m = F.translate(message, ascii_uppercase, ascii_lowercase)
+    has = lambda *words: reduce(Column.__or__, [m.contains(w) for w in words])
+    out = F.when(has("timed out", "timeout"), "timeout").when(has("saturated", "resource exhausted", "max in-flight"), "resource_exhausted")
+    return out.when(has("invalid", "dimension mismatch", "cannot be empty", "must be"), "validation").otherwise("internal")
+
+
+def health(breaches: Column, log_inconsistent: Column, log_failures: Column) -> Column:
+    """A service's health from its breaches; an inconsistent change log overrides it, failed writes lower the best."""
+    base = F.when(breaches == 0, "healthy").when(breaches == 1, "degraded").otherwise("unhealthy")
+    return F.when(log_inconsistent, "unhealthy").when((log_failures > 0) & (breaches == 0), "degraded").otherwise(base)
+
+
+def tier_stats(served: DataFrame) -> DataFrame:
+    """served: tier (cache, query_cache, hot, cold): hits of each tier and their shares of all queries, in one row."""
+    n = lambda *tiers: F.count_if(F.col("tier").isin(*tiers))
+    out = served.agg(F.count("*").alias("total_queries"), n("cache").alias("cache_hits"), n("query_cache").alias("query_cache_hits"), n("hot").alias("hot_hits"), n("cold").alias("cold_searches"))
+    share = lambda *cols: F.coalesce(F.try_divide(reduce(Column.__add__, [F.col(c) for c in cols]), F.col("total_queries")), F.lit(0.0))
+    return out.withColumns({"cache_hit_rate": share("cache_hits"), "query_cache_hit_rate": share("query_cache_hits"), "l1_hit_rate": share("cache_hits", "query_cache_hits"), "overall_hit_rate": share("cache_hits", "query_cache_hits", "hot_hits")})
+
+
+def metrics_text(samples: DataFrame, name: str, kind: str, description: str, label: str, value: str) -> DataFrame:
+    """(ord, line): a metric in the text format of Prometheus: its two heads, then a line for each row."""
+    head = samples.sparkSession.createDataFrame([(0, f"# HELP {name} {description}"), (1, f"# TYPE {name} {kind}")], "ord int, line string")
+    safe = F.replace(F.replace(F.replace(F.col(label).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    rows = samples.select(F.lit(2).alias("ord"), F.concat(F.lit(f'{name}{{{label}="'), safe, F.lit('"} '), F.col(value).cast("string")).alias("line"))
+    return head.unionByName(rows)
+
+
+def api_key(key: Column, prefix: str) -> tuple[Column, Column, Column]:
+    """(tenant, redacted, problem) of a key `<prefix><tenant>_<secret>`; tenant is null and problem says why if it isn't valid."""
+    tenant = F.regexp_extract(key, "(?s)^(.*)_[^_]*$", 1)
+    inner = F.when(F.length(tenant) > len(prefix), F.substr(tenant, F.lit(len(prefix) + 1))).otherwise("")
+    secret = F.substring_index(key, "_", -1)
+    problem = F.when(~key.startswith(prefix), "prefix").when(F.octet_length(key) < len(prefix) + 34, "too short").when(inner == "", "format")
+    problem = problem.when(~inner.rlike("^[A-Za-z0-9_]+$"), "tenant").when(F.octet_length(secret) < 32, "secret too short").when(~secret.rlike("^[A-Za-z0-9]+$"), "secret")
+    redacted = F.when(key.contains("_"), F.concat(tenant, F.lit("_<redacted>"))).otherwise("<redacted>")
+    return F.when(problem.isNull(), inner), redacted, problem
 
 
 def retention(backups: DataFrame, now: int, *, least_age: int = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,3 +37,22 @@ def recall(results: DataFrame, totals: DataFrame, k: int) -> DataFrame:
 
 def mean_ndcg(results: DataFrame, k: int) -> DataFrame:
     return dcg(results, k).agg(F.avg("ndcg").alias("mean_ndcg"), F.count("*").alias("queries"))
+
+
+def predictor_quality(scores: DataFrame, k: int = 10) -> DataFrame:
+    """scores: doc_id, admission, accesses: one row with ndcg, mrr and recall of the order by admission.
+
+    The gain is the number of accesses; for mrr and recall the k most accessed documents are the relevant ones. Only
+    k rows of each order are gathered; the place of the first relevant one is a count.
+    """
+    by_score = [F.col("admission").desc(), F.col("accesses").desc(), F.col("doc_id")]
+    listed = scores.select("doc_id", "admission", "accesses").orderBy(*by_score).limit(k).collect()
+    truth = scores.select("doc_id", "admission", "accesses").orderBy(F.col("accesses").desc(), "doc_id").limit(k).collect()
+    gain = lambda rows: sum(r.accesses / math.log2(i + 2) for i, r in enumerate(rows))
+    if not truth or not gain(truth):
+        return scores.sparkSession.createDataFrame([(0.0, 0.0, 0.0)], "ndcg double, mrr double, recall double")
+    best = min(truth, key=lambda r: (-r.admission, -r.accesses, r.doc_id))
+    a, n, d = F.col("admission"), F.col("accesses"), F.col("doc_id")
+    ahead = (a > best.admission) | ((a == best.admission) & ((n > best.accesses) | ((n == best.accesses) & (d < best.doc_id))))
+    found = len({r.doc_id for r in truth} & {r.doc_id for r in listed})
+    return scores.agg(F.lit(gain(listed) / gain(truth)).alias("ndcg"), (1.0 / (1 + F.count_if(ahead))).alias("mrr"), F.lit(found / len(truth)).alias("recall"))

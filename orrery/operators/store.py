@@ -81,3 +81,8 @@ def snapshot_problems(docs: DataFrame, metadata: DataFrame) -> DataFrame:
 def kept_segments(segments: DataFrame, snapshot_seq: int) -> DataFrame:
     """Log segments that recovery still needs."""
     return segments.where(F.col("max_seq") > snapshot_seq)
+
+
+def load_report(rows: DataFrame, dimension: int | None = None) -> DataFrame:
+    """rows: doc_id, embedding: how many rows of a bulk load are accepted, and how many fail for each reason."""
+    return rows.select(F.coalesce(problem(F.col("doc_id"), F.col("embedding"), dimension), F.lit("accepted")).alias("status")).groupBy("status").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import cache, hotness, knn, merge, ops, ranking, store
-from ..operators.filters import And, Exact, In, Not, Or, Range, compiled, matching_ids
+from ..operators.filters import And, Exact, In, Not, Or, Range, compiled, matching_ids, of_tenant, scope
 from ..streaming import jobs
 
 K, DAY = 10, 86400.0
@@ -461,12 +461,9 @@ t AS (SELECT unnest([{', '.join(map(str, THRESHOLDS))}]) AS threshold)
 SELECT CAST(threshold AS DOUBLE) AS threshold, round(count(*) FILTER (WHERE same AND cos >= threshold) / count(*) FILTER (WHERE same), 6) AS tpr, round(count(*) FILTER (WHERE NOT same AND cos >= threshold) / count(*) FILTER (WHERE NOT same), 6) AS fpr FROM p, t GROUP BY threshold""")
 def threshold_roc(spark, sf):
     """The stated queries against all rows: how often a cosine reaches each threshold, by equal and different labels."""
-    c = corpus(spark, sf)
-    own = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
-    near = knn.knn(c, asked(spark, sf), knn.MOST_K, keep=("label",), skip_self=True).join(own, "query_id").withColumn("same", F.col("label") == F.col("own"))
-    cells = near.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in THRESHOLDS))))
-    rate = lambda same: r6(F.count_if(same & (F.col("score") >= F.col("threshold"))) / F.count_if(same))
-    return cells.groupBy("threshold").agg(rate(F.col("same")).alias("tpr"), rate(~F.col("same")).alias("fpr"))
+    q = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    rate = lambda same: r6(F.max(F.when(same, F.col("hits") / F.col("pairs"))))
+    return knn.threshold_counts(corpus(spark, sf), q, THRESHOLDS).groupBy("threshold").agg(rate(F.col("same")).alias("tpr"), rate(~F.col("same")).alias("fpr"))
 
 
 @query(f"""WITH u AS (SELECT label, vec_id, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
@@ -578,3 +575,110 @@ def admission_bias(spark, sf):
     e = e.withColumns({c: F.sum(c).over(running) for c in ("hits", "misses", "evictions", "insertions")})
     e = e.withColumns({"size": F.least(F.lit(CAPACITY), F.col("insertions")), "capacity": F.lit(CAPACITY)})
     return cache.admission_bias(e).select("cache_id", "pos", r6("bias").alias("bias"))
+
+
+@query("""SELECT CASE WHEN vec_id < 4 THEN 'doc_id must be at least 1' WHEN label = 9 THEN 'embedding is empty' WHEN label = 8 THEN 'embedding has another dimension' ELSE 'accepted' END AS status, count(*) AS n FROM embeddings GROUP BY 1""")
+def load_report(spark, sf):
+    """A bulk load in which some ids are too small and some vectors are empty or cut."""
+    cut = F.when(F.col("label") == 9, F.slice("embedding", 1, 0)).when(F.col("label") == 8, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    return store.load_report(table(spark, sf, "embeddings").select((F.col("vec_id") - 3).alias("doc_id"), cut.alias("embedding")), 64)
+
+
+@query("""SELECT count(*) AS total_queries, count(*) FILTER (WHERE k < 3) AS cache_hits, count(*) FILTER (WHERE k = 3) AS query_cache_hits, count(*) FILTER (WHERE k IN (4, 5)) AS hot_hits, count(*) FILTER (WHERE k > 5) AS cold_searches,
+round(avg((k < 3)::INT), 6) AS cache_hit_rate, round(avg((k = 3)::INT), 6) AS query_cache_hit_rate, round(avg((k < 4)::INT), 6) AS l1_hit_rate, round(avg((k < 6)::INT), 6) AS overall_hit_rate FROM (SELECT user_id % 8 AS k FROM events)""")
+def tier_stats(spark, sf):
+    k = F.col("doc_id") % 8
+    tier = F.when(k < 3, "cache").when(k == 3, "query_cache").when(k < 6, "hot").otherwise("cold")
+    out = ops.tier_stats(log(spark, sf).select(tier.alias("tier")))
+    return out.select(*(r6(c).alias(c) if c.endswith("rate") else c for c in out.columns))
+
+
+@query(f"""WITH p AS ({ORACLE_SQL["query_cache_lookup"]}) SELECT count(*) FILTER (WHERE path = 'exact') AS exact_hits, count(*) FILTER (WHERE path = 'similar') AS similarity_hits, count(*) FILTER (WHERE path = 'miss') AS misses,
+round(coalesce(avg(sim) FILTER (WHERE path = 'similar'), 0), 6) AS avg_similarity, count(*) FILTER (WHERE path <> 'miss') AS total_hits, round(avg((path <> 'miss')::INT), 6) AS hit_rate FROM p""")
+def query_cache_stats(spark, sf):
+    out = cache.query_cache_stats(query_cache_lookup(spark, sf))
+    return out.select(*(r6(c).alias(c) if c in ("avg_similarity", "hit_rate") else c for c in out.columns))
+
+
+@query(f"""WITH {_HOT}, x AS (SELECT doc_id, round(score, 9) / (1 + least(1.0, 0.35 * least(accesses % 12, 10))) AS admission, accesses FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY round(admission, 9) DESC, accesses DESC, doc_id) - 1 AS i, row_number() OVER (ORDER BY accesses DESC, doc_id) - 1 AS t FROM x)
+SELECT round(sum(CASE WHEN i < 10 THEN accesses / log2(i + 2) ELSE 0 END) / sum(CASE WHEN t < 10 THEN accesses / log2(t + 2) ELSE 0 END), 6) AS ndcg, round(1.0::DOUBLE / (1 + min(i) FILTER (WHERE t < 10)), 6) AS mrr, round(count(*) FILTER (WHERE i < 10 AND t < 10) / count(*) FILTER (WHERE t < 10), 6) AS recall FROM r""")
+def predictor_quality(spark, sf):
+    admission = F.round(hotness.admission(F.round("score", 9), F.col("accesses") % 12), 9)
+    return ranking.predictor_quality(_scores(spark, sf).select("doc_id", admission.alias("admission"), "accesses")).select(*(r6(c).alias(c) for c in ("ndcg", "mrr", "recall")))
+
+
+@query("""WITH e AS (SELECT epoch_us(ts) AS t FROM events), m AS (SELECT min(t) AS a, (max(t) - min(t)) // 21600000000 AS last FROM e), k AS (SELECT unnest(range(1, (SELECT last FROM m) + 1)) AS cycle)
+SELECT cycle, count(t) AS events, count(t) >= 60 AS trained FROM k CROSS JOIN m LEFT JOIN e ON t <= a + cycle * 21600000000 AND t >= a + cycle * 21600000000 - 86400000000 GROUP BY cycle""")
+def training_cycles(spark, sf):
+    """Every six hours over the day before."""
+    return hotness.training_cycles(log(spark, sf), 21_600, 86_400, 60)
+
+
+@query("""WITH k AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'bad_' ELSE 'key_' END AS p, CASE WHEN c_custkey % 5 = 0 THEN 'a-b' ELSE 'tenant_' || (c_custkey % 10) END AS t, CASE WHEN c_custkey % 6 = 0 THEN left(md5(CAST(c_custkey AS VARCHAR)), 28) ELSE md5(CAST(c_custkey AS VARCHAR)) END AS s FROM customer),
+j AS (SELECT *, CASE WHEN p = 'bad_' THEN 'prefix' WHEN length(p || t || '_' || s) < 38 THEN 'too short' WHEN t = 'a-b' THEN 'tenant' WHEN length(s) < 32 THEN 'secret too short' END AS problem FROM k)
+SELECT c_custkey::BIGINT AS id, CASE WHEN problem IS NULL THEN t END AS tenant, p || t || '_<redacted>' AS redacted, problem FROM j""")
+def api_keys(spark, sf):
+    c = F.col("c_custkey").cast("long")
+    md5 = F.md5(c.cast("string"))
+    tenant = F.when(c % 5 == 0, "a-b").otherwise(F.concat(F.lit("tenant_"), (c % 10).cast("string")))
+    key = F.concat(F.when(c % 7 == 0, "bad_").otherwise("key_"), tenant, F.lit("_"), F.when(c % 6 == 0, F.left(md5, F.lit(28))).otherwise(md5))
+    tenant, redacted, problem = ops.api_key(F.col("key"), "key_")
+    return table(spark, sf, "customer").select(c.alias("id"), key.alias("key")).select("id", tenant.alias("tenant"), redacted.alias("redacted"), problem.alias("problem"))
+
+
+_MESSAGES = ("Search timed out after 5 s", "TIMEOUT in cold tier", "executor saturated", "max in-flight searches reached", "invalid metric", "query cannot be empty", "k must be greater than 0", "disk failure")
+
+
+@query(f"""WITH m AS (SELECT event_id, ([{", ".join(f"'{m}'" for m in _MESSAGES)}])[event_id % 8 + 1] AS t FROM events)
+SELECT CASE WHEN regexp_matches(t, 'timed out|timeout', 'i') THEN 'timeout' WHEN regexp_matches(t, 'saturated|resource exhausted|max in-flight', 'i') THEN 'resource_exhausted' WHEN regexp_matches(t, 'invalid|dimension mismatch|cannot be empty|must be', 'i') THEN 'validation' ELSE 'internal' END AS kind, count(*) AS n FROM m GROUP BY 1""")
+def error_classes(spark, sf):
+    message = F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % 8 + 1).cast("int"))
+    return log(spark, sf).groupBy(ops.error_class(message).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH s AS ({ORACLE_SQL["slo_status"]}), f AS (SELECT event_type AS service, count(*) FILTER (WHERE event_id % 3 = 0 AND value > 50) AS failed, max(event_id) % 2 = 1 AS broken FROM events GROUP BY event_type)
+SELECT s.service, CASE WHEN broken THEN 'unhealthy' WHEN failed > 0 AND breaches = 0 THEN 'degraded' WHEN breaches = 0 THEN 'healthy' WHEN breaches = 1 THEN 'degraded' ELSE 'unhealthy' END AS health FROM s JOIN f ON s.service = f.service""")
+def health_states(spark, sf):
+    """Health by service, where the log of some is inconsistent and of others had failed writes."""
+    f = log(spark, sf).groupBy(F.col("event_type").alias("of")).agg(F.count_if((F.col("event_id") % 3 == 0) & (F.col("value") > 50)).alias("failed"), (F.max("event_id") % 2 == 1).alias("broken"))
+    return slo_status(spark, sf).join(f, F.col("service") == F.col("of")).select("service", ops.health(F.col("breaches"), F.col("broken"), F.col("failed")).alias("health"))
+
+
+@query("""SELECT 0 AS ord, '# HELP accesses_total Accesses of each kind' AS line UNION ALL SELECT 1, '# TYPE accesses_total counter'
+UNION ALL SELECT 2, 'accesses_total{kind="' || event_type || '"} ' || count(*) FROM events GROUP BY event_type""")
+def metrics_text(spark, sf):
+    counts = log(spark, sf).groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    return ops.metrics_text(counts, "accesses_total", "counter", "Accesses of each kind", "kind", "n")
+
+
+@query("SELECT doc_id % 3 AS tenant, count(DISTINCT lang || '/' || source) AS scopes FROM documents GROUP BY 1")
+def search_scopes(spark, sf):
+    d, tenant = table(spark, sf, "documents"), (F.col("doc_id") % 3).alias("tenant")
+    return d.select(tenant, scope(F.col("doc_id") % 3, F.col("lang"), F.col("source")).alias("scope")).groupBy("tenant").agg(F.count_distinct("scope").alias("scopes"))
+
+
+@query("SELECT lang || ':' || doc_id AS id, n_chars FROM documents WHERE lang = 'en'")
+def tenant_prefix(spark, sf):
+    d = table(spark, sf, "documents").select(F.concat_ws(":", "lang", F.col("doc_id").cast("string")).alias("id"), "n_chars")
+    return of_tenant(d, "en")
+
+
+@query("SELECT event_id, user_id AS doc_id FROM events WHERE epoch_us(ts) >= (SELECT max(epoch_us(ts)) FROM events) - 86400000000")
+def recent_accesses(spark, sf):
+    l = log(spark, sf)
+    return hotness.recent(l, hotness.newest(l), 86400).select("event_id", "doc_id")
+
+
+@query("SELECT CAST(o_orderkey // 1000 AS BIGINT) AS segment, max(o_orderkey) AS max_seq FROM orders GROUP BY 1 HAVING max(o_orderkey) >= 3000")
+def incremental_segments(spark, sf):
+    """The log segments that a full backup of those below 3,000 lacks."""
+    segments = _changes(spark, sf).groupBy(F.floor(F.col("seq") / 1000).alias("segment")).agg(F.max("seq").alias("max_seq"))
+    return merge.new_segments(segments, segments.where("max_seq < 3000")).select("segment", "max_seq")
+
+
+@query()
+def hot_tier_flushes(spark, sf):
+    """A fold: what a drain leaves decides the next."""
+    a = log(spark, sf).select("doc_id", (F.col("doc_id") % CACHES).alias("tier_id"), (F.unix_micros("ts") / 1e6).alias("t"))
+    return cache.flushes(a, 20, 86400.0).groupBy("tier_id").agg(F.count("*").alias("inserts"), F.count_if("drained").alias("drains"), F.max("size").alias("largest"))

@@ -26,6 +26,21 @@ def write_usage(usage: DataFrame, path: str, mode: str = "overwrite") -> None:
     usage.withColumn("storage_mb", F.format_string("%.2f", F.col("storage_bytes") / (1 << 20))).write.mode(mode).csv(path, header=True)
 
 
+USAGE_SCHEMA = "tenant string, query_count long, insert_count long, delete_count long, vector_count long, storage_bytes long"
+
+
+def save_usage(usage: DataFrame, path: str) -> None:
+    """Usage as lines of JSON, to go on from after a restart."""
+    columns = [c.split()[0] for c in USAGE_SCHEMA.split(", ")]
+    usage.select(*columns).write.mode("overwrite").json(path)
+
+
+def restored_usage(spark: SparkSession, path: str) -> DataFrame:
+    """Saved usage; none where nothing is saved."""
+    p, fs = _fs(spark, path)
+    return spark.read.schema(USAGE_SCHEMA).json(path) if fs.exists(p) else spark.createDataFrame([], USAGE_SCHEMA)
+
+
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """(path, row, embedding) of .npy files of two dimensions; each file's own header tells its shape."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orrery.functions import vector as V
 from orrery.operators import cache, filters, hotness, ops, ranking, store
 from orrery.operators.filters import And, Exact, In, Not, Or, Range
-from orrery.operators.knn import knn
+from orrery.operators.knn import effort, knn, over_fetch
 from orrery.sources import io as files
 
 CASES = [
@@ -118,3 +118,50 @@ def test_predictor_stats(spark):
     assert (r.tracked, r.hot, r.p50, r.p90, r.p99) == (5, 2, 0.1, 0.9, 0.9)
     none = hotness.predictor_stats(s.where("false"), 0.4).first()
     assert (none.tracked, none.hot, none["mean"], none.p50) == (0, 0, 0.0, None)
+
+
+def test_flushes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(9)), k, float(t)) for k in (0, 1) for t in np.cumsum(rng.integers(1, 40, 200))]
+    want, held, last = [], {}, {}
+    for d, k, t in rows:
+        h = held.setdefault(k, {})
+        h[d] = t
+        due = len(h) >= 6 or t - last.get(k, min(h.values())) >= 90
+        want.append((k, t, len(h), due))
+        if due:
+            held[k], last[k] = {}, t
+    got = cache.flushes(spark.createDataFrame(rows, "doc_id long, tier_id long, t double"), 6, 90.0).collect()
+    assert sorted((r.tier_id, r.t, r.size, r.drained) for r in got) == sorted(want)
+    assert any(w[3] and w[2] < 6 for w in want) and any(w[3] and w[2] == 6 for w in want)
+
+
+def test_widths():
+    assert [over_fetch(10, 100, 100), over_fetch(10, 50, 100), over_fetch(10, 0, 100), over_fetch(0, 5, 9), over_fetch(10, 20, 1000)] == [10, 22, 10, 0, 502]
+    assert [effort(10, 2000), effort(10, 500), effort(10, 3), effort(50, 5000, 20), effort(10, 5000, 99_999)] == [200, 2000, 200, 50, 10_000]
+
+
+def test_keys_errors_and_health(spark):
+    secret = "a" * 32
+    cases = {f"key_t_{secret}": ("t", None), f"key_a_b_{secret}": ("a_b", None), f"key__{secret}xx": (None, "format"), f"key_t-_{secret}": (None, "tenant"), f"other_{secret}": (None, "prefix"), "key_t_short": (None, "too short"), f"key_tttttttttt_{secret[:-1]}": (None, "secret too short"), f"key_t_{secret}!": (None, "secret"), "none": (None, "prefix")}
+    t, r, p = ops.api_key(F.col("k"), "key_")
+    for row in spark.createDataFrame([(k,) for k in cases], "k string").select("k", t.alias("t"), r.alias("r"), p.alias("p")).collect():
+        assert (row.t, row.p) == cases[row.k] and row.r == (row.k.rpartition("_")[0] + "_<redacted>" if "_" in row.k else "<redacted>")
+    h = spark.createDataFrame([(0, False, 0), (1, False, 3), (0, False, 1), (2, False, 1), (0, True, 0)], "b int, i boolean, f int").select(ops.health(F.col("b"), F.col("i"), F.col("f")).alias("h"))
+    assert [x.h for x in h.collect()] == ["healthy", "degraded", "degraded", "unhealthy", "unhealthy"]
+
+
+def test_empty_reports(spark):
+    none = spark.createDataFrame([], "doc_id long, ts timestamp")
+    assert hotness.training_cycles(none, 60, 60, 1).count() == 0
+    assert ops.tier_stats(spark.createDataFrame([], "tier string")).first().overall_hit_rate == 0.0
+    assert cache.query_cache_stats(spark.createDataFrame([], "path string, sim double")).first().hit_rate == 0.0
+    assert ranking.predictor_quality(spark.createDataFrame([], "doc_id long, admission double, accesses long")).first().mrr == 0.0
+
+
+def test_saved_usage(spark, tmp_path):
+    path = f"file://{tmp_path}/usage"
+    assert files.restored_usage(spark, path).count() == 0
+    rows = [("a", 1, 2, 3, 4, 5)]
+    files.save_usage(spark.createDataFrame(rows, files.USAGE_SCHEMA), path)
+    assert [tuple(r) for r in files.restored_usage(spark, path).collect()] == rows
