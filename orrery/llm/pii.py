@@ -1,7 +1,7 @@
 """Pseudonyms that keep their format, by a keyed Feistel network in DataFrame functions alone.
 
-Found and validated: card numbers (13 to 19 digits with a right check digit), North American telephone numbers,
-other numbers after a plus, social security numbers, IBANs (right check digits), IPv4 addresses, dates from 1899-12-30
+Found and validated: card numbers (13 to 19 digits with a right check digit), North American telephone numbers (area
+and exchange from 200; after +1 any), other numbers after a plus, social security numbers, IBANs (right check digits), IPv4 addresses, dates from 1899-12-30
 to 2099-12-31, and e-mail addresses. What doesn't validate stays as it is.
 
 Each kind's valid values are numbered as pairs (l, r) below (a, b), and a Feistel network with sums modulo a and b
@@ -29,6 +29,8 @@ DAYS = (319, 229)
 # The patterns of the kinds. A find stands alone: no letter, digit or sign of a longer number beside it.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
 PHONE = r"(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}"
+#: With the country's code a number is one even if no such area or exchange is assigned.
+PLUS_ONE = r"\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
 ABROAD = r"\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,5}\)?){2,5}"
 DATE = r"(?:18|19|20)\d{2}([-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.(?:18|19|20)\d{2}"
 SSN = r"\d{3}-\d{2}-\d{4}"
@@ -37,7 +39,7 @@ CARD = r"\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 LEFT, RIGHT = r"(?<![A-Za-z0-9_.+@-])", r"(?![A-Za-z0-9_@]|[.-]\d)"
 #: In order of preference where two begin at one place.
-KINDS = {"email": EMAIL, "iban": IBAN, "date": DATE, "phone": PHONE, "ssn": SSN, "ip": IPV4, "card": CARD, "abroad": ABROAD}
+KINDS = {"email": EMAIL, "iban": IBAN, "date": DATE, "phone": PHONE, "plus_one": PLUS_ONE, "ssn": SSN, "ip": IPV4, "card": CARD, "abroad": ABROAD}
 ANY = LEFT + "(?:" + "|".join(p.replace(r"([-/])", r"[-/]").replace(r"\1", r"[-/]") for p in KINDS.values()) + ")" + RIGHT
 
 
@@ -130,6 +132,18 @@ def _phone(key: str, m: Column) -> Column:
     return _let(_digits(m), go)
 
 
+def _plus_one(key: str, m: Column) -> Column:
+    """Numbers outside those of _phone, in two parts that are each permuted: areas below 200, and exchanges below 200 in the others."""
+
+    def go(d: Column) -> Column:
+        area, rest = _long(F.substring(d, -10, 3)), _long(F.substring(d, -7, 7))
+        low = area < 200
+        p = feistel(key, F.lit("plus_one"), F.when(low, area).otherwise(area - 200), rest, F.when(low, 200).otherwise(800), F.when(low, 10_000_000).otherwise(2_000_000))
+        return _let(p, lambda p: _laid_out(m, F.concat(F.lit("1"), _pad(p["l"] + F.when(low, 0).otherwise(200), 3), _pad(p["r"], 7))))
+
+    return _let(_digits(m), go)
+
+
 def _abroad(key: str, m: Column) -> Column:
     """The digits after the first two; E.164 allows 15."""
     return _let(_digits(m), lambda d: F.when(F.length(d).between(8, 15), _laid_out(m, F.concat(F.substring(d, 1, 2), _numbered(key, F.concat(F.lit("abroad"), F.substring(d, 1, 2)), F.substring(d, F.lit(3), F.length(d) - 2))))).otherwise(m))
@@ -192,7 +206,7 @@ def _email(key: str, m: Column) -> Column:
     return _let(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), go)
 
 
-MAKERS = {"email": _email, "iban": _iban, "date": _date, "phone": _phone, "ssn": _ssn, "ip": _ip, "card": _card, "abroad": _abroad}
+MAKERS = {"email": _email, "iban": _iban, "date": _date, "phone": _phone, "plus_one": _plus_one, "ssn": _ssn, "ip": _ip, "card": _card, "abroad": _abroad}
 
 
 def pseudonym(find: Column, key: str) -> Column:

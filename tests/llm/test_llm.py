@@ -298,15 +298,19 @@ def test_html(spark):
 
 
 def test_pii(spark):
-    rows = ["call +1 (713) 555-8702, 713-555-8702", "card 4591467401704471 4591-4674-0170-4471 not 4591467401704472", "Bob.33@mail1.example.com 59.17.83.155 300.1.1.1", "1984-02-29 29.02.1984 not 1983-02-29", "GB82WEST12345698765432 not GB82WEST12345698765433", None, "", "Version 2.0, 1.5 of 1234", "x" * 100_000 + " 4591467401704471"]
+    rows = ["call +1 (713) 555-8702, 713-555-8702", "card 4591467401704471 4591-4674-0170-4471 not 4591467401704472", "Bob.33@mail1.example.com 59.17.83.155 300.1.1.1", "1984-02-29 29.02.1984 not 1983-02-29", "GB82WEST12345698765432 not GB82WEST12345698765433", None, "", "Version 2.0, 1.5 of 1234", "x" * 100_000 + " 4591467401704471", "+1 (017) 555-7713, +1-017-555-7713 and +1 (317) 155-7713, not (017) 555-7713"]
     got = [r for r in pii.pseudonymised(docs(spark, list(enumerate(rows)), ).withColumn("n_found", F.lit("clash")), "k").orderBy("doc_id").collect()]
-    assert [r.n_found for r in got] == [2, 2, 2, 2, 1, 0, 0, 0, 1]
+    assert [r.n_found for r in got] == [2, 2, 2, 2, 1, 0, 0, 0, 1, 3]
     assert got[5].text is None and got[6].text == "" and got[7].text == rows[7]
     digits = lambda s: re.sub(r"\D", "", s)
     a, b = re.findall(r"\d[\d-]{15,}", got[1].text)[:2]
     assert digits(a) == digits(b) and a != rows[1].split()[1] and got[8].text.endswith(a)
     assert sum(x - 9 * (x > 9) for x in (int(c) * (1 + i % 2) for i, c in enumerate(digits(a)[::-1]))) % 10 == 0
     assert got[1].text.endswith("not 4591467401704472") and "300.1.1.1" in got[2].text and "59.17.83.155" not in got[2].text and got[3].text.endswith("1983-02-29")
+    low = re.fullmatch(r"\+1 \(([01]\d\d)\) (\d{3}-\d{4}), \+1-\1-\2 and \+1 \([2-9]\d\d\) [01]\d\d-\d{4}, not \(017\) 555-7713", got[9].text)
+    assert low and low[2] != "555-7713"
+    numbers = spark.range(100).select(F.concat(F.lit("+1 (0"), F.lpad(F.col("id").cast("string"), 2, "0"), F.lit(") 555-0000")).alias("m"))
+    assert numbers.select(pii.pseudonym(F.col("m"), "k").alias("p")).distinct().count() == 100
     n = spark.range(1000).select(pii._numbered("k", F.lit("x"), F.format_string("%03d", "id")).alias("o"))
     assert n.distinct().count() == 1000
 
