@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,12 +78,46 @@ def diversity(log: DataFrame) -> DataFrame:
     return log.agg(F.coalesce(F.countDistinct("doc_id") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("diversity"), F.count("*").alias("accesses"))
 
 
+#: Ranges into which each group's values are cut, at approximate quantiles, to look for a place among them.
+RANGES = 64
+
+
+def at_places(values: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(*by, one column for each of places): the value at an index, from 0, of each group's sorted values. Nulls don't count.
+
+    places: the index by the number of values. Equal values are counted where they are read; counts of ranges tell which
+    range holds an index; only the different values of that range are ranked, so a group of any size is
+    no task of its own.
+    """
+    rows = values.where(F.col(value).isNotNull()).select(F.struct(*by).alias("_key"), F.col(value).alias("_v"))
+    bounds = rows.groupBy("_key").agg(F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], F.lit(1_000)).alias("_bounds"), F.count("*").alias("_n"))
+    counts = rows.groupBy("_key", "_v").agg(F.count("*").alias("_c"))
+    cut = counts.join(bounds, "_key").withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))))
+    ranges = cut.groupBy("_key", "_range").agg(F.sum("_c").alias("_size"), F.max("_n").alias("_n"))
+    upto = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ranges.withColumn("_below", F.sum("_size").over(upto) - F.col("_size"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), at(F.col("_n")).cast("long").alias("at")) for name, at in places.items())))
+    held = ranges.select("_key", "_range", "_size", "_below", wanted.alias("_w")).where("_w.at >= _below AND _w.at < _below + _size").select("_key", "_range", F.col("_w.name").alias("_name"), (F.col("_w.at") - F.col("_below")).alias("_at"))
+    running = F.sum("_c").over(Window.partitionBy("_key", "_name").orderBy("_v"))
+    placed = cut.select("_key", "_range", "_v", "_c").join(held, ["_key", "_range"]).withColumn("_end", running).where("_at >= _end - _c AND _at < _end")
+    out = placed.groupBy("_key").agg(*(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in places))
+    return out.select(*(F.col(f"_key.{c}").alias(c) for c in by), *places)
+
+
+def by_floor(p: float) -> Callable[[Column], Column]:
+    """The index floor(p/100 * n), at most the last."""
+    return lambda n: F.least(F.floor(F.lit(p / 100) * n), n - 1)
+
+
+def by_round(p: float) -> Callable[[Column], Column]:
+    """The index round(p/100 * (n - 1))."""
+    return lambda n: F.floor(F.lit(p / 100) * (n - 1) + 0.5)
+
+
 def nearest_rank(values: DataFrame, by: list[str], value: str, percents: list[float], rule: str = "floor") -> DataFrame:
-    """Percentiles by index in the sorted values: floor(p/100 * n), or round(p/100 * (n - 1)); both as p50, p99 and so on."""
-    w = Window.partitionBy(*by)
-    ranked = values.where(F.col(value).isNotNull()).withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1)
-    index = lambda p: F.least(F.floor(F.lit(p / 100) * F.col("_n")), F.col("_n") - 1) if rule == "floor" else F.floor(F.lit(p / 100) * (F.col("_n") - 1) + 0.5)
-    return ranked.groupBy(*by).agg(*(F.max(F.when(F.col("_i") == index(p), F.col(value))).alias(f"p{p:g}") for p in percents))
+    """Percentiles by index in the sorted values, by_floor or by_round; as p50, p99 and so on."""
+    index = by_floor if rule == "floor" else by_round
+    return at_places(values, by, value, {f"p{p:g}": index(p) for p in percents})
 
 
 def predictor_stats(scores: DataFrame, threshold: float, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:

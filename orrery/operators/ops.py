@@ -8,6 +8,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hotness import at_places, by_floor
+
 HOUR, DAY = 3600, 86400
 #: (class, age below, period of a bucket) in seconds.
 CLASSES = (("hourly", DAY, HOUR), ("daily", 7 * DAY, DAY), ("weekly", 28 * DAY, 7 * DAY), ("monthly", 360 * DAY, 30 * DAY))
@@ -35,12 +37,11 @@ def quota(inserts: DataFrame, most: int) -> DataFrame:
 
 def slo(samples: DataFrame, *, p99_ms: float = 10.0, hit_rate: float = 0.70, error_rate: float = 0.001, availability: float = 0.999, least: int = 100) -> DataFrame:
     """samples: service, latency_ms, hit, error: levels of each service, breaches, and its health."""
-    w = Window.partitionBy("service")
-    ranked = samples.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy("latency_ms")) - 1)
-    at = F.least(F.floor(F.lit(0.99) * F.col("_n")), F.col("_n") - 1)
-    out = ranked.groupBy("service").agg(F.count("*").alias("total"), F.max(F.when(F.col("_i") == at, F.col("latency_ms"))).alias("p99"), F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.avg(F.col("error").cast("double")).alias("error_rate"))
+    out = samples.groupBy("service").agg(F.count("*").alias("total"), F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.avg(F.col("error").cast("double")).alias("error_rate"))
+    p99 = at_places(samples.select(F.col("service").alias("_of"), "latency_ms"), ["_of"], "latency_ms", {"p99": by_floor(99)})
+    out = out.join(p99, F.col("service").eqNullSafe(F.col("_of")), "left").drop("_of")
     out = out.withColumn("availability", 1 - F.col("error_rate"))
-    broken = (F.col("p99") > p99_ms).cast("int") + (F.col("hit_rate") < hit_rate).cast("int") + (F.col("error_rate") > error_rate).cast("int") + (F.col("availability") < availability).cast("int")
+    broken = F.coalesce(F.col("p99") > p99_ms, F.lit(False)).cast("int") + (F.col("hit_rate") < hit_rate).cast("int") + (F.col("error_rate") > error_rate).cast("int") + (F.col("availability") < availability).cast("int")
     out = out.withColumn("breaches", F.when(F.col("total") >= least, broken).otherwise(0))
     return out.withColumn("health", health(F.col("breaches"), F.lit(False), F.lit(0)))
 

@@ -79,6 +79,12 @@ def test_replay(spark):
 def test_percentile_rules(spark):
     v = spark.createDataFrame([("a", float(i)) for i in range(10)], "k string, v double")
     assert hotness.nearest_rank(v, ["k"], "v", [50, 99]).first()[1:] == (5.0, 9.0)
+    rng = np.random.default_rng(5)
+    groups = {"one": [7.0], "equal": [3.0] * 500, None: list(rng.normal(size=300)), "mixed": [1.0] * 900 + list(rng.normal(size=4000))}
+    rows = spark.createDataFrame([(k, float(x)) for k, xs in groups.items() for x in xs] + [("one", None), ("none", None)], "k string, v double")
+    for rule, at in (("floor", lambda p, n: min(int(p / 100 * n), n - 1)), ("round", lambda p, n: int(p / 100 * (n - 1) + 0.5))):
+        got = {r.k: tuple(r)[1:] for r in hotness.nearest_rank(rows, ["k"], "v", [0, 50, 99, 100], rule).collect()}
+        assert got == {k: tuple(sorted(xs)[at(p, len(xs))] for p in (0, 50, 99, 100)) for k, xs in groups.items()}
 
 
 def test_files(spark, tmp_path):
