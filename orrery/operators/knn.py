@@ -62,11 +62,12 @@ def _asked(queries: DataFrame, metric: str) -> tuple[pa.Table, np.ndarray, np.nd
     return asked, ids, unit(vectors) if metric != "euclidean" and len(ids) else vectors
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *, where=None, min_score: float = 0.0, keep: tuple[str, ...] = (), skip_self: bool = False) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *, where=None, min_score: float = 0.0, keep: tuple[str, ...] = (), skip_self: bool = False, cells: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """(query_id, rank, doc_id, distance, score, *keep) by rising distance, then doc_id.
 
     corpus: doc_id, embedding, and metadata where a filter is given; queries: query_id, embedding. The filter comes
     before the ranking, so k rows are found where there are k. min_score counts only above 0.
+    cells: centres, and of how many nearest ones each query sees the rows; all where none are given.
     """
     check(k, metric)
     if where is not None and not isinstance(where, Always):
@@ -83,7 +84,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *
                 x = matrix(b.column("embedding"))
                 x = unit(x) if metric != "euclidean" else x
                 docs = b.column("doc_id").to_numpy()
-                d = np.round(distances(block, x, metric), 12)
+                d = np.round(distances(block, x, metric) if cells is None else probed(block, x, *cells, metric), 12)
                 rows, at = [], []
                 for i, row in enumerate(d):
                     ok = np.flatnonzero(np.isfinite(row) & ((docs != of[i]) | (not skip_self)))
@@ -120,9 +121,46 @@ def knn_post_filter(corpus: DataFrame, queries: DataFrame, k: int, where, metric
     return kept.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "distance", "score", "total_found")
 
 
-def ivf(corpus: DataFrame, queries: DataFrame, k: int, *, cells: int = 16, probe: int = 6, sample: int = 10_000, metric: str = "cosine") -> DataFrame:
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centres of each row by rising distance."""
+    return np.argsort(distances(centres, x, "euclidean"), 0, kind="stable").T
+
+
+def probed(q: np.ndarray, x: np.ndarray, centres: np.ndarray, probe: int, metric: str) -> np.ndarray:
+    """Distances as by distances(), infinite where a row's cell isn't one of the query's nearest; those aren't computed."""
+    d, own, looked = np.full((len(q), len(x)), np.inf), nearest(x, centres)[:, 0], nearest(q, centres)[:, :probe]
+    for c in range(len(centres)):
+        some, rows = np.flatnonzero((looked == c).any(1)), np.flatnonzero(own == c)
+        d[np.ix_(some, rows)] = distances(q[some], x[rows], metric)
+    return d
+
+
+def probes(x: np.ndarray, centres: np.ndarray, k: int, recall: float, asked: int, metric: str, tried: int = 1_000) -> int:
+    """How many nearest cells hold the share `recall` of the k nearest other rows in the mean of `asked` queries, less two standard errors.
+
+    Measured on the first `tried` rows of the sample against the whole sample; neighbours in all rows are nearer, so they are lost less often.
+    """
+    k, own = min(k, len(x) - 1), nearest(x, centres)[:, 0]
+    if k < 1:
+        return len(centres)
+    held = []
+    for at in range(0, min(tried, len(x)), 100):
+        q = x[at : at + 100]
+        d = distances(q, x, metric)
+        d[np.arange(len(q)), np.arange(at, at + len(q))] = np.inf
+        near = np.argpartition(d, k - 1, 1)[:, :k]
+        place = np.argsort(nearest(q, centres), 1)  # of each cell, by distance
+        needed = np.take_along_axis(place, own[near], 1)
+        held.append(np.stack([(needed < n).mean(1) for n in range(1, len(centres) + 1)], 1))
+    share = np.concatenate(held)
+    low = share.mean(0) - 2 * share.std(0) / math.sqrt(max(1, min(asked, len(share))))
+    return int(np.argmax(low >= recall)) + 1 if (low >= recall).any() else len(centres)
+
+
+def ivf(corpus: DataFrame, queries: DataFrame, k: int, *, cells: int = 16, probe: int = 6, sample: int = 10_000, metric: str = "cosine", recall: float = 0.9) -> DataFrame:
     """Approximate search: rows by the nearest of `cells` centres, fitted to a bounded sample; each query looks into
-    its `probe` nearest cells. All rows are indexed; recall is measured against knn."""
+    its `probe` nearest cells, and into as many more as the sample needs for a mean recall of `recall`. All rows are
+    indexed; recall is measured against knn."""
     check(k, metric)
     fit = corpus.select("doc_id", "embedding").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow().combine_chunks()
     if not fit.num_rows:
@@ -134,24 +172,9 @@ def ivf(corpus: DataFrame, queries: DataFrame, k: int, *, cells: int = 16, probe
     for _ in range(10):
         near = distances(centres, x, "euclidean").argmin(0)
         centres = np.stack([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
+    probe = max(min(probe, len(centres)), probes(x, centres, k, recall, queries.count(), metric))
 
-    def cell(n: int, id_: str):
-        def f(batches):
-            for b in batches:
-                v = matrix(b.column("embedding"))
-                v = unit(v) if metric != "euclidean" and len(v) else v
-                near = np.argsort(distances(centres, v, "euclidean"), 0, kind="stable")[:n].T if len(v) else np.zeros((0, n), np.int64)
-                row = np.repeat(np.arange(len(v)), near.shape[1])
-                yield pa.RecordBatch.from_arrays([b.column(id_).take(pa.array(row)), b.column("embedding").take(pa.array(row)), pa.array(near.ravel().astype(np.int32))], [id_, "embedding", "cell"])
-
-        return f
-
-    kind = corpus.schema["embedding"].dataType.simpleString()
-    rows = corpus.select("doc_id", "embedding").mapInArrow(cell(1, "doc_id"), f"doc_id long, embedding {kind}, cell int")
-    asks = queries.select("query_id", "embedding").mapInArrow(cell(min(probe, len(centres)), "query_id"), f"query_id long, embedding {queries.schema['embedding'].dataType.simpleString()}, cell int")
-    parts = [knn(rows.where(F.col("cell") == c), asks.where(F.col("cell") == c), k, metric) for c in range(len(centres))]
-    order = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return knn(corpus, queries, k, metric, cells=(centres, probe))
 
 
 def threshold_counts(corpus: DataFrame, queries: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:

@@ -37,6 +37,12 @@ def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).columns
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ivf_recall(spark, sf):
+    got = [r.recall for r in catalog.knn_ivf_recall(spark, f"/root/testdata/{sf}").collect()]
+    assert sum(got) / len(got) >= 0.9
+
+
 def test_entry(spark):
     import __spark_entry__
 
