@@ -43,6 +43,12 @@ def test_ivf_recall(spark, sf):
     assert sum(got) / len(got) >= 0.9
 
 
+def test_whole_query_cache(spark):
+    got = catalog.query_cache_lookup_whole(spark, SF).collect()
+    assert {r.path for r in got} == {"exact", "similar", "miss"} and any((r.cache_id or 0) % 100 >= 50 for r in got)
+    assert catalog.query_cache_stats_whole(spark, SF).first().exact_hits > 0
+
+
 def test_entry(spark):
     import __spark_entry__
 
