@@ -2,7 +2,7 @@
 
 Found and validated: card numbers (13 to 19 digits with a right check digit), North American telephone numbers (area
 and exchange from 200; after +1 any), other numbers after a plus, social security numbers, IBANs (right check digits), IPv4 addresses, dates from 1899-12-30
-to 2099-12-31, and e-mail addresses. What doesn't validate stays as it is.
+to 2099-12-31 (year first, or year last with dots or slashes), and e-mail addresses. What doesn't validate stays as it is.
 
 Each kind's valid values are numbered as pairs (l, r) below (a, b), and a Feistel network with sums modulo a and b
 permutes the pairs; so a card number becomes a valid card number, a date a valid date, in the same layout, two values
@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Days from 1899-12-30 to 2099-12-31: 319 * 229.
 DAYS = (319, 229)
+WALK = 60
 
 # The patterns of the kinds. A find stands alone: no letter, digit or sign of a longer number beside it.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
 PHONE = r"(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}"
 #: With the country's code a number is one even if no such area or exchange is assigned.
-PLUS_ONE = r"\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+PLUS_ONE = r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"
 ABROAD = r"\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,5}\)?){2,5}"
-DATE = r"(?:18|19|20)\d{2}([-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.(?:18|19|20)\d{2}"
+DATE = r"(?:18|19|20)\d{2}([-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.(?:18|19|20)\d{2}|(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|[12]\d|3[01])/(?:18|19|20)\d{2}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 CARD = r"\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}"
@@ -133,13 +134,14 @@ def _phone(key: str, m: Column) -> Column:
 
 
 def _plus_one(key: str, m: Column) -> Column:
-    """Numbers outside those of _phone, in two parts that are each permuted: areas below 200, and exchanges below 200 in the others."""
+    """Those of _phone as there; the others in two parts that are each permuted: areas below 200, and exchanges below 200 in the rest."""
 
     def go(d: Column) -> Column:
         area, rest = _long(F.substring(d, -10, 3)), _long(F.substring(d, -7, 7))
         low = area < 200
         p = feistel(key, F.lit("plus_one"), F.when(low, area).otherwise(area - 200), rest, F.when(low, 200).otherwise(800), F.when(low, 10_000_000).otherwise(2_000_000))
-        return _let(p, lambda p: _laid_out(m, F.concat(F.lit("1"), _pad(p["l"] + F.when(low, 0).otherwise(200), 3), _pad(p["r"], 7))))
+        new = _let(p, lambda p: _laid_out(m, F.concat(F.lit("1"), _pad(p["l"] + F.when(low, 0).otherwise(200), 3), _pad(p["r"], 7))))
+        return F.when(low | (rest < 2_000_000), new).otherwise(_phone(key, m))
 
     return _let(_digits(m), go)
 
@@ -166,14 +168,24 @@ def _ip(key: str, m: Column) -> Column:
 
 
 def _date(key: str, m: Column) -> Column:
-    dotted = m.contains(".")
-    iso = F.when(dotted, F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))).otherwise(F.translate(m, "/", "-"))
+    """With slashes and the year last, a first number above 12 is a day and else a month; days above 12 are walked to days above 12, so that no two become one."""
+    dotted, last = m.contains("."), m.rlike("^[0-9]{2}/")
+    day_first = last & (F.substring(m, 1, 2) > "12")
+    part = lambda *at: F.concat_ws("-", *(F.substring(m, i, n) for i, n in at))
+    iso = F.when(dotted | day_first, part((7, 4), (4, 2), (1, 2))).when(last, part((7, 4), (1, 2), (4, 2))).otherwise(F.translate(m, "/", "-"))
+    first = F.lit("1899-12-30").cast("date")
+
+    def other(day: Column) -> Column:
+        n = F.datediff(day, first)
+        p = feistel(key, F.lit("date"), F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]))
+        return F.date_add(first, _let(p, lambda p: (p["l"] * DAYS[1] + p["r"]).cast("int")))
 
     def go(day: Column) -> Column:
-        n = F.datediff(day, F.lit("1899-12-30").cast("date"))
-        p = feistel(key, F.lit("date"), F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]))
-        new = F.date_add(F.lit("1899-12-30").cast("date"), (p["l"] * DAYS[1] + p["r"]).cast("int"))
-        return F.when(day.isNull() | ~n.between(0, DAYS[0] * DAYS[1] - 1), m).when(dotted, F.date_format(new, "dd.MM.yyyy")).when(m.contains("/"), F.date_format(new, "yyyy/MM/dd")).otherwise(F.date_format(new, "yyyy-MM-dd"))
+        # two days of five are low, so WALK steps without a high one don't happen
+        steps = F.when(day_first, F.sequence(F.lit(1), F.lit(WALK))).otherwise(F.array(F.lit(1)))
+        new = F.aggregate(steps, F.struct(day.alias("d"), F.lit(True).alias("go")), lambda s, _: F.when(s["go"], _let(other(s["d"]), lambda d: F.struct(d.alias("d"), (F.dayofmonth(d) <= 12).alias("go")))).otherwise(s))["d"]
+        layout = F.when(dotted, "dd.MM.yyyy").when(day_first, "dd/MM/yyyy").when(last, "MM/dd/yyyy").when(m.contains("/"), "yyyy/MM/dd").otherwise("yyyy-MM-dd")
+        return F.when(day.isNull() | ~F.datediff(day, first).between(0, DAYS[0] * DAYS[1] - 1), m).otherwise(F.call_function("date_format", new, layout))
 
     return _let(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"), go)
 

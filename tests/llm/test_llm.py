@@ -315,6 +315,20 @@ def test_pii(spark):
     assert n.distinct().count() == 1000
 
 
+def test_pii_compact_numbers_and_slash_dates(spark):
+    rows = ["+12125551234, +1 (212) 555-1234, 212-555-1234, +1 2125551234", "+10175551234 and +13171551234", "03/14/1980 1980-03-14 14/03/1980 not 13/13/1980", "2125551234 stays"]
+    got = pii.pseudonymised(docs(spark, list(enumerate(rows))), "k").orderBy("doc_id").collect()
+    assert [r.n_found for r in got] == [4, 2, 3, 0]
+    ten = {re.sub(r"\D", "", x)[-10:] for x in got[0].text.split(", ")}
+    assert len(ten) == 1 and ten != {"2125551234"} and re.fullmatch(r"\+1\d{10}", got[0].text.split(",")[0])
+    us, iso, eu, rest = got[2].text.split(" ", 3)
+    assert f"{us[6:]}-{us[:2]}-{us[3:5]}" == iso != "1980-03-14" and int(eu[:2]) > 12 and rest == "not 13/13/1980"
+    days = spark.range(4000).select(F.date_add(F.lit("1980-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    finds = days.where(F.dayofmonth("d") > 12).select(F.date_format("d", "dd/MM/yyyy").alias("m")).unionByName(days.select(F.date_format("d", "MM/dd/yyyy").alias("m")))
+    new = [r.p for r in finds.select(pii.pseudonym(F.col("m"), "k").alias("p")).collect()]
+    assert len(set(new)) == len(new) == finds.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs_and_keeps_ids(spark, name):
     out = queries.QUERIES[name](spark, SF)
