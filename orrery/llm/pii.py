@@ -37,7 +37,9 @@ DATE = r"(?:18|19|20)\d{2}([-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[
 SSN = r"\d{3}-\d{2}-\d{4}"
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 CARD = r"\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}"
-IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+#: Countries by the length of their IBANs; capitals that follow don't belong to one. Other lengths and codes are found as far as they reach.
+LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+IBAN = r"(?=[A-Z]{2}\d)(?:" + "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in LENGTHS.items()) + r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
 LEFT, RIGHT = r"(?<![A-Za-z0-9_.+@-])", r"(?![A-Za-z0-9_@]|[.-]\d)"
 #: In order of preference where two begin at one place.
 KINDS = {"email": EMAIL, "iban": IBAN, "date": DATE, "phone": PHONE, "plus_one": PLUS_ONE, "ssn": SSN, "ip": IPV4, "card": CARD, "abroad": ABROAD}

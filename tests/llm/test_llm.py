@@ -329,6 +329,14 @@ def test_pii_compact_numbers_and_slash_dates(spark):
     assert len(set(new)) == len(new) == finds.count()
 
 
+def test_pii_iban_before_capitals(spark):
+    rows = ["AT61 1904 3002 3457 3201 BIC GIBAATWW", "ES9121000418450200051332 BIC CAIX", "BE68 5390 0754 7034 THIS", "GB82 WEST 1234 5698 7654 32 BIC", "NO93 8601 1117 947 AND"]
+    got = pii.pseudonymised(docs(spark, list(enumerate(rows))), "k").orderBy("doc_id").collect()
+    assert [r.n_found for r in got] == [1] * 5
+    for r, old in zip(got, rows, strict=True):
+        assert [len(w) for w in r.text.split()] == [len(w) for w in old.split()] and r.text.split()[-1] == old.split()[-1] and r.text != old
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs_and_keeps_ids(spark, name):
     out = queries.QUERIES[name](spark, SF)
