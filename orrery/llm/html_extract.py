@@ -2,9 +2,9 @@
 
 Each block of text is a line with a text-to-tag ratio: its characters over the tags met in it. The ratios
 are smoothed by a Gaussian along the page and split in two clusters by a threshold halfway between the
-clusters' means; the lines above are content. The region of the result is the article or main element
-that holds most of the content, or without one the innermost element that holds nearly all of it; its lines
-are joined in page order. Lines inside elements that the page itself marks as menu, header, footer, sidebar,
+clusters' means; the lines above are content. The regions of the result are all article
+elements with content, or the main element around them if it has content beside them, or without either the innermost
+element that holds all content; their lines are joined in page order. Lines inside elements that the page itself marks as menu, header, footer, sidebar,
 notice, advert, form, script, style or comments count as ratio 0 and never belong to the result.
 The ratios alone can't tell a short paragraph from a footer, hence the region.
 
@@ -174,15 +174,22 @@ def main_text(html: str | None) -> str:
     for n in range(1, len(mass)):
         below[n] = below[p.parent[n]] or p.names[p.parent[n]] == "article"
     tops = [n for n in range(1, len(mass)) if seen[n] and p.names[n] in ARTICLE and not below[n]]
-    if any(p.names[n] == "article" for n in tops):
-        tops = [n for n in tops if p.names[n] == "article"]
-    region = 0
-    if tops:
-        region = max(tops, key=lambda n: (mass[n], -n))
-    elif mass[0]:
-        # two elements that hold nine tenths each lie in one another, so the last is the innermost
-        region = max((n for n in range(1, len(mass)) if p.names[n] in CONTAINERS and mass[n] >= 0.9 * mass[0]), default=0)
-    inside = [n == region for n in range(len(mass))]
+    # a main element with content beside its articles is taken whole, another leaves the choice to its articles
+    held, main = [0] * len(mass), [0] * len(mass)  # content of articles in a main element, and the outermost main that holds an element
+    for n in range(1, len(mass)):
+        up = p.parent[n]
+        main[n] = main[up] or (up if p.names[up] == "main" else 0)
+        if p.names[n] == "article" and not below[n]:
+            held[main[n]] += mass[n]
+    tops = [n for n in tops if p.names[n] == "article" or (not main[n] and mass[n] > held[n])] or tops
+    regions = [n for n in tops if mass[n]]
+    if not regions and tops:
+        regions = [min(tops, key=lambda n: (p.names[n] != "article", n))]
+    elif not regions and mass[0]:
+        # elements that hold all content lie in one another, so the last is the innermost
+        regions = [max((n for n in range(1, len(mass)) if p.names[n] in CONTAINERS and mass[n] == mass[0]), default=0)]
+    chosen = set(regions) or {0}
+    inside = [n in chosen for n in range(len(mass))]
     for n in range(1, len(mass)):
         inside[n] = inside[n] or inside[p.parent[n]]
     return " ".join(text for text, _, hide, n in p.lines if not hide and inside[n])

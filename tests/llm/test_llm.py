@@ -291,6 +291,21 @@ def test_html_deep_and_stray():
     assert html_extract.main_text("<span>" * n + "<h1>b</h1></section>" * n) == " ".join("b" * n)
 
 
+LONG = "a long story told in many words " * 8
+
+
+@pytest.mark.parametrize(
+    "html, parts",
+    [
+        (f"<main><p>{LONG}</p><article class=card>teaser</article></main>", 1),
+        (f"<article><p>{LONG}1</p></article><article><p>{LONG}2</p></article>", 2),
+        (f"<nav>menu</nav><div><h1>Head</h1><p>{LONG}intro</p><div class=body>" + f"<p>{LONG}</p>" * 30 + "</div></div>", 31),
+    ],
+)
+def test_html_keeps_all_regions(html, parts):
+    assert html_extract.main_text(html).count(LONG.strip()) == parts
+
+
 def test_html(spark):
     assert [html_extract.main_text(h) for h, _ in PAGES] == [t for _, t in PAGES]
     got = html_extract.extract(spark.createDataFrame([(h, "clash") for h, _ in PAGES], "html string, text string")).collect()
