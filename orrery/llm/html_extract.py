@@ -5,7 +5,9 @@ are smoothed by a Gaussian along the page and split in two clusters by a thresho
 clusters' means; the lines above are content. The regions of the result are all article
 elements with content, or the main element around them if it has content beside them, or without either the innermost
 element that holds all content; their lines are joined in page order. Lines inside elements that the page itself marks as menu, header, footer, sidebar,
-notice, advert, form, script, style or comments count as ratio 0 and never belong to the result.
+notice, advert, form, script, style or comments count as ratio 0 and don't belong to the result.
+Marks by class or id are whole names or compounds of known parts; they don't count where they would hide the main or only
+article, nor for an id that is a word of the text (as "search") inside an article, if most text there has a high ratio.
 The ratios alone can't tell a short paragraph from a footer, hence the region.
 
 Nulls and edges: a null or empty page has the empty text; text outside any element counts as the body's; unclosed
@@ -29,6 +31,11 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 HIDDEN = frozenset("aside button canvas datalist dialog footer form head iframe input label math menu nav noscript object option script select style svg template textarea title".split())
 MARKS = frozenset("ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr login menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 HEADERS = frozenset("header masthead site-header page-header top-bar topbar".split())
+#: A name with a mark is one too if it has nothing but marks and these.
+PARTS = frozenset("area bar block bottom box btn button buttons center col column container desktop fixed form global group icon icons inner item items left link links list main mobile overlay page panel post posts primary right row secondary section site slot small text top unit wrap wrapper".split())
+REPLIES = frozenset("comment comments disqus replies".split())
+#: Such an id may be a heading's own word.
+WORDS = frozenset("login menu navigation notice related search share sharing skip social".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 ARTICLE = ("article", "main")
 #: An element of the key's kind ends at a new one of these, unless a container stands between.
@@ -36,6 +43,18 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 CONTAINERS = frozenset("article aside blockquote body div dl fieldset figure footer form header main nav ol section table td th ul".split())
 
 
+#: Why an element hides: it does for certain, by a class or id, by an id that may be a word of the text, as readers' comments.
+FIRM, NAMED, WORD, READERS = 1, 2, 3, 4
+
+
+def named(k: str, name: str) -> int:
+    """How far a class or id (k) tells that its element isn't main text."""
+    parts = {w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()}
+    if name not in HEADERS and not (parts & MARKS and parts <= MARKS | PARTS):
+        return 0
+    return READERS if parts & REPLIES else WORD if k == "id" and name in WORDS else NAMED
+
+
 class Lines(HTMLParser):
     """The page's blocks: words, tags met, and the innermost open element of each; elements form a tree by `parent`."""
 
@@ -46,6 +65,7 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.lines: list[tuple[str, int, bool, int]] = []
         self.names, self.parent = ["body"], [0]
+        self.mark = [0]  # why an element hides
         self.count: Counter[str] = Counter()  # open elements by name, so that no end is sought in vain
 
     def end_line(self) -> None:
@@ -60,22 +80,23 @@ class Lines(HTMLParser):
             self.count[name] -= 1
         del self.open[k:]
 
-    def hidden(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def hidden(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in HIDDEN or (tag == "header" and not any(self.count[n] for n in ARTICLE)):
-            return True
+            return FIRM
         if tag in ("body", "html"):
-            return False
+            return 0
+        why = set()
         for k, v in attrs:
             if not v or k not in ("class", "id", "role", "aria-hidden", "hidden", "style"):
                 if k == "hidden":
-                    return True
+                    return FIRM
                 continue
             v = v.lower()
-            if k in ("class", "id") and any(w in HEADERS or MARKS & set(re.split(r"[^a-z0-9]+", w)) for w in v.split()):
-                return True
+            if k in ("class", "id"):
+                why |= {named(k, w) for w in v.split()}
             if (k == "role" and v in ROLES) or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v)):
-                return True
-        return False
+                return FIRM
+        return next((w for w in (READERS, NAMED, WORD) if w in why), 0)
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -88,7 +109,9 @@ class Lines(HTMLParser):
             self.close_implied(tag)
         if tag == "body" or (tag in ARTICLE and self.hides and any(h and n in ("head", "nav", "header", "title") for n, h, _ in self.open)):
             self.pop_to(next((i for i, (n, h, _) in enumerate(self.open) if h), len(self.open)))
-        hide = self.hidden(tag, attrs)
+        why = self.hidden(tag, attrs)
+        hide = why > 0
+        self.mark.append(why)
         self.number += 1
         self.hides += hide
         self.names.append(tag)
@@ -151,6 +174,45 @@ def threshold(x: np.ndarray) -> float:
     return t
 
 
+def below(p: Lines, marked: list[bool]) -> list[bool]:
+    """Whether an element or one that holds it is marked."""
+    for n in range(1, len(marked)):
+        marked[n] = marked[n] or marked[p.parent[n]]
+    return marked
+
+
+def unmarked(p: Lines) -> None:
+    """Takes back marks by name of what holds a main element, or an article on a page that shows neither elsewhere."""
+    if not any(m in (NAMED, WORD) for m in p.mark):
+        return
+    firm, hid = below(p, [m in (FIRM, READERS) for m in p.mark]), below(p, [m > 0 for m in p.mark])
+    main, either = ([name in names and not f for name, f in zip(p.names, firm, strict=True)] for names in (("main",), ARTICLE))
+    shown = any(e and not h for e, h in zip(either, hid, strict=True))
+    for holds in (main, either):
+        for n in range(len(holds) - 1, 0, -1):
+            holds[p.parent[n]] |= holds[n]
+    p.mark = [0 if m in (NAMED, WORD) and (a or (e and not shown)) else m for m, a, e in zip(p.mark, main, either, strict=True)]
+
+
+def overruled(p: Lines, limit: float) -> bool:
+    """Takes back marks by a word inside an article or main element where most of the text has a high smoothed ratio."""
+    inside = below(p, [n in ARTICLE for n in p.names])
+    words = [n for n, m in enumerate(p.mark) if m == WORD and inside[n]]
+    if not words:
+        return False
+    smooth = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in p.lines]))
+    all_, high = [0] * len(p.mark), [0] * len(p.mark)
+    for (text, _, _, n), x in zip(p.lines, smooth, strict=True):
+        all_[n] += len(text)
+        high[n] += len(text) if x >= limit else 0
+    for n in range(len(all_) - 1, 0, -1):
+        all_[p.parent[n]] += all_[n]
+        high[p.parent[n]] += high[n]
+    back = {n for n in words if 2 * high[n] > all_[n]}
+    p.mark = [0 if n in back else m for n, m in enumerate(p.mark)]
+    return bool(back)
+
+
 def main_text(html: str | None) -> str:
     p = Lines()
     p.feed(html or "")
@@ -158,9 +220,16 @@ def main_text(html: str | None) -> str:
     p.end_line()
     if not p.lines:
         return ""
-    ratios = np.array([0.0 if hide else len(text) / max(1, tags) for text, tags, hide, _ in p.lines])
-    smooth = smoothed(ratios)
-    content = (smooth >= threshold(smooth)) & (ratios > 0)
+    unmarked(p)
+    for last in (False, True):
+        hid = below(p, [m > 0 for m in p.mark])
+        p.lines = [(text, tags, hid[n], n) for text, tags, _, n in p.lines]
+        ratios = np.array([0.0 if hide else len(text) / max(1, tags) for text, tags, hide, _ in p.lines])
+        smooth = smoothed(ratios)
+        limit = threshold(smooth)
+        content = (smooth >= limit) & (ratios > 0)
+        if last or not overruled(p, limit):
+            break
     # an element's number is above its parent's: sums go up the tree in falling order, marks down it in rising order
     mass, seen = [0] * len(p.names), [False] * len(p.names)
     for (text, _, hide, n), good in zip(p.lines, content, strict=True):
@@ -170,16 +239,16 @@ def main_text(html: str | None) -> str:
     for n in range(len(mass) - 1, 0, -1):
         mass[p.parent[n]] += mass[n]
         seen[p.parent[n]] |= seen[n]
-    below = [False] * len(mass)  # inside an article
+    within = [False] * len(mass)  # inside an article
     for n in range(1, len(mass)):
-        below[n] = below[p.parent[n]] or p.names[p.parent[n]] == "article"
-    tops = [n for n in range(1, len(mass)) if seen[n] and p.names[n] in ARTICLE and not below[n]]
+        within[n] = within[p.parent[n]] or p.names[p.parent[n]] == "article"
+    tops = [n for n in range(1, len(mass)) if seen[n] and p.names[n] in ARTICLE and not within[n]]
     # a main element with content beside its articles is taken whole, another leaves the choice to its articles
     held, main = [0] * len(mass), [0] * len(mass)  # content of articles in a main element, and the outermost main that holds an element
     for n in range(1, len(mass)):
         up = p.parent[n]
         main[n] = main[up] or (up if p.names[up] == "main" else 0)
-        if p.names[n] == "article" and not below[n]:
+        if p.names[n] == "article" and not within[n]:
             held[main[n]] += mass[n]
     tops = [n for n in tops if p.names[n] == "article" or (not main[n] and mass[n] > held[n])] or tops
     regions = [n for n in tops if mass[n]]

@@ -306,6 +306,20 @@ def test_html_keeps_all_regions(html, parts):
     assert html_extract.main_text(html).count(LONG.strip()) == parts
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<div class='content has-sidebar'><article><p>{LONG}</p></article></div>",
+        f"<div class='post no-ads'><p>{LONG}</p></div>",
+        f"<div class=sidebar><main><p>{LONG}</p></main></div>",
+        f"<div id=menu><article><p>{LONG}</p></article></div>",
+        *(f"<article><p>{LONG}</p><section id={i}><p>{LONG}</p></section><div class=ad><p>{LONG}</p></div></article>" for i in ("search-algorithms", "related-work", "social-history", "comment-on-the-treaty", "search")),
+    ],
+)
+def test_html_weak_marks(html):
+    assert html_extract.main_text(html).count(LONG.strip()) == (2 if "<section" in html else 1)
+
+
 def test_html(spark):
     assert [html_extract.main_text(h) for h, _ in PAGES] == [t for _, t in PAGES]
     got = html_extract.extract(spark.createDataFrame([(h, "clash") for h, _ in PAGES], "html string, text string")).collect()
