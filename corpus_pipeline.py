@@ -1,51 +1,69 @@
 """A corpus pipeline: quality, repeated lines, near duplicates, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next
-one's docs. All but the last return the columns of docs. Rows with one doc_id are one document: they stay or
-go together. A row without doc_id is never dropped as a copy.
+one's docs. All but the last return the columns of docs, in their order and with their types; a column of any name
+other than doc_id and text passes through untouched, also one named like a column that an operator adds.
+
+Nulls and edges, of every stage: an empty table gives an empty one; a null text counts as empty; rows with one doc_id
+are one document for near duplicates, which stay or go together, and are judged each alone elsewhere; a row without
+doc_id is never dropped as a copy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import _store, decontam, jaccard_join, line_dedup, packing, quality
 
 LEAST_QUALITY = 0.3
+#: Words of a benchmark window. A document with one is dropped, however long it is.
+WINDOW = 13
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _apart(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], keep: Column | None = None) -> DataFrame:
+    """operator(docs) where `keep` holds, with the columns of docs; those but doc_id and text travel in one struct, out of the way."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    name = "_" + "_".join(["rest", *rest])  # no operator's name, no column's name
+    held = [F.struct(*(docs[c] for c in rest)).alias(name)] if rest else []
+    out = operator(docs.select("doc_id", "text", *held))
+    out = out if keep is None else out.where(keep)
+    return out.select(*(F.col(c) if c in ("doc_id", "text") else F.col(name)[c].alias(c) for c in docs.columns))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted to the labelled ones, doesn't reject."""
-    model = quality.train(docs, _table(spark, sf_dir, "labels"), F.lit(False))
-    return quality.scored(docs, model).where(F.col("score") >= LEAST_QUALITY).select(docs.columns)
+    """Documents that the quality classifier, fitted to the labelled ones, doesn't reject; without labels all stay."""
+    model = quality.train(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels"), F.lit(False))
+    return _apart(docs, lambda d: quality.scored(d, model), F.col("score") >= LEAST_QUALITY)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in the one with the largest doc_id only."""
-    out = line_dedup.without_repeats(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Lines that many documents share stay in the one with the largest doc_id only; n_chars, if there, follows the text."""
+    out = _apart(docs, line_dedup.without_repeats)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity of 0.8 or more) the least doc_id stays."""
     named = jaccard_join.classes(docs.select("doc_id", "text"), words=5, num=8, den=10)
-    stay = named.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay"))
-    known = docs.join(stay, F.col("doc_id") == F.col("stay"), "left_semi")
-    return known.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    gone = named.where("doc_id is not null AND doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a notable share of words from benchmark items."""
-    return decontam.contamination(docs, _table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
+    """Documents without a whole window of a benchmark item, and without a notable share of words from shorter items."""
+    clean = ~F.col("contaminated") & (F.col("n_hit") < WINDOW)
+    return _apart(docs, lambda d: decontam.contamination(d, _table(spark, sf_dir, "benchmark"), width=WINDOW), clean)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: one row for each piece of a document."""
+    """Training sequences: one row for each piece of a document, under the columns of the packing operator."""
     return packing.packed(docs)
 
 
