@@ -4,8 +4,8 @@ A vector x becomes whole numbers and one more coordinate that gives all vectors
 |q - x|^2 = |q|^2 + M^2 - 2 qx: the nearest has the largest inner product. A tree's nodes have a routing vector,
 a covering radius and the distance to their parent's router; they and the vectors are written by tasks to
 shared files, one tree for each hash shard of the rows, and mapped by the workers. A query searches all trees
-with one queue, best bound first. |d(q, parent) - d(x, parent)| bounds d(q, x) from below, so most distances
-aren't computed. Scores are whole numbers and exact; a node that can only tie is left out if all its ids are larger
+with one queue, best bound first. |d(q, parent) - d(x, parent)| bounds d(q, x) from below: rows and nodes that it
+rules out are left before any product is taken. Scores are whole numbers and exact; a node that can only tie is left out if all its ids are larger
 than the worst kept one, so many equal vectors cost one page.
 
 Nulls and edges: vectors that are null, or hold a null, infinite or NaN component, and rows without an id take
@@ -16,6 +16,7 @@ candidate; repeated rows are answers and queries of their own. Sums beyond 2^63
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from . import _store as S
 
 ROWS_PER_TREE = 32_768
-LEAF, FAN = 2048, 16
+#: Rows of a page, and children of a node, at most.
+PAGE, FAN = 128, 16
 
 
 def _matrix(col, width: int, scale: float) -> np.ndarray:
@@ -46,99 +48,124 @@ def _dots(x: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
 
 
 def tree(ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
-    """Nodes in the order in which they were made, the root first; a leaf's rows are neighbours."""
+    """Nodes in the order in which they were made, the root first; a page's rows are neighbours, by rising distance to its router.
+
+    A node's rows go to the nearest of at most FAN routers: rows drawn by their squared distance to those before, then twice the row
+    nearest to the mean of its group, which makes the covering radii small.
+    """
     top = float((x * x).sum(1).max(initial=0))
-    far = lambda rows, r: np.sqrt(np.maximum(2 * top - 2 * (x[rows] @ x[r] + np.sqrt(np.maximum(top - (x[rows] ** 2).sum(1), 0)) * np.sqrt(max(top - float(x[r] @ x[r]), 0))), 0))
+    lift = np.sqrt(np.maximum(top - (x * x).sum(1), 0))
+    slack = 1e-6 * np.sqrt(2 * top + 1)
+
+    def far(rows: np.ndarray, routers: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 * top - 2 * (x[rows] @ x[routers].T + lift[rows, None] * lift[routers]), 0))
+
+    def centre(rows: np.ndarray) -> int:
+        return int(rows[(x[rows] @ x[rows].mean(0) + lift[rows] * lift[rows].mean()).argmax()])
+
     rng = np.random.default_rng(len(ids))
-    order: list[np.ndarray] = []
-    nodes: list[list] = []  # router, radius, distance to the parent's router, first child or row, end, leaf, least id
     every = np.argsort(ids, kind="stable")
-    nodes.append([int(every[0]), 0.0, 0.0, 0, 0, 0, int(ids.min())])
-    done = placed = 0
-    parent_of = [-1]
-    queue = [(0, every)]
-    distances: list[np.ndarray] = []
+    router, radius, up, links, least = [centre(every)], [0.0], [0.0], [[0, 0, 0]], [int(ids.min())]
+    order: list[np.ndarray] = []
+    apart: list[np.ndarray] = []
+    placed, queue, done = 0, [every], 0
     while done < len(queue):
-        k, rows = queue[done]
+        k, rows = done, queue[done]
         done += 1
-        d = far(rows, nodes[k][0])
-        nodes[k][1] = float(d.max()) + 1e-6 * np.sqrt(2 * top + 1)
-        if parent_of[k] >= 0:
-            nodes[k][2] = float(far(np.array([nodes[k][0]]), nodes[parent_of[k]][0])[0])
-        if len(rows) <= LEAF:
-            nodes[k][3:6] = [placed, placed + len(rows), 1]
-            order.append(rows)
-            distances.append(d)
+        d = far(rows, np.array([router[k]]))[:, 0]
+        radius[k] = float(d.max()) + slack
+        if len(rows) <= PAGE:
+            by = np.argsort(d, kind="stable")
+            links[k] = [placed, placed + len(rows), 1]
+            order.append(rows[by])
+            apart.append(d[by])
             placed += len(rows)
             continue
         some = rows if len(rows) <= 512 else rng.choice(rows, 512, replace=False)
-        routers, least = [int(some[0])], far(some, int(some[0]))
-        while len(routers) < FAN and least.max() > 1e-6 * np.sqrt(2 * top + 1):
-            routers.append(int(some[least.argmax()]))
-            least = np.minimum(least, far(some, routers[-1]))
-        near = np.stack([far(rows, r) for r in routers]).argmin(0)
-        groups = [(r, rows[near == i]) for i, r in enumerate(routers) if (near == i).any()]
+        picked, gap = [int(some[0])], far(some, some[:1])[:, 0]
+        while len(picked) < min(FAN, -(-5 * len(rows) // (4 * PAGE))) and gap.max() > slack:
+            picked.append(int(rng.choice(some, p=gap**2 / (gap**2).sum())))
+            gap = np.minimum(gap, far(some, np.array(picked[-1:]))[:, 0])
+        routers = np.array(picked)
+        for _ in range(2):
+            near = far(rows, routers).argmin(1)
+            routers = np.array([centre(rows[near == i]) for i in range(len(routers)) if (near == i).any()])
+        near = far(rows, routers).argmin(1)
+        groups = [(int(r), rows[near == i]) for i, r in enumerate(routers) if (near == i).any()]
         if len(groups) == 1:  # nothing tells the rows apart: cut them by id
-            groups = [(int(g[0]), g) for g in np.array_split(rows, min(FAN, -(-len(rows) // LEAF)))]
-        nodes[k][3:6] = [len(nodes), len(nodes) + len(groups), 0]
+            groups = [(int(g[0]), g) for g in np.array_split(rows, min(FAN, -(-len(rows) // PAGE)))]
+        links[k] = [len(router), len(router) + len(groups), 0]
         for r, g in groups:
-            queue.append((len(nodes), g))
-            nodes.append([r, 0.0, 0.0, 0, 0, 0, int(ids[g].min())])
-            parent_of.append(k)
+            queue.append(g)
+            router.append(r)
+            radius.append(0.0)
+            up.append(float(far(np.array([r]), np.array([router[k]]))[0, 0]))
+            links.append([0, 0, 0])
+            least.append(int(ids[g].min()))
     rows = np.concatenate(order)
-    t = np.array([n[1:3] for n in nodes])
-    return {"key": ids[rows], "x": x[rows], "apart": np.concatenate(distances), "router": x[[n[0] for n in nodes]], "radius": t[:, 0], "up": t[:, 1], "links": np.array([n[3:6] for n in nodes], np.int64), "least": np.array([n[6] for n in nodes], np.int64), "top": np.array([top])}
+    return {"key": ids[rows], "x": x[rows], "apart": np.concatenate(apart), "router": x[router], "radius": np.array(radius), "up": np.array(up), "links": np.array(links, np.int64), "least": np.array(least, np.int64), "top": np.array([top])}
 
 
 class Search:
+    """Best-first search over all trees. computed counts the rows and routers whose product with a query was taken."""
+
     def __init__(self, store: S.Store):
         names = ("key", "x", "apart", "router", "radius", "up", "links", "least", "top")
         self.trees = [{n: np.asarray(store.array(s, n)) for n in names} for s in sorted(store.sizes)]
+        self.tops = np.array([t["top"][0] for t in self.trees])
+        self.roots = np.stack([t["router"][0] for t in self.trees])
+        self.reach = np.array([t["radius"][0] for t in self.trees])
+        self.computed = 0
 
     def best(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows other than `own`, best first."""
         q2 = float(q @ q)
         scores, ids = np.zeros(0), np.zeros(0, np.int64)
-        heap = []
-        bound = lambda t, d: np.floor((q2 + t["top"][0] - np.maximum(d, 0) ** 2) / 2 + 1e-6 * (q2 + t["top"][0] + 1))
-        dist = lambda t, y: np.sqrt(np.maximum(q2 + t["top"][0] - 2 * (y @ q), 0))
-        # a router's distance to q, by its inner product with q: all vectors of a tree have one norm
-        for i, t in enumerate(self.trees):
-            d = float(dist(t, t["router"][:1])[0])
-            heapq.heappush(heap, (-float(bound(t, d - t["radius"][0])), int(t["least"][0]), i, 0, d))
+        # a row's distance to q follows from its inner product with q, as all vectors of a tree have one norm
+        dist = lambda top, y: np.sqrt(np.maximum(q2 + top - 2 * (y @ q), 0))
+        bound = lambda top, d: np.floor((q2 + top - np.maximum(d, 0) ** 2) / 2 + 1e-6 * (q2 + top + 1))
+        slack = (1e-6 * np.sqrt(q2 + self.tops + 1)).tolist()
+        d = dist(self.tops, self.roots)
+        self.computed += len(d)
+        heap = [(-b, int(t["least"][0]), i, 0, x) for i, (t, b, x) in enumerate(zip(self.trees, bound(self.tops, d - self.reach - np.array(slack)).tolist(), d.tolist(), strict=True))]
+        heapq.heapify(heap)
+        worst = -math.inf  # the score to reach
         while heap:
             b, least, i, node, d = heapq.heappop(heap)
-            if len(ids) == k and (-b < scores[-1] or (-b == scores[-1] and least > ids[-1])):
-                if -b < scores[-1]:
-                    break
+            if -b < worst:
+                break
+            if -b == worst and least > ids[-1]:
                 continue
-            t = self.trees[i]
-            lo, hi, leaf = t["links"][node]
-            slack = 1e-6 * np.sqrt(q2 + t["top"][0] + 1)
+            t, top = self.trees[i], float(self.tops[i])
+            lo, hi, leaf = t["links"][node].tolist()
+            # |d(q, router) - d(x, router)| bounds d(q, x) from below: what lies outside the ring needs no product
+            ring = math.inf if worst == -math.inf else math.sqrt(max(q2 + top - 2 * worst, 0)) + 2 * slack[i]
             if leaf:
-                part = slice(lo, hi)
-                ok = t["key"][part] != own
-                if len(ids) == k:
-                    ok &= bound(t, np.abs(d - t["apart"][part]) - slack) >= scores[-1]
-                if not ok.any():
-                    continue
-                s, n = _dots(t["x"][part], q, q2 * t["top"][0])[ok], t["key"][part][ok]
-                if len(ids) == k:
-                    ok = s >= scores[-1]
-                    s, n = s[ok], n[ok]
-                if len(s):
-                    scores, ids = np.concatenate([scores, s]), np.concatenate([ids, n])
-                    order = np.lexsort((ids, -scores))[:k]
-                    scores, ids = scores[order], ids[order]
+                if ring < math.inf:
+                    near, far = t["apart"][lo:hi].searchsorted((d - ring, d + ring)).tolist()
+                    lo, hi = lo + near, lo + far
+                    if lo == hi:
+                        continue
+                self.computed += hi - lo
+                s = _dots(t["x"][lo:hi], q, q2 * top)
+                at = (s >= worst).nonzero()[0]
+                at = at[t["key"][lo:hi][at] != own] if len(at) else at
+                if len(at):
+                    scores, ids = np.concatenate([scores, s[at]]), np.concatenate([ids, t["key"][lo:hi][at]])
+                    first = np.lexsort((ids, -scores))[:k]
+                    scores, ids = scores[first], ids[first]
+                    worst = float(scores[-1]) if len(ids) == k else worst
                 continue
             kids = np.arange(lo, hi)
-            if len(ids) == k:
-                kids = kids[bound(t, np.abs(d - t["up"][kids]) - t["radius"][kids] - slack) >= scores[-1]]
+            if ring < math.inf:
+                kids = kids[np.abs(d - t["up"][lo:hi]) - t["radius"][lo:hi] <= ring]
             if len(kids):
-                ds = dist(t, t["router"][kids])
-                for b, c, x in zip(bound(t, ds - t["radius"][kids] - slack).tolist(), kids.tolist(), ds.tolist(), strict=True):
-                    if len(ids) < k or b >= scores[-1]:
-                        heapq.heappush(heap, (-b, int(t["least"][c]), i, c, x))
+                self.computed += len(kids)
+                ds = dist(top, t["router"][kids])
+                bounds = bound(top, ds - t["radius"][kids] - slack[i])
+                for b, c, x, n in zip(bounds.tolist(), kids.tolist(), ds.tolist(), t["least"][kids].tolist(), strict=True):
+                    if b >= worst:
+                        heapq.heappush(heap, (-b, n, i, c, x))
         return ids, scores
 
 

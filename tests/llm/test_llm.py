@@ -163,7 +163,7 @@ def test_quality_held_out(spark):
 
 @pytest.mark.parametrize("hot", [False, True])
 def test_top_k(spark, hot, monkeypatch):
-    monkeypatch.setattr(topk, "LEAF", 8)
+    monkeypatch.setattr(topk, "PAGE", 8)
     r = np.random.default_rng(1)
     v = r.integers(-3, 4, (400, 5)) / 8.0
     if hot:
@@ -179,6 +179,31 @@ def test_top_k(spark, hot, monkeypatch):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want and len(got) == len(want)
 
 
+class Trees:
+    def __init__(self, *trees):
+        self.trees, self.sizes = trees, dict.fromkeys(range(len(trees)))
+
+    def array(self, shard, name):
+        return self.trees[shard][name]
+
+
+def test_m_tree_has_small_pages_on_several_levels_and_prunes():
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 16))
+    x = np.floor(640 * (centres[r.integers(0, 40, 6000)] + 0.02 * r.normal(size=(6000, 16))))
+    t = topk.tree(np.arange(6000), x)
+    lo, hi, leaf = t["links"].T
+    assert ((hi - lo)[leaf == 1] <= 128).all() and ((hi - lo)[leaf == 0] <= topk.FAN).all() and (hi - lo)[leaf == 1].sum() == 6000
+    assert (leaf[lo[0] : hi[0]] == 0).any()  # a child of the root has children
+    search = topk.Search(Trees(t))
+    for q in range(20):
+        ids, scores = search.best(q, x[q], 10)
+        every = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(6000), -every)) if i != q][:10]
+        assert ids.tolist() == want and scores.tolist() == every[want].tolist()
+    assert search.computed < 0.2 * 20 * 6000
+
+
 def test_lm(spark):
     rows = [(i, text(rng.randrange(0, 80))) for i in range(40)] + [(50, None), (51, ""), (52, "unseen words"), (1, "again again")]
     model = lm.train(docs(spark, rows[:30]))
