@@ -2,16 +2,19 @@
 
 Each block of text is a line with a text-to-tag ratio: its characters over the tags met in it. The ratios
 are smoothed by a Gaussian along the page and split in two clusters by a threshold halfway between the
-clusters' means; the lines above are content. The regions of the result are all article
-elements with content, or the main element around them if it has content beside them, or without either the innermost
-element that holds all content; their lines are joined in page order. Lines inside elements that the page itself marks as menu, header, footer, sidebar,
-notice, advert, form, script, style or comments count as ratio 0 and don't belong to the result.
+clusters' means; the lines above are content, and content alone chooses regions. A content line brings in its section (the
+innermost article, main, section, div, cell or body); where most content lies in article or main elements, those that hold
+content are the regions, and a main is one region if it has content beside its articles. Structure adds and vetoes only: a region's
+short lines are added, as are those between its first and last content line and headings just before; lines inside
+elements that the page itself marks as menu, header, footer, sidebar, notice, advert, form, script, style or comments count as
+ratio 0 and don't belong to the result. Without content no element has a result, whatever its name.
 Marks by class or id are whole names or compounds of known parts; they don't count where they would hide the main or only
 article, nor for an id that is a word of the text (as "search") inside an article, if most text there has a high ratio.
-The ratios alone can't tell a short paragraph from a footer, hence the region.
+The regions' lines are joined in page order.
 
 Nulls and edges: a null or empty page has the empty text; text outside any element counts as the body's; unclosed
-elements end with what holds them. Incoming columns named like a result are dropped.
+elements end with what holds them; repeated rows give equal texts; an empty table gives an empty one. Incoming columns named
+like a result are dropped.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 HIDDEN = frozenset("aside button canvas datalist dialog footer form head iframe input label math menu nav noscript object option script select style svg template textarea title".split())
+#: What stands within a line and is never text: it's dropped without ending the line.
+SILENT = HIDDEN - BLOCKS - {"head"}
 MARKS = frozenset("ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr login menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 HEADERS = frozenset("header masthead site-header page-header top-bar topbar".split())
 #: A name with a mark is one too if it has nothing but marks and these.
@@ -40,6 +45,9 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 ARTICLE = ("article", "main")
 #: An element of the key's kind ends at a new one of these, unless a container stands between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What a line belongs to where no article or main element holds it.
+SECTIONS = frozenset("article body div main section td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article aside blockquote body div dl fieldset figure footer form header main nav ol section table td th ul".split())
 
 
@@ -61,7 +69,7 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # name, whether it hides, number
-        self.hides = self.number = self.tags = 0
+        self.hides = self.silent = self.number = self.tags = 0
         self.parts: list[str] = []
         self.lines: list[tuple[str, int, bool, int]] = []
         self.names, self.parent = ["body"], [0]
@@ -77,6 +85,7 @@ class Lines(HTMLParser):
     def pop_to(self, k: int) -> None:
         for name, h, _ in self.open[k:]:
             self.hides -= h
+            self.silent -= name in SILENT
             self.count[name] -= 1
         del self.open[k:]
 
@@ -111,12 +120,15 @@ class Lines(HTMLParser):
             self.pop_to(next((i for i, (n, h, _) in enumerate(self.open) if h), len(self.open)))
         why = self.hidden(tag, attrs)
         hide = why > 0
+        if hide and tag not in BLOCKS and tag not in SILENT:
+            self.end_line()
         self.mark.append(why)
         self.number += 1
         self.hides += hide
         self.names.append(tag)
         self.parent.append(self.open[-1][2] if self.open else 0)
         self.count[tag] += 1
+        self.silent += tag in SILENT
         self.open.append((tag, hide, self.number))
 
     def close_implied(self, tag: str) -> None:
@@ -142,14 +154,14 @@ class Lines(HTMLParser):
             return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
+                if self.open[k][1] and tag not in BLOCKS and tag not in SILENT:
+                    self.end_line()
                 return self.pop_to(k)
             if tag not in CONTAINERS and tag not in ("html", "body", "head") and self.open[k][0] in CONTAINERS:
                 return
 
     def handle_data(self, data):
-        if not self.hides:
-            self.parts.append(data)
-        elif not data.isspace():
+        if not self.silent and not (self.hides and data.isspace()):
             self.parts.append(data)
 
 
@@ -213,6 +225,56 @@ def overruled(p: Lines, limit: float) -> bool:
     return bool(back)
 
 
+def classed(ratios: np.ndarray) -> tuple[np.ndarray, float]:
+    """Which lines are content, and the threshold; a line of ratio 0 never is."""
+    smooth = smoothed(ratios)
+    limit = threshold(smooth)
+    content = (smooth >= limit) & (ratios > 0)
+    if not content.any() and (ratios > 0).any():
+        content = (ratios > 0) & (smooth >= smooth[ratios > 0].max())
+    return content, limit
+
+
+def regions(p: Lines, content: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Which lines belong to the regions that the content lines choose, vetoed ones included.
+
+    Outside article and main elements only seeds choose: content whose own ratio is above the threshold too, not just its neighbours'.
+    """
+    if not content.any():
+        return content
+    # an element's number is above its parent's
+    section, article, main = [0] * len(p.names), [0] * len(p.names), [0] * len(p.names)
+    for n in range(1, len(p.names)):
+        up, name = p.parent[n], p.names[n]
+        section[n] = n if name in SECTIONS else section[up]
+        article[n] = article[up] or (n if name == "article" else 0)
+        main[n] = main[up] or (n if name == "main" else 0)
+    of = np.array([n for _, _, _, n in p.lines])
+    size = np.array([len(text) for text, _, _, _ in p.lines]) * content
+    section, article, main = np.array(section)[of], np.array(article)[of], np.array(main)[of]
+    beside = np.unique(main[content & (main > 0) & (article == 0)])  # main elements with content beside their articles
+    element = np.where(np.isin(main, beside) & (main > 0), main, np.where(article > 0, article, main))
+    marked = element > 0
+    taken = marked & np.isin(element, np.unique(element[content]))
+    if 2 * size[marked].sum() >= size.sum():
+        return taken
+    free = np.flatnonzero((seeds if (seeds & ~marked).any() else content) & ~marked)
+    taken |= ~marked & np.isin(section, np.unique(section[free]))
+    # what lies between, inside the innermost element that holds all of it
+    held = np.bincount(of[free], minlength=len(p.names)).tolist()
+    for n in range(len(held) - 1, 0, -1):
+        held[p.parent[n]] += held[n]
+    common = max(n for n, k in enumerate(held) if k == len(free))
+    inside = below(p, [n == common for n in range(len(p.names))]) if common else [True] * len(p.names)
+    first, last = free[0], free[-1]
+    between = np.arange(first, last + 1)
+    taken[between] |= np.array(inside)[of[between]] & ~marked[between]
+    while first and p.names[of[first - 1]] in HEADINGS:
+        first -= 1
+        taken[first] = True
+    return taken
+
+
 def main_text(html: str | None) -> str:
     p = Lines()
     p.feed(html or "")
@@ -225,43 +287,10 @@ def main_text(html: str | None) -> str:
         hid = below(p, [m > 0 for m in p.mark])
         p.lines = [(text, tags, hid[n], n) for text, tags, _, n in p.lines]
         ratios = np.array([0.0 if hide else len(text) / max(1, tags) for text, tags, hide, _ in p.lines])
-        smooth = smoothed(ratios)
-        limit = threshold(smooth)
-        content = (smooth >= limit) & (ratios > 0)
+        content, limit = classed(ratios)
         if last or not overruled(p, limit):
             break
-    # an element's number is above its parent's: sums go up the tree in falling order, marks down it in rising order
-    mass, seen = [0] * len(p.names), [False] * len(p.names)
-    for (text, _, hide, n), good in zip(p.lines, content, strict=True):
-        if not hide:
-            seen[n] = True
-            mass[n] += len(text) if good else 0
-    for n in range(len(mass) - 1, 0, -1):
-        mass[p.parent[n]] += mass[n]
-        seen[p.parent[n]] |= seen[n]
-    within = [False] * len(mass)  # inside an article
-    for n in range(1, len(mass)):
-        within[n] = within[p.parent[n]] or p.names[p.parent[n]] == "article"
-    tops = [n for n in range(1, len(mass)) if seen[n] and p.names[n] in ARTICLE and not within[n]]
-    # a main element with content beside its articles is taken whole, another leaves the choice to its articles
-    held, main = [0] * len(mass), [0] * len(mass)  # content of articles in a main element, and the outermost main that holds an element
-    for n in range(1, len(mass)):
-        up = p.parent[n]
-        main[n] = main[up] or (up if p.names[up] == "main" else 0)
-        if p.names[n] == "article" and not within[n]:
-            held[main[n]] += mass[n]
-    tops = [n for n in tops if p.names[n] == "article" or (not main[n] and mass[n] > held[n])] or tops
-    regions = [n for n in tops if mass[n]]
-    if not regions and tops:
-        regions = [min(tops, key=lambda n: (p.names[n] != "article", n))]
-    elif not regions and mass[0]:
-        # elements that hold all content lie in one another, so the last is the innermost
-        regions = [max((n for n in range(1, len(mass)) if p.names[n] in CONTAINERS and mass[n] == mass[0]), default=0)]
-    chosen = set(regions) or {0}
-    inside = [n in chosen for n in range(len(mass))]
-    for n in range(1, len(mass)):
-        inside[n] = inside[n] or inside[p.parent[n]]
-    return " ".join(text for text, _, hide, n in p.lines if not hide and inside[n])
+    return " ".join(text for (text, _, hide, _), use in zip(p.lines, regions(p, content, content & (ratios >= limit)), strict=True) if use and not hide)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -345,6 +345,53 @@ def test_html_weak_marks(html):
     assert html_extract.main_text(html).count(LONG.strip()) == (2 if "<section" in html else 1)
 
 
+FEW = "few words"
+UNMARKED = [
+    # no class, role or article tells the story from the rest: the ratios alone choose
+    (f"<div><p>{FEW}</p><p>{FEW}</p><p>{FEW}</p></div><div><h1>Head</h1><p>{LONG}</p><p>short</p><p>{LONG}</p></div><div><p>{FEW}</p><p>{FEW}</p></div>", ["Head", LONG, "short", LONG]),
+    (f"<div><p>{LONG}</p></div><article class=card>teaser</article>", [LONG]),
+    (f"<div><a>one</a> <a>two</a> <a>three</a></div><div><p>{LONG}</p></div><div><p>aside</p></div><div><p>{LONG}</p></div><div><a>x</a> <a>y</a></div>", [LONG, "aside", LONG]),
+]
+
+
+@pytest.mark.parametrize("html, parts", UNMARKED)
+def test_html_ratios_choose_the_regions(html, parts, monkeypatch):
+    want = " ".join(p.strip() for p in parts)
+    assert html_extract.main_text(html) == want
+    real = html_extract.smoothed
+    monkeypatch.setattr(html_extract, "smoothed", lambda ratios, sigma=1.0: -real(ratios, sigma))
+    assert html_extract.main_text(html) != want
+
+
+def test_html_smoothing_and_clusters_against_plain_loops():
+    for n in (1, 2, 3, 7, 40):
+        x = [rng.choice((0.0, rng.uniform(0, 9), rng.uniform(50, 400))) for _ in range(n)]
+        weight = lambda a, b: math.exp(-0.5 * (a - b) ** 2) if abs(a - b) <= 3 else 0.0
+        slow = [sum(x[j] * weight(i, j) for j in range(n)) / sum(weight(i, j) for j in range(n)) for i in range(n)]
+        assert html_extract.smoothed(np.array(x)).tolist() == pytest.approx(slow)
+        t = sum(slow) / n
+        for _ in range(50):
+            low, high = [v for v in slow if v <= t], [v for v in slow if v > t]
+            if not low or not high:
+                break
+            t = (sum(low) / len(low) + sum(high) / len(high)) / 2
+        content, limit = html_extract.classed(np.array(x))
+        assert limit == pytest.approx(t)
+        if any(s >= t and r > 0 for s, r in zip(slow, x)):
+            assert content.tolist() == [s >= limit - 1e-12 and r > 0 for s, r in zip(slow, x)]
+
+
+def test_html_drops_hidden_text_within_a_line():
+    assert html_extract.main_text("<article><p>one <script>var a=1</script>two <span class=share>tweet</span> three</p></article>") == "one two three"
+    assert html_extract.main_text("<article><p>one<style>x</style>two<button>go</button></article>") == "onetwo"
+
+
+def test_html_empty_table_and_repeated_rows(spark):
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+    got = html_extract.extract(spark.createDataFrame([(1, "<p>a</p>"), (1, "<p>a</p>"), (None, None)], "page_id long, html string")).collect()
+    assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == [("1", "a", 1), ("1", "a", 1), ("None", "", 0)]
+
+
 def test_html(spark):
     assert [html_extract.main_text(h) for h, _ in PAGES] == [t for _, t in PAGES]
     got = html_extract.extract(spark.createDataFrame([(h, "clash") for h, _ in PAGES], "html string, text string")).collect()
