@@ -16,26 +16,34 @@ def newest(log: DataFrame, ts: str = "ts") -> datetime:
     return log.agg(F.max(ts)).first()[0]
 
 
-def recent(log: DataFrame, asof: datetime, window_s: float) -> DataFrame:
-    return log.where(F.unix_micros("ts") >= F.unix_micros(F.lit(asof)) - int(window_s * 1e6))
+def one_row(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """rows with the columns of a table of one row, such as an aggregate without keys."""
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
-def age_s(ts: Column, asof: datetime) -> Column:
-    return (F.unix_micros(F.lit(asof)) - F.unix_micros(ts)) / 1e6
+def recent(log: DataFrame, asof: datetime | Column, window_s: float) -> DataFrame:
+    return log.where(F.unix_micros("ts") >= F.unix_micros(_when(asof)) - int(window_s * 1e6))
 
 
-def hotness(log: DataFrame, asof: datetime, window_s: float, halflife_s: float) -> DataFrame:
-    """(doc_id, raw, accesses, last_ts): raw sums exp(-age / halflife) over the window."""
+def _when(asof: datetime | Column) -> Column:
+    return asof if isinstance(asof, Column) else F.lit(asof)
+
+
+def age_s(ts: Column, asof: datetime | Column) -> Column:
+    return (F.unix_micros(_when(asof)) - F.unix_micros(ts)) / 1e6
+
+
+def hotness(log: DataFrame, asof: datetime | Column, window_s: float, halflife_s: float) -> DataFrame:
+    """(doc_id, raw, accesses, last_ts, last_age_s): raw sums exp(-age / halflife) over the window."""
     decay = F.exp(-F.greatest(age_s(F.col("ts"), asof), F.lit(0.0)) / max(halflife_s, 1.0))
-    return recent(log, asof, window_s).groupBy("doc_id").agg(F.sum(decay).alias("raw"), F.count("*").alias("accesses"), F.max("ts").alias("last_ts"))
+    return recent(log, asof, window_s).groupBy("doc_id").agg(F.sum(decay).alias("raw"), F.count("*").alias("accesses"), F.max("ts").alias("last_ts"), F.min(age_s(F.col("ts"), asof)).alias("last_age_s"))
 
 
-def normalised(scores: DataFrame, asof: datetime, *, boost: float = 0.12, boost_s: float = 90.0) -> DataFrame:
+def normalised(scores: DataFrame, *, boost: float = 0.12, boost_s: float = 90.0) -> DataFrame:
     """score in [0, 1] on a log scale, raised for what was just used."""
-    top = scores.agg(F.max("raw")).first()[0] or 0.0
-    base = F.log1p("raw") / F.log1p(F.lit(top)) if top > 0 else F.lit(0.0)
-    fresh = age_s(F.col("last_ts"), asof) <= boost_s
-    return scores.withColumn("score", F.when(fresh, F.least(F.lit(1.0), base + boost)).otherwise(base))
+    base = F.when(F.col("_top") > 0, F.log1p("raw") / F.log1p("_top")).otherwise(0.0)
+    fresh = F.col("last_age_s") <= boost_s
+    return one_row(scores, scores.agg(F.max("raw").alias("_top"))).withColumn("score", F.when(fresh, F.least(F.lit(1.0), base + boost)).otherwise(base)).drop("_top")
 
 
 def corrected(scores: DataFrame, feedback: DataFrame, floor: float = 0.0) -> DataFrame:

@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,24 @@ def matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), width)
 
 
+def vectors(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a column that have this length and only finite components, and their places; others are left out."""
+    n = np.array(pc.fill_null(pc.list_value_length(col), -1))
+    ok = np.flatnonzero(n == width)
+    flat = col.take(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ok), width)
+    whole = np.isfinite(flat).all(1)
+    return flat[whole], ok[whole]
+
+
+def rows(col: pa.Array, width: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """As vectors(), of unit length for all metrics but the Euclidean one, for which zero vectors stay too."""
+    x, at = vectors(col, width)
+    if metric == "euclidean":
+        return x, at
+    ok = (x * x).sum(1) > EPS
+    return unit(x[ok]), at[ok]
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     n2 = (x * x).sum(1)
     if (n2 <= EPS).any():
@@ -66,7 +85,8 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *
     """(query_id, rank, doc_id, distance, score, *keep) by rising distance, then doc_id.
 
     corpus: doc_id, embedding, and metadata where a filter is given; queries: query_id, embedding. The filter comes
-    before the ranking, so k rows are found where there are k. min_score counts only above 0.
+    before the ranking, so k rows are found where there are k. min_score counts only above 0. Rows of the corpus whose vector is
+    null, of another length, not finite or (but for the Euclidean metric) zero are passed over; such a query is an error.
     cells: centres, and of how many nearest ones each query sees the rows; all where none are given.
     """
     check(k, metric)
@@ -79,23 +99,23 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *
     def part(of: np.ndarray, block: np.ndarray):
         def f(batches):
             for b in batches:
-                if not b.num_rows or not len(of):
+                x, fit = rows(b.column("embedding"), block.shape[1], metric) if len(of) else ((), ())
+                if not len(fit):
                     continue
-                x = matrix(b.column("embedding"))
-                x = unit(x) if metric != "euclidean" else x
+                b = b.take(pa.array(fit))
                 docs = b.column("doc_id").to_numpy()
                 d = np.round(distances(block, x, metric) if cells is None else probed(block, x, *cells, metric), 12)
-                rows, at = [], []
+                found, at = [], []
                 for i, row in enumerate(d):
                     ok = np.flatnonzero(np.isfinite(row) & ((docs != of[i]) | (not skip_self)))
                     if len(ok) > k:  # all that tie with the k-th stay for the order by id
                         ok = ok[row[ok] <= np.partition(row[ok], k - 1)[k - 1]]
                         ok = ok[np.lexsort((docs[ok], row[ok]))[:k]]
-                    rows.append(np.full(len(ok), i))
+                    found.append(np.full(len(ok), i))
                     at.append(ok)
-                rows, at = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (rows, at))
+                found, at = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (found, at))
                 take = pa.array(at.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(of[rows]), b.column("doc_id").take(take), pa.array(d[rows, at]), *(b.column(c).take(take) for c in keep)], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(of[found]), b.column("doc_id").take(take), pa.array(d[found, at]), *(b.column(c).take(take) for c in keep)], schema.names)
 
         return f
 
@@ -157,23 +177,28 @@ def probes(x: np.ndarray, centres: np.ndarray, k: int, recall: float, asked: int
     return int(np.argmax(low >= recall)) + 1 if (low >= recall).any() else len(centres)
 
 
-def ivf(corpus: DataFrame, queries: DataFrame, k: int, *, cells: int = 16, probe: int = 6, sample: int = 10_000, metric: str = "cosine", recall: float = 0.9) -> DataFrame:
-    """Approximate search: rows by the nearest of `cells` centres, fitted to a bounded sample; each query looks into
-    its `probe` nearest cells, and into as many more as the sample needs for a mean recall of `recall`. All rows are
-    indexed; recall is measured against knn."""
+def ivf(corpus: DataFrame, queries: DataFrame, k: int, *, cells: int | None = None, candidates: int | None = None, sample: int = 10_000, metric: str = "cosine", recall: float = 0.9) -> DataFrame:
+    """Approximate search: rows by the nearest of `cells` centres (by default a quarter of the root of the rows, 16 to 1,024),
+    fitted to a bounded sample; each query looks into as many nearest cells as hold the candidates that effort() asks for, and into
+    as many more as the sample needs for a mean recall of `recall`. All rows are indexed; recall is measured against knn."""
     check(k, metric)
+    total = corpus.count()
+    cells = max(16, min(1024, math.isqrt(total) // 4)) if cells is None else cells
     fit = corpus.select("doc_id", "embedding").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow().combine_chunks()
     if not fit.num_rows:
         return knn(corpus, queries, k, metric)
-    x = matrix(fit.column("embedding").combine_chunks())
-    x = unit(x) if metric != "euclidean" else x
+    col = fit.column("embedding").combine_chunks()
+    width = int(np.bincount([n for n in pc.list_value_length(col).to_pylist() if n] or [0]).argmax())
+    x, _ = rows(col, width, metric)
+    if not len(x):
+        return knn(corpus, queries, k, metric)
     rng = np.random.default_rng(0)
     centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(10):
         near = distances(centres, x, "euclidean").argmin(0)
         centres = np.stack([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
-    probe = max(min(probe, len(centres)), probes(x, centres, k, recall, queries.count(), metric))
-
+    held = -(-effort(k, total, candidates) * len(centres) // max(1, total))  # cells of the mean size with so many rows
+    probe = max(min(held, len(centres)), probes(x, centres, k, recall, queries.count(), metric))
     return knn(corpus, queries, k, metric, cells=(centres, probe))
 
 
@@ -189,22 +214,56 @@ def threshold_counts(corpus: DataFrame, queries: DataFrame, thresholds: tuple[fl
     def part(of: np.ndarray, own: np.ndarray, block: np.ndarray):
         def f(batches):
             for b in batches:
-                for at in range(0, b.num_rows if len(of) else 0, 1024):
-                    rows = b.slice(at, 1024)
-                    x, docs = unit(matrix(rows.column("embedding"))), rows.column("doc_id").to_numpy()
+                for start in range(0, b.num_rows if len(of) else 0, 1024):
+                    part_ = b.slice(start, 1024)
+                    x, fit = rows(part_.column("embedding"), block.shape[1], "cosine")
+                    part_ = part_.take(pa.array(fit))
+                    docs = part_.column("doc_id").to_numpy()
                     cos = 1.0 - np.round(distances(block, x, "cosine"), 12)
                     other = of[:, None] != docs
-                    same = own[:, None] == rows.column("label").to_numpy()
+                    same = own[:, None] == part_.column("label").to_numpy()
                     out = [(t, s, int((cos[pick] >= t).sum()), int(pick.sum())) for s, pick in ((True, other & same), (False, other & ~same)) for t in thresholds]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["threshold", "same", "hits", "pairs"])
 
         return f
 
-    rows = corpus.select("doc_id", "embedding", "label")
-    blocks = [rows.mapInArrow(part(ids[i : i + BLOCK], labels[i : i + BLOCK], vectors[i : i + BLOCK]), "threshold double, same boolean, hits long, pairs long") for i in range(0, max(1, len(ids)), BLOCK)]
+    every = corpus.select("doc_id", "embedding", "label")
+    blocks = [every.mapInArrow(part(ids[i : i + BLOCK], labels[i : i + BLOCK], vectors[i : i + BLOCK]), "threshold double, same boolean, hits long, pairs long") for i in range(0, max(1, len(ids)), BLOCK)]
     return reduce(DataFrame.unionByName, blocks).groupBy("threshold", "same").agg(F.sum("hits").alias("hits"), F.sum("pairs").alias("pairs"))
 
 
+def within(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id): the queries for which some row of the corpus is at a cosine distance of at most `reach`.
+
+    corpus: embedding; queries: query_id, embedding, reach. A query whose own vector is zero is at distance 1 of all rows.
+    """
+    asked, ids, x = _asked(queries.select("query_id", "embedding", "reach"), "euclidean")
+    reach = asked.column("reach").to_numpy()
+    norm = np.sqrt((x * x).sum(1)) if len(ids) else np.zeros(0)
+    x = x / np.where(norm > 0, norm, 1.0)[:, None] if len(ids) else x
+
+    def part(of: np.ndarray, block: np.ndarray, reach: np.ndarray):
+        def f(batches):
+            hit = np.zeros(len(of), bool)
+            for b in batches:
+                for start in range(0, b.num_rows if not hit.all() else 0, 1024):
+                    col = b.column("embedding").slice(start, 1024)
+                    hit |= np.isinf(reach)
+                    y, _ = vectors(col, block.shape[1])
+                    size = np.sqrt((y * y).sum(1))
+                    y = y / np.where(size > 0, size, 1.0)[:, None]
+                    left = np.flatnonzero(~hit)
+                    d = np.round(np.maximum(0.0, 1.0 - np.clip(block[left] @ y.T, -1.0, 1.0)), 12)
+                    hit[left] |= (d <= reach[left, None]).any(1)
+            yield pa.RecordBatch.from_arrays([pa.array(of[hit])], ["query_id"])
+
+        return f
+
+    every = corpus.select("embedding")
+    blocks = [every.mapInArrow(part(ids[i : i + BLOCK], x[i : i + BLOCK], reach[i : i + BLOCK]), queries.select("query_id").schema) for i in range(0, max(1, len(ids)), BLOCK)]
+    return reduce(DataFrame.unionByName, blocks).distinct()
+
+
 def over_fetch(k: int, live: int, slots: int) -> int:
     """How many candidates to fetch so that k survive where only `live` of `slots` rows aren't deleted."""
     most = min(MOST_K, max(slots, k))

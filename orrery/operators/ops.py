@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
@@ -29,10 +31,17 @@ def saturating(events: DataFrame, by: str, order: str, delta: str) -> DataFrame:
 
 
 def quota(inserts: DataFrame, most: int) -> DataFrame:
-    """inserts: tenant, doc_id, seq: an insert is accepted if its document is among the tenant's first `most`."""
+    """inserts: tenant, doc_id, seq: an insert is accepted if its document is among the tenant's first `most`.
+
+    A tenant's documents are dealt to parts, of each of which the first `most` go on, so no task ranks them all.
+    """
     first = inserts.groupBy("tenant", "doc_id").agg(F.min("seq").alias("first"))
-    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("tenant").orderBy("first")))
-    return inserts.join(placed, ["tenant", "doc_id"]).select("tenant", "doc_id", "seq", (F.col("place") <= most).alias("accepted"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(64))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("first", "doc_id"))
+    few = first.withColumn("_part", part).withColumn("_at", place("tenant", "_part")).where(F.col("_at") <= most)
+    held = few.withColumn("_at", place("tenant")).where(F.col("_at") <= most).select(F.col("tenant").alias("_tenant"), F.col("doc_id").alias("_doc"), F.lit(True).alias("_held"))
+    out = inserts.join(held, F.col("tenant").eqNullSafe(F.col("_tenant")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    return out.select("tenant", "doc_id", "seq", F.col("_held").isNotNull().alias("accepted"))
 
 
 def slo(samples: DataFrame, *, p99_ms: float = 10.0, hit_rate: float = 0.70, error_rate: float = 0.001, availability: float = 0.999, least: int = 100) -> DataFrame:
@@ -95,15 +104,47 @@ def retention(backups: DataFrame, now: int, *, least_age: int = 0) -> DataFrame:
         cls = F.when(age < below, name).otherwise(cls)
         bucket = F.when(age < below, F.floor(F.col("ts") / period)).otherwise(bucket)
     out = backups.withColumn("class", cls).withColumn("bucket", bucket)
-    newest = F.row_number().over(Window.partitionBy("class", "bucket").orderBy(F.col("ts").desc(), F.col("id").desc())) == 1
-    return out.withColumn("keep", (newest & (F.col("class") != "expired")) | (age < least_age))
+    # unexpired buckets are as few as the classes have periods, so the newest of each are broadcast; expired backups are in none
+    newest = out.where("class <> 'expired'").groupBy(F.col("class").alias("_class"), F.col("bucket").alias("_bucket")).agg(F.max(F.struct("ts", "id")).alias("_newest"))
+    out = out.join(F.broadcast(newest), (F.col("class") == F.col("_class")) & (F.col("bucket") == F.col("_bucket")), "left")
+    return out.withColumn("keep", F.coalesce(F.struct("ts", "id") == F.col("_newest"), F.lit(False)) | (age < least_age)).drop("_class", "_bucket", "_newest")
 
 
 def chain(backups: DataFrame, until: int) -> DataFrame:
-    """backups: id, parent_id, ts, kind: the newest full backup at or before a time and the increments that follow it, with their step."""
-    backups.createOrReplaceTempView("orrery_backups")
-    return backups.sparkSession.sql(f"""
-WITH RECURSIVE c(id, parent_id, ts, kind, step) AS (
- SELECT id, parent_id, ts, kind, 0 FROM (SELECT * FROM orrery_backups WHERE kind = 'full' AND ts <= {int(until)} ORDER BY ts DESC, id DESC LIMIT 1)
- UNION ALL SELECT b.id, b.parent_id, b.ts, b.kind, c.step + 1 FROM orrery_backups b JOIN c ON b.parent_id = c.id AND b.ts <= {int(until)})
-SELECT id, parent_id, ts, kind, step FROM c""")
+    """backups: id, parent_id, ts, kind: the newest full backup at or before a time and the increments that follow it, with their step.
+
+    Each round doubles how far every backup has looked back, so a chain of n steps takes log2(n) rounds of one join, each
+    cut off by checkpoint(). Backups whose parents form a ring belong to no chain.
+    """
+    spark, rows = backups.sparkSession, backups.select("id", "parent_id", "ts", "kind").where(F.col("ts") <= int(until))
+    full = rows.where("kind = 'full'").orderBy(F.col("ts").desc(), F.col("id").desc()).select("id").first()
+    if full is None:
+        return rows.limit(0).withColumn("step", F.lit(0))
+    _checkpoints(spark)
+    root = F.lit(full.id)
+    parent = rows.select(F.col("id").alias("_parent"))
+    # a backup's oldest known forebear and the steps to it; one without a parent is its own
+    at = rows.join(parent, F.col("parent_id") == F.col("_parent"), "left")
+    at = at.select("id", F.when((F.col("id") == root) | F.col("_parent").isNull(), F.col("id")).otherwise(F.col("_parent")).alias("at")).withColumn("step", (F.col("id") != F.col("at")).cast("int")).checkpoint()
+    for _ in range(max(1, at.count()).bit_length()):
+        up = at.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("step").alias("_step"))
+        further = at.join(up, F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at"), (F.col("step") + F.col("_step")).alias("step"), (F.col("at") != F.col("_at")).alias("moved")).checkpoint()
+        at = further.select("id", "at", "step")
+        if further.where("moved").isEmpty():
+            break
+    return rows.join(at.where(F.col("at") == root).select("id", "step"), "id").select("id", "parent_id", "ts", "kind", "step")
+
+
+def _checkpoints(spark) -> None:
+    """The folder for checkpoint(): what the session names, and one of its own only on a single machine that names none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "orrery-checkpoints"))
+
+
+def listed(texts: DataFrame) -> DataFrame:
+    """texts: value (a backup's metadata as JSON): the backups, newest first; what can't be read is left out."""
+    b = F.from_json("value", "id string, timestamp long, kind string, parent_id string, size_bytes long").alias("b")
+    return texts.select(b).where("b.id IS NOT NULL AND b.timestamp IS NOT NULL").select("b.*").orderBy(F.col("timestamp").desc(), "id")

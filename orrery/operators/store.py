@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import is_finite, merged_metadata
 from .filters import compiled
 
-MOST_DIMENSIONS, MOST_IDS = 4096, 10_000
+MOST_DIMENSIONS = 4096
 
 
 def problem(id_: Column, embedding: Column, dimension: int | None = None) -> Column:
@@ -19,10 +19,15 @@ def problem(id_: Column, embedding: Column, dimension: int | None = None) -> Col
 
 
 def latest(changes: DataFrame, key: str = "doc_id", order: str = "seq") -> DataFrame:
-    """Each key's row of the largest order, deletes left out; versions count from the last delete."""
-    by = Window.partitionBy(key)
-    rows = changes.withColumn("_gone", F.max(F.when(F.col("op") == "delete", F.col(order))).over(by)).where(F.col("_gone").isNull() | (F.col(order) > F.col("_gone")))
-    return rows.withColumn("version", F.count("*").over(by)).withColumn("_k", F.row_number().over(by.orderBy(F.col(order).desc()))).where("_k = 1").drop("_k", "_gone")
+    """Each key's row of the largest order, deletes left out; versions count from the last delete. Aggregates only: no key's history is sorted."""
+    others = [c for c in changes.columns if c != key]
+    is_delete = F.col("op") == "delete"
+    every = changes.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_last"), F.max(F.when(is_delete, F.col(order))).alias("_gone"), F.count("*").alias("_all")).where("_last.op <> 'delete'")
+    # all versions count where no delete came; only keys with one need a second look, at two columns
+    gone = every.where("_gone IS NOT NULL").select(F.col(key).alias("_key"), "_gone")
+    after = changes.select(key, order).join(gone, F.col(key).eqNullSafe(F.col("_key"))).where(F.col(order) > F.col("_gone")).groupBy("_key").agg(F.count("*").alias("_after"))
+    out = every.join(after, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return out.select(key, *(F.col(f"_last.{c}").alias(c) for c in others), F.when(F.col("_gone").isNull(), F.col("_all")).otherwise(F.col("_after")).alias("version"))
 
 
 def lookup(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -86,3 +91,23 @@ def kept_segments(segments: DataFrame, snapshot_seq: int) -> DataFrame:
 def load_report(rows: DataFrame, dimension: int | None = None) -> DataFrame:
     """rows: doc_id, embedding: how many rows of a bulk load are accepted, and how many fail for each reason."""
     return rows.select(F.coalesce(problem(F.col("doc_id"), F.col("embedding"), dimension), F.lit("accepted")).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def framed(entries: DataFrame, order: str = "ord") -> DataFrame:
+    """(ord, line): each entry of a change log as its CRC-32 and JSON, so that damage shows."""
+    body = F.to_json(F.struct(*entries.columns))
+    return entries.select(F.col(order).alias("ord"), F.concat(F.lpad(F.lower(F.hex(F.crc32(body))), 8, "0"), F.lit(" "), body).alias("line"))
+
+
+def unframed(lines: DataFrame, schema: str, *, strict: bool = False) -> DataFrame:
+    """lines: line: the entries of a framed log. A damaged line is left out, or with strict ends the job."""
+    body = F.substr("line", F.lit(10))
+    good = F.coalesce((F.length("line") > 9) & (F.substring("line", 9, 1) == " ") & (F.substring("line", 1, 8) == F.lpad(F.lower(F.hex(F.crc32(body))), 8, "0")), F.lit(False))
+    entry = F.from_json(body, schema)
+    if strict:
+        return lines.select(F.when(good, entry).otherwise(F.raise_error(F.lit("a damaged entry in the change log")).cast(entry_type(schema))).alias("e")).select("e.*")
+    return lines.where(good).select(entry.alias("e")).select("e.*")
+
+
+def entry_type(schema: str) -> str:
+    return f"struct<{', '.join(':'.join(c.split()) for c in schema.split(', '))}>"

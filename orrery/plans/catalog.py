@@ -1,6 +1,6 @@
 """All registered queries of the reference's operators, each with the same in SQL where SQL can express it.
 
-The corpus is embeddings joined with documents by id; language, source and length are its metadata, the language its
+The corpus is all embeddings, with the documents of the same ids; language, source and length are its metadata, the language its
 namespace, the label modulo 3 its tenant. Searches ask for every row whose id is divisible by 100. The access log is
 the events table, a user being the document; times are read as of the log's last event.
 """
@@ -22,11 +22,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("n_chars"), F.col("n_chars").cast("string"))
-    d = table(spark, sf, "documents").select("doc_id", meta.alias("metadata"), F.col("lang").alias("namespace"))
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus for searches that ask for no metadata."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return e.join(d, "doc_id").withColumn("tenant", F.col("label") % 3)
+    return e.withColumn("tenant", F.col("label") % 3)
+
+
+def corpus(spark: SparkSession, sf: str, how: str = "left") -> DataFrame:
+    """With metadata, null where there is no document; inner leaves such rows out."""
+    d = docs(spark, sf).withColumn("namespace", F.col("metadata")["lang"])
+    return vectors(spark, sf).join(d, "doc_id", how)
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +52,7 @@ def r6(c: str | Column) -> Column:
 
 
 CORPUS = """q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings WHERE vec_id % 100 = 0),
-c AS (SELECT e.vec_id AS doc_id, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS b, d.lang, d.source, d.n_chars, e.label FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"""
+c AS (SELECT e.vec_id AS doc_id, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS b, d.lang, d.source, d.n_chars, e.label FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id)"""
 DOT = "list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2]))"
 L2 = "sqrt(list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 COS = f"greatest(0.0, 1 - {DOT})"
@@ -78,22 +83,22 @@ def _found(df: DataFrame) -> DataFrame:
 
 @query(_knn_sql(COS, "1 - distance"))
 def knn_cosine(spark, sf):
-    return _found(knn.knn(corpus(spark, sf), asked(spark, sf), K))
+    return _found(knn.knn(vectors(spark, sf), asked(spark, sf), K))
 
 
 @query(_knn_sql(L2, "1 / (1 + distance)"))
 def knn_euclidean(spark, sf):
-    return _found(knn.knn(corpus(spark, sf), asked(spark, sf), K, "euclidean"))
+    return _found(knn.knn(vectors(spark, sf), asked(spark, sf), K, "euclidean"))
 
 
 @query(_knn_sql(COS, "1 - distance"))
 def knn_inner_product(spark, sf):
-    return _found(knn.knn(corpus(spark, sf), asked(spark, sf), K, "inner_product"))
+    return _found(knn.knn(vectors(spark, sf), asked(spark, sf), K, "inner_product"))
 
 
 @query(_knn_sql(COS, "1 - distance", least=0.25))
 def knn_min_score(spark, sf):
-    return _found(knn.knn(corpus(spark, sf), asked(spark, sf), K, min_score=0.25))
+    return _found(knn.knn(vectors(spark, sf), asked(spark, sf), K, min_score=0.25))
 
 
 FILTER = And((In("lang", ("en", "fr")), Range("n_chars", "ge", "1000")))
@@ -123,18 +128,23 @@ def knn_total_found(spark, sf):
 
 @query(_knn_sql(COS, "1 - distance", "label % 3 = 1"))
 def tenant_isolated_knn(spark, sf):
-    return _found(knn.knn(corpus(spark, sf).where("tenant = 1"), asked(spark, sf), K))
+    return _found(knn.knn(vectors(spark, sf).where("tenant = 1"), asked(spark, sf), K))
 
 
-@query()
-def knn_ivf_recall(spark, sf):
-    """Recall of the approximate search against the exact one."""
-    c, q = corpus(spark, sf), asked(spark, sf)
+def ivf_recalls(spark, sf):
+    """Recall of the approximate search against the exact one, for each query."""
+    c, q = vectors(spark, sf), asked(spark, sf)
     exact, near = knn.knn(c, q, K).select("query_id", "doc_id"), knn.ivf(c, q, K).select("query_id", F.col("doc_id").alias("found"))
     hit = exact.join(near.withColumnRenamed("query_id", "q2"), (F.col("query_id") == F.col("q2")) & (F.col("doc_id") == F.col("found")), "left")
     return hit.groupBy("query_id").agg((F.count("found") / F.count("*")).alias("recall"))
 
 
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def knn_ivf_recall(spark, sf):
+    """Whether the mean recall of the approximate search is 0.9 or more; its exact value depends on the cells."""
+    return ivf_recalls(spark, sf).agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
 @query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings)
 SELECT vec_id, round(sqrt(list_sum(list_transform(b, lambda x: x * x))), 6) AS norm, round(list_sum(b), 6) AS total, len(b)::INTEGER AS n FROM v""")
 def vector_norms(spark, sf):
@@ -202,7 +212,7 @@ r AS (SELECT query_id, doc_id, distance, CASE WHEN label < 3 THEN 0 ELSE 1 END A
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id)::INTEGER AS rank FROM r)
 SELECT query_id, doc_id, rank, tier FROM k WHERE rank <= {K}""")
 def tier_merge(spark, sf):
-    c, q = corpus(spark, sf), asked(spark, sf)
+    c, q = vectors(spark, sf), asked(spark, sf)
     hot, cold = knn.knn(c.where("label < 3"), q, 2 * K), knn.knn(c, q, 2 * K)
     return merge.merged_top_k(hot, cold, K).select("query_id", "doc_id", "rank", "tier")
 
@@ -236,14 +246,14 @@ def latest_state(spark, sf):
 def coherence_check(spark, sf):
     e = table(spark, sf, "embeddings")
     hot = e.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("version"), V.digest(F.col("embedding")).alias("digest"), F.when(F.col("label") == 9, 0).otherwise(V.digest(F.col("embedding"))).alias("actual"))
-    cold = corpus(spark, sf).select("doc_id", F.when(F.col("label") % 2 == 1, 2).otherwise(1).alias("version"), V.digest(F.col("embedding")).alias("digest"))
+    cold = corpus(spark, sf, "inner").select("doc_id", F.when(F.col("label") % 2 == 1, 2).otherwise(1).alias("version"), V.digest(F.col("embedding")).alias("digest"))
     return store.coherence(hot, cold)
 
 
 @query("SELECT v.vec_id AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'repair' WHEN v.label = 9 THEN 'keep_cold_diverged' ELSE 'keep_cold' END AS action FROM embeddings v LEFT JOIN documents d ON v.vec_id = d.doc_id")
 def drain_actions(spark, sf):
     hot = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when(F.col("label") == 9, 0).otherwise(V.digest(F.col("embedding"))).alias("digest"))
-    return merge.drain(hot, corpus(spark, sf).select("doc_id", V.digest(F.col("embedding")).alias("digest")))
+    return merge.drain(hot, corpus(spark, sf, "inner").select("doc_id", V.digest(F.col("embedding")).alias("digest")))
 
 
 @query("SELECT vec_id, (label::BIGINT << 32) | vec_id AS gid, label::BIGINT AS tenant, vec_id AS local FROM embeddings")
@@ -271,9 +281,10 @@ s AS (SELECT *, CASE WHEN last_age <= 3600 THEN least(1.0, ln(1 + raw) / ln(1 +
 
 
 def _scores(spark, sf):
+    """The log's last event and the largest sum are joined as one row each, so no job runs before the result's."""
     l = log(spark, sf)
-    at = hotness.newest(l)
-    return hotness.normalised(hotness.hotness(l, at, WINDOW, HALF), at, boost_s=3600)
+    asof = hotness.one_row(l, l.agg(F.max("ts").alias("asof")))
+    return hotness.normalised(hotness.hotness(asof, F.col("asof"), WINDOW, HALF), boost_s=3600)
 
 
 @query(f"WITH {_HOT} SELECT doc_id, round(raw, 6) AS raw, accesses, round(score, 6) AS score FROM s")
@@ -331,23 +342,52 @@ def lru_hit_rate(spark, sf):
     return cache.lru(a, CAPACITY).groupBy("cache_id").agg(F.count("*").alias("accesses"), F.count_if("hit").alias("hits"))
 
 
-@query()
+_EVENTS = """e AS (SELECT *, user_id % {of} AS key, row_number() OVER (PARTITION BY user_id % {of} ORDER BY {order}) AS n FROM events)"""
+_SAMPLE = " + ".join(f"(strpos('0123456789abcdef', substr(md5(CAST(user_id AS VARCHAR)), {i + 1}, 1)) - 1) * {16 ** (3 - i)}" for i in range(4))
+
+
+@query(f"""WITH RECURSIVE {_HOT}, {_EVENTS.format(of=CACHES, order="event_id")},
+x AS (SELECT e.key, n, user_id AS doc, coalesce(round(score, 9), 0) AS score, epoch_us(ts) >= (SELECT min(epoch_us(ts)) FROM events) + 864000000000 AS trained, ({_SAMPLE}) / 65535.0::DOUBLE AS at FROM e LEFT JOIN s ON e.user_id = s.doc_id),
+f AS (SELECT DISTINCT key, 0::BIGINT AS n, []::BIGINT[] AS held, false AS hit FROM x
+UNION ALL SELECT key, n, CASE WHEN seen THEN list_append(list_filter(held, lambda y: y <> doc), doc) WHEN NOT ok THEN held WHEN len(held) >= {CAPACITY} THEN list_append(held[2:], doc) ELSE list_append(held, doc) END, seen
+FROM (SELECT x.key, x.n, x.doc, f.held, list_contains(f.held, x.doc) AS seen, CASE WHEN x.trained THEN x.score >= 0.5 ELSE len(f.held) < {CAPACITY} OR x.at < {cache.SAMPLED} END AS ok FROM f JOIN x ON x.key = f.key AND x.n = f.n + 1))
+SELECT key AS cache_id, count(*) AS accesses, count(*) FILTER (WHERE hit) AS hits FROM f WHERE n > 0 GROUP BY key""")
 def learned_admission(spark, sf):
-    a = log(spark, sf).select(F.col("event_id").alias("pos"), "doc_id", (F.col("doc_id") % CACHES).alias("cache_id"))
-    s = _scores(spark, sf).select("doc_id", "score")
+    """There is a model from the tenth day on."""
+    l = log(spark, sf)
+    start = F.unix_micros("ts") >= F.unix_micros("start") + 864_000_000_000
+    a = hotness.one_row(l, l.agg(F.min("ts").alias("start"))).select(F.col("event_id").alias("pos"), "doc_id", (F.col("doc_id") % CACHES).alias("cache_id"), start.alias("trained"))
+    s = _scores(spark, sf).select("doc_id", F.round("score", 9).alias("score"))
     return cache.learned(a.join(s, "doc_id", "left"), CAPACITY, 0.5).groupBy("cache_id").agg(F.count("*").alias("accesses"), F.count_if("hit").alias("hits"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EVENTS.format(of=CACHES, order="ts, event_id")}, x AS (SELECT key, n, user_id // {CACHES} % 5 AS tenant, epoch_us(ts) / 86400000000 AS t FROM e),
+f AS (SELECT DISTINCT key, 0::BIGINT AS n, NULL::BIGINT AS tenant, [10.0::DOUBLE, 10.0, 10.0, 10.0, 10.0] AS own, [NULL::DOUBLE, NULL, NULL, NULL, NULL] AS own_at, 40.0::DOUBLE AS every, NULL::DOUBLE AS every_at, false AS allowed FROM x
+UNION ALL SELECT key, n, tenant, list_transform(own, lambda y, i: CASE WHEN i <> tenant + 1 THEN y WHEN NOT p THEN mine WHEN g THEN mine - 1 ELSE least(10.0, mine - 1 + 1) END), list_transform(own_at, lambda y, i: CASE WHEN i = tenant + 1 THEN t ELSE y END),
+CASE WHEN p THEN whole - g::INT ELSE every END, CASE WHEN p THEN t ELSE every_at END, p AND g
+FROM (SELECT *, mine >= 1 AS p, whole >= 1 AS g FROM (SELECT x.key, x.n, x.tenant, x.t, own, own_at, every, every_at, CASE WHEN own_at[x.tenant + 1] IS NULL THEN 10.0 ELSE least(10.0, own[x.tenant + 1] + (x.t - own_at[x.tenant + 1]) * 10.0) END AS mine,
+CASE WHEN every_at IS NULL THEN 40.0 ELSE least(40.0, every + (x.t - every_at) * 40.0) END AS whole FROM f JOIN x ON x.key = f.key AND x.n = f.n + 1)))
+SELECT key AS limiter, tenant, count(*) AS requests, count(*) FILTER (WHERE allowed) AS allowed FROM f WHERE n > 0 GROUP BY key, tenant""")
 def rate_limited(spark, sf):
-    r = log(spark, sf).select(F.col("doc_id").alias("tenant"), (F.unix_micros("ts") / 1e6).alias("t"))
-    return cache.token_bucket(r, 1 / 86400, 2.0).groupBy("tenant").agg(F.count("*").alias("requests"), F.count_if("allowed").alias("allowed"))
-
-
-@query()
+    """Ten requests a day for each tenant and forty for each limiter."""
+    r = log(spark, sf).select((F.col("doc_id") % CACHES).alias("limiter"), (F.floor(F.col("doc_id") / CACHES) % 5).alias("tenant"), (F.unix_micros("ts") / 86_400_000_000).alias("t"), "event_id")
+    out = cache.rate_limited(r, 10.0, 40.0, order=("t", "event_id"))
+    return out.groupBy("limiter", "tenant").agg(F.count("*").alias("requests"), F.count_if("allowed").alias("allowed"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_type AS service, epoch_us(ts) / 1000000 AS t, event_id % 3 <> 0 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT service, 0::BIGINT AS n, 'closed' AS state, 0 AS bad, 0 AS good, 0.0::DOUBLE AS since, min(t) AS begin, false AS refused FROM e GROUP BY service
+UNION ALL SELECT service, n, CASE WHEN st = 'open' THEN 'open' WHEN st = 'half_open' THEN CASE WHEN NOT ok THEN 'open' WHEN g + 1 >= 2 THEN 'closed' ELSE 'half_open' END WHEN ok OR late OR bad + 1 < 2 THEN 'closed' ELSE 'open' END,
+CASE WHEN st = 'open' THEN bad WHEN st = 'half_open' THEN CASE WHEN ok AND g + 1 >= 2 THEN 0 ELSE bad END WHEN ok THEN 0 WHEN late THEN 1 ELSE bad + 1 END,
+CASE WHEN st = 'half_open' THEN g + ok::INT ELSE g END, CASE WHEN (st = 'half_open' AND NOT ok) OR (st = 'closed' AND NOT ok AND NOT late AND bad + 1 >= 2) THEN t ELSE since END,
+CASE WHEN (st = 'half_open' AND ok AND g + 1 >= 2) OR (st = 'closed' AND (ok OR late)) THEN t ELSE begin END, st = 'open'
+FROM (SELECT e.service, e.n, e.t, e.ok, f.bad, f.since, f.begin, e.t - f.begin >= 7200 AS late, CASE WHEN f.state = 'open' AND e.t - f.since >= 3600 THEN 'half_open' ELSE f.state END AS st, CASE WHEN f.state = 'open' AND e.t - f.since >= 3600 THEN 0 ELSE f.good END AS g
+FROM f JOIN e ON e.service = f.service AND e.n = f.n + 1))
+SELECT service, state, count(*) AS calls, count(*) FILTER (WHERE refused) AS refused FROM f WHERE n > 0 GROUP BY service, state""")
 def circuit_states(spark, sf):
-    c = log(spark, sf).select(F.col("event_type").alias("service"), (F.unix_micros("ts") / 1e6).alias("t"), (F.col("event_id") % 3 != 0).alias("ok"))
-    return cache.circuit_breaker(c, failures=2, window_s=7200.0, open_s=3600.0).groupBy("service", "state").agg(F.count("*").alias("calls"), F.count_if("refused").alias("refused"))
+    c = log(spark, sf).select(F.col("event_type").alias("service"), (F.unix_micros("ts") / 1e6).alias("t"), (F.col("event_id") % 3 != 0).alias("ok"), "event_id")
+    out = cache.circuit_breaker(c, failures=2, window_s=7200.0, open_s=3600.0, order=("t", "event_id"))
+    return out.groupBy("service", "state").agg(F.count("*").alias("calls"), F.count_if("refused").alias("refused"))
 
 
 def _results(spark, sf):
@@ -463,7 +503,7 @@ def threshold_roc(spark, sf):
     """The stated queries against all rows: how often a cosine reaches each threshold, by equal and different labels."""
     q = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
     rate = lambda same: r6(F.max(F.when(same, F.col("hits") / F.col("pairs"))))
-    return knn.threshold_counts(corpus(spark, sf), q, THRESHOLDS).groupBy("threshold").agg(rate(F.col("same")).alias("tpr"), rate(~F.col("same")).alias("fpr"))
+    return knn.threshold_counts(vectors(spark, sf), q, THRESHOLDS).groupBy("threshold").agg(rate(F.col("same")).alias("tpr"), rate(~F.col("same")).alias("fpr"))
 
 
 @query(f"""WITH u AS (SELECT label, vec_id, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
@@ -476,28 +516,13 @@ def cluster_similarity(spark, sf):
     return t.groupBy("label").agg(F.max("n").alias("n"), r6((F.sum(F.col("s") * F.col("s")) - F.sum("q")) / (F.max("n") * (F.max("n") - 1.0))).alias("similarity"))
 
 
-def _cached(spark, sf):
-    e = table(spark, sf, "embeddings")
-    return e.where("vec_id % 100 < 50").select(F.col("vec_id").alias("cache_id"), F.col("label").alias("scope"), (F.col("vec_id") % 10).alias("hash"), (F.col("vec_id") % 15).alias("k"), "embedding", F.col("vec_id").alias("seq"))
-
-
-@query(f"""WITH e AS (SELECT *, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, label AS scope, vec_id AS hash, v AS a FROM e WHERE vec_id % 100 = 0),
-c AS (SELECT vec_id AS cache_id, label AS scope, vec_id % 10 AS hash, vec_id % 15 AS k, v AS b FROM e WHERE vec_id % 100 BETWEEN 1 AND 49),
-s AS (SELECT query_id, cache_id, round({DOT}, 12) AS sim FROM q JOIN c ON q.scope = c.scope AND c.k >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, cache_id DESC) AS n FROM s WHERE sim > 0.2)
-SELECT q.query_id, r.cache_id, CASE WHEN r.cache_id IS NULL THEN 'miss' ELSE 'similar' END AS path, round(r.sim, 6) AS sim FROM q LEFT JOIN r ON q.query_id = r.query_id AND r.n = 1""")
-def query_cache_lookup(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id % 100 = 0")
-    a = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"), (F.col("vec_id") + 1000).alias("hash"), F.lit(5).alias("k"), "embedding")
-    return cache.query_cache_lookup(a, _cached(spark, sf).where("cache_id % 100 > 0"), threshold=0.2, scan_limit=1 << 30).withColumn("sim", r6("sim"))
-
-
 @query(f"""WITH e AS (SELECT *, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), c AS (SELECT vec_id AS cache_id, label AS scope, vec_id AS hash, vec_id % 15 AS k, v AS b FROM e WHERE vec_id % 100 <> 0),
 h AS (SELECT scope, min(hash) FILTER (WHERE k >= 5) AS enough, min(hash) FILTER (WHERE k < 5) AS small FROM c GROUP BY scope),
 q AS (SELECT vec_id AS query_id, label AS scope, coalesce(CASE vec_id // 100 % 3 WHEN 0 THEN enough WHEN 1 THEN small END, vec_id) AS hash, v AS a FROM e LEFT JOIN h ON e.label = h.scope WHERE vec_id % 100 = 0),
 x AS (SELECT q.query_id, q.scope, q.a, c.cache_id AS same, c.k AS has FROM q LEFT JOIN c ON q.scope = c.scope AND q.hash = c.hash),
 s AS (SELECT query_id, cache_id, round({DOT}, 12) AS sim FROM x JOIN c ON x.scope = c.scope AND c.k >= 5 WHERE same IS NULL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, cache_id DESC) AS n FROM s WHERE sim > 0.2)
 SELECT x.query_id, CASE WHEN has >= 5 THEN same ELSE r.cache_id END AS cache_id, CASE WHEN has >= 5 THEN 'exact' WHEN r.cache_id IS NULL THEN 'miss' ELSE 'similar' END AS path, round(r.sim, 6) AS sim FROM x LEFT JOIN r ON x.query_id = r.query_id AND r.n = 1""")
-def query_cache_lookup_whole(spark, sf):
+def query_cache_lookup(spark, sf):
     """Every row that isn't asked is an entry. A third of the queries repeat an entry of their scope with enough k, a third one with too small a k."""
     e = table(spark, sf, "embeddings")
     c = e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("cache_id"), F.col("label").alias("scope"), F.col("vec_id").alias("hash"), (F.col("vec_id") % 15).alias("k"), "embedding", F.col("vec_id").alias("seq"))
@@ -513,7 +538,7 @@ def query_cache_lookup_whole(spark, sf):
 w AS (SELECT query_id, max(distance) AS worst, count(*) AS n FROM r WHERE k <= {K} GROUP BY query_id)
 SELECT DISTINCT q.query_id AS cache_id FROM q JOIN w ON q.query_id = w.query_id JOIN c ON c.label >= 8 AND (n < {K} OR round({COS}, 12) <= worst)""")
 def query_cache_invalidate(spark, sf):
-    c, q = corpus(spark, sf), asked(spark, sf)
+    c, q = vectors(spark, sf), asked(spark, sf)
     results = knn.knn(c.where("label < 8"), q, K).select(F.col("query_id").alias("cache_id"), "distance")
     cached = q.select(F.col("query_id").alias("cache_id"), F.lit(K).alias("k"), "embedding")
     return cache.invalidated(results, cached, c.where("label >= 8"))
@@ -521,7 +546,7 @@ def query_cache_invalidate(spark, sf):
 
 @query(f"WITH {CORPUS}, d AS (SELECT query_id, doc_id, round({COS}, 12) AS distance, label FROM q CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS k FROM d) SELECT DISTINCT query_id AS cache_id FROM r WHERE k <= {K} AND label = 9")
 def query_cache_invalidate_docs(spark, sf):
-    c = corpus(spark, sf)
+    c = vectors(spark, sf)
     results = knn.knn(c, asked(spark, sf), K).select(F.col("query_id").alias("cache_id"), "doc_id")
     return cache.invalidated_by_docs(results, c.where("label = 9"))
 
@@ -529,7 +554,7 @@ def query_cache_invalidate_docs(spark, sf):
 @query(f"WITH {CORPUS}, d AS (SELECT query_id, doc_id, round({COS}, 12) AS distance FROM q CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id)::INTEGER AS rank FROM d) SELECT query_id, doc_id, rank FROM r WHERE rank <= 5")
 def served_accesses(spark, sf):
     """The first results of each search, as they go to the access log."""
-    return knn.knn(corpus(spark, sf), asked(spark, sf), K).where("rank <= 5").select("query_id", "doc_id", "rank")
+    return knn.knn(vectors(spark, sf), asked(spark, sf), K).where("rank <= 5").select("query_id", "doc_id", "rank")
 
 
 @query("SELECT vec_id AS doc_id, (CASE WHEN label = 1 THEN 0 WHEN label < 3 THEN 1 ELSE 2 END)::INTEGER AS tier FROM embeddings")
@@ -583,7 +608,16 @@ def semantic_admission(spark, sf):
     return s.select("doc_id", F.when(F.col("l").isNotNull(), r6(cache.semantic_score(F.col("f"), F.col("l")))).alias("score"), cache.semantic_admission(F.col("f"), F.col("l"), 0.5).alias("admitted"))
 
 
-@query()
+@query(f"""WITH RECURSIVE h AS (SELECT user_id % {CACHES} AS cache_id, epoch_us(ts) // 3600000000 AS pos, event_id % 10 AS i FROM events),
+a AS (SELECT cache_id, pos, count(*) FILTER (WHERE i < 5) AS hits, count(*) FILTER (WHERE i >= 5) AS misses, count(*) FILTER (WHERE i >= 7) AS evictions, count(*) FILTER (WHERE i >= 6) AS insertions, count(*) FILTER (WHERE i = 1) AS fp, count(*) FILTER (WHERE i = 2) AS fn, count(*) FILTER (WHERE i = 3) AS streak FROM h GROUP BY cache_id, pos),
+w AS (SELECT *, least({CAPACITY}, sum(insertions) OVER (PARTITION BY cache_id ORDER BY pos)) / {CAPACITY}::DOUBLE AS used, row_number() OVER (PARTITION BY cache_id ORDER BY pos) AS n FROM a),
+g AS (SELECT cache_id, pos, n, used, CASE WHEN n > 1 AND insertions >= 8 THEN least(1.0::DOUBLE, evictions / insertions) ELSE 0.0::DOUBLE END AS pressure, CASE WHEN n > 1 AND hits + misses >= 32 THEN least(1.0::DOUBLE, misses / (hits + misses)) ELSE 0.0::DOUBLE END AS missed,
+ CASE WHEN fn + 0.5::DOUBLE * streak + fp < 4 THEN 0.0::DOUBLE ELSE (fp - (fn + 0.5::DOUBLE * streak)) / (fn + 0.5::DOUBLE * streak + fp) END AS feedback, used - 0.9::DOUBLE AS off FROM w),
+o AS (SELECT cache_id, pos, n, 0.18::DOUBLE * least(1.0, greatest(-1.0, 0.6::DOUBLE * CASE WHEN abs(off) <= 0.03::DOUBLE THEN 0.0::DOUBLE WHEN off > 0 THEN least(1.0, off / (1 - 0.9::DOUBLE)) ELSE greatest(-1.0, off / 0.9::DOUBLE) END + 0.25::DOUBLE * feedback + 0.15::DOUBLE * pressure
+ - CASE WHEN used < 0.9::DOUBLE - 0.03::DOUBLE AND missed > 0.35::DOUBLE THEN 0.1::DOUBLE * (missed - 0.35::DOUBLE) / (1 - 0.35::DOUBLE) ELSE 0.0::DOUBLE END)) AS goal FROM g),
+f AS (SELECT DISTINCT cache_id, NULL::BIGINT AS pos, 0::BIGINT AS n, 0.0::DOUBLE AS bias FROM o
+UNION ALL SELECT o.cache_id, o.pos, o.n, least(0.18, greatest(-0.18, f.bias + least(0.063::DOUBLE, greatest(-0.063::DOUBLE, o.goal - f.bias)))) FROM f JOIN o ON o.cache_id = f.cache_id AND o.n = f.n + 1)
+SELECT cache_id, pos, round(bias, 6) AS bias FROM f WHERE n > 0""")
 def admission_bias(spark, sf):
     """Hours are the intervals; a limited step is a fold."""
     n = lambda c, name: F.count_if(c).alias(name)
@@ -618,13 +652,6 @@ def query_cache_stats(spark, sf):
     return out.select(*(r6(c).alias(c) if c in ("avg_similarity", "hit_rate") else c for c in out.columns))
 
 
-@query(f"""WITH p AS ({ORACLE_SQL["query_cache_lookup_whole"]}) SELECT count(*) FILTER (WHERE path = 'exact') AS exact_hits, count(*) FILTER (WHERE path = 'similar') AS similarity_hits, count(*) FILTER (WHERE path = 'miss') AS misses,
-round(coalesce(avg(sim) FILTER (WHERE path = 'similar'), 0), 6) AS avg_similarity, count(*) FILTER (WHERE path <> 'miss') AS total_hits, round(avg((path <> 'miss')::INT), 6) AS hit_rate FROM p""")
-def query_cache_stats_whole(spark, sf):
-    out = cache.query_cache_stats(query_cache_lookup_whole(spark, sf))
-    return out.select(*(r6(c).alias(c) if c in ("avg_similarity", "hit_rate") else c for c in out.columns))
-
-
 @query(f"""WITH {_HOT}, x AS (SELECT doc_id, round(score, 9) / (1 + least(1.0, 0.35 * least(accesses % 12, 10))) AS admission, accesses FROM s),
 r AS (SELECT *, row_number() OVER (ORDER BY round(admission, 9) DESC, accesses DESC, doc_id) - 1 AS i, row_number() OVER (ORDER BY accesses DESC, doc_id) - 1 AS t FROM x)
 SELECT round(sum(CASE WHEN i < 10 THEN accesses / log2(i + 2) ELSE 0 END) / sum(CASE WHEN t < 10 THEN accesses / log2(t + 2) ELSE 0 END), 6) AS ndcg, round(1.0::DOUBLE / (1 + min(i) FILTER (WHERE t < 10)), 6) AS mrr, round(count(*) FILTER (WHERE i < 10 AND t < 10) / count(*) FILTER (WHERE t < 10), 6) AS recall FROM r""")
@@ -702,8 +729,79 @@ def incremental_segments(spark, sf):
     return merge.new_segments(segments, segments.where("max_seq < 3000")).select("segment", "max_seq")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EVENTS.format(of=CACHES, order="ts, user_id, event_id")}, x AS (SELECT key, n, user_id AS doc, epoch_us(ts) / 1000000 AS t FROM e),
+f AS (SELECT DISTINCT key, 0::BIGINT AS n, []::STRUCT(d BIGINT, t DOUBLE)[] AS held, NULL::DOUBLE AS last, NULL::DOUBLE AS at, 0::BIGINT AS size, false AS drained, false AS emergency FROM x
+UNION ALL SELECT key, n, list_append(list_filter(h2, lambda y: y.d <> doc), {{'d': doc, 't': t}}), CASE WHEN em THEN t ELSE l1 END, t, 1 + len(list_filter(h2, lambda y: y.d <> doc)), dr OR em, em
+FROM (SELECT *, len(h1) >= 24 AS em, CASE WHEN len(h1) >= 24 THEN [] ELSE h1 END AS h2 FROM (SELECT *, coalesce(tick <= t, false) AS dr, CASE WHEN tick <= t THEN [] ELSE held END AS h1, CASE WHEN tick <= t THEN tick ELSE last END AS l1
+FROM (SELECT x.key, x.n, x.doc, x.t, f.held, f.last, CASE WHEN len(f.held) = 0 THEN NULL WHEN len(f.held) >= 20 THEN (floor(f.at / 21600) + 1) * 21600 ELSE greatest((floor(f.at / 21600) + 1) * 21600, ceil((coalesce(f.last, f.held[1].t) + 86400) / 21600) * 21600) END AS tick
+FROM f JOIN x ON x.key = f.key AND x.n = f.n + 1))))
+SELECT key AS tier_id, count(*) AS inserts, count(*) FILTER (WHERE drained) AS drains, count(*) FILTER (WHERE emergency) AS emergencies, max(size) AS largest FROM f WHERE n > 0 GROUP BY key""")
 def hot_tier_flushes(spark, sf):
-    """A fold: what a drain leaves decides the next."""
-    a = log(spark, sf).select("doc_id", (F.col("doc_id") % CACHES).alias("tier_id"), (F.unix_micros("ts") / 1e6).alias("t"))
-    return cache.flushes(a, 20, 86400.0).groupBy("tier_id").agg(F.count("*").alias("inserts"), F.count_if("drained").alias("drains"), F.max("size").alias("largest"))
+    """Looked at every six hours; at 24 documents the next insert drains the tier first."""
+    a = log(spark, sf).select("doc_id", (F.col("doc_id") % CACHES).alias("tier_id"), (F.unix_micros("ts") / 1e6).alias("t"), "event_id")
+    out = cache.flushes(a, 20, 86400.0, every_s=21600.0, hard=24, order=("t", "doc_id", "event_id"))
+    return out.groupBy("tier_id").agg(F.count("*").alias("inserts"), F.count_if("drained").alias("drains"), F.count_if("emergency").alias("emergencies"), F.max("size").alias("largest"))
+
+
+@query(f"""WITH RECURSIVE {_EVENTS.format(of=CACHES, order="event_id")},
+x AS (SELECT key, n, CASE WHEN event_id % 97 = 0 THEN 'clear' WHEN event_id % 3 = 0 THEN 'lookup' ELSE 'insert' END AS op, user_id AS entry, event_id % 15 + 1 AS k, CASE WHEN event_id % 5 = 0 THEN event_id // 400 END AS seen FROM e),
+f AS (SELECT DISTINCT key, 0::BIGINT AS n, []::STRUCT(e BIGINT, k BIGINT)[] AS held, 0::BIGINT AS generation, NULL::VARCHAR AS outcome, NULL::BIGINT AS evicted FROM x
+UNION ALL SELECT key, n, CASE WHEN outcome = 'cleared' THEN [] WHEN outcome IN ('miss', 'too_small', 'skipped') THEN held WHEN outcome = 'hit' THEN list_append(rest, {{'e': entry, 'k': has}}) WHEN outcome IN ('updated', 'kept') THEN list_append(rest, {{'e': entry, 'k': greatest(has, k)}})
+ WHEN len(held) >= {CAPACITY} THEN list_append(held[2:], {{'e': entry, 'k': k}}) ELSE list_append(held, {{'e': entry, 'k': k}}) END, generation + (outcome = 'cleared')::INT, outcome, CASE WHEN outcome = 'inserted' AND len(held) >= {CAPACITY} THEN held[1].e END
+FROM (SELECT *, CASE WHEN op = 'clear' THEN 'cleared' WHEN op = 'lookup' THEN CASE WHEN has IS NULL THEN 'miss' WHEN has < k THEN 'too_small' ELSE 'hit' END WHEN seen <> generation THEN 'skipped' WHEN has IS NULL THEN 'inserted' WHEN k >= has THEN 'updated' ELSE 'kept' END AS outcome
+FROM (SELECT x.*, f.held, f.generation, list_filter(f.held, lambda y: y.e <> x.entry) AS rest, list_filter(f.held, lambda y: y.e = x.entry)[1].k AS has FROM f JOIN x ON x.key = f.key AND x.n = f.n + 1)))
+SELECT key AS cache_id, outcome, count(*) AS n, count(evicted) AS evictions, coalesce(sum(evicted), 0)::BIGINT AS evicted FROM f WHERE n > 0 GROUP BY key, outcome""")
+def query_cache_inserts(spark, sf):
+    i = F.col("event_id")
+    op = F.when(i % 97 == 0, "clear").when(i % 3 == 0, "lookup").otherwise("insert")
+    e = log(spark, sf).select((F.col("doc_id") % CACHES).alias("cache_id"), i.alias("pos"), op.alias("op"), F.col("doc_id").alias("entry"), (i % 15 + 1).alias("k"), F.when(i % 5 == 0, F.floor(i / 400)).alias("seen"))
+    return cache.query_cache_inserts(e, CAPACITY).groupBy("cache_id", "outcome").agg(F.count("*").alias("n"), F.count("evicted").alias("evictions"), F.coalesce(F.sum("evicted"), F.lit(0)).alias("evicted"))
+
+
+@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS a FROM v WHERE vec_id % 100 = 0),
+c AS (SELECT vec_id AS seq, v AS b FROM v WHERE vec_id % 100 <> 0 ORDER BY vec_id DESC LIMIT {cache.SCANNED}), d AS (SELECT query_id, seq, round({DOT} / sqrt(list_sum(list_transform(a, lambda x: x * x)) * list_sum(list_transform(b, lambda x: x * x))), 12) AS cos FROM q CROSS JOIN c)
+SELECT query_id AS doc_id, round(coalesce(arg_min(cos, seq) FILTER (WHERE cos >= 0.3), greatest(0.0, max(cos))), 6) AS likeness FROM d GROUP BY query_id""")
+def semantic_likeness(spark, sf):
+    """The asked rows against the newest of all others."""
+    c = table(spark, sf, "embeddings").where("vec_id % 100 <> 0").select("embedding", F.col("vec_id").alias("seq"))
+    out = cache.likeness(asked(spark, sf).withColumnRenamed("query_id", "doc_id"), c, enough=0.3)
+    return out.select("doc_id", r6("likeness").alias("likeness"))
+
+
+@query(f"WITH {CORPUS}, d AS (SELECT query_id, doc_id, round({COS}, 12) AS distance FROM q CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id)::INTEGER AS rank FROM d) SELECT query_id, doc_id, rank FROM r WHERE rank <= {K} AND doc_id IN (SELECT doc_id FROM documents)")
+def existing_results(spark, sf):
+    """Cached results without those whose document is gone."""
+    results = knn.knn(vectors(spark, sf), asked(spark, sf), K).select(F.col("query_id").alias("cache_id"), "doc_id", "rank")
+    return cache.existing(results, table(spark, sf, "documents")).withColumnRenamed("cache_id", "query_id")
+
+
+@query("""SELECT v.vec_id AS doc_id, CASE WHEN label < 3 AND label % 2 = 0 THEN 'cache' WHEN label < 6 AND label <> 4 THEN 'hot' ELSE 'cold' END AS served FROM embeddings v""")
+def hydration(spark, sf):
+    """A cache with old versions and a hot tier with a damaged vector."""
+    e, digest = vectors(spark, sf), V.digest(F.col("embedding"))
+    cold = e.select("doc_id", F.lit(1).alias("version"), digest.alias("digest"))
+    held = e.where("label < 3").select("doc_id", F.when(F.col("label") % 2 == 1, 0).otherwise(1).alias("version"), digest.alias("digest"), digest.alias("actual"))
+    hot = e.where("label < 6").select("doc_id", F.lit(1).alias("version"), digest.alias("digest"), F.when(F.col("label") == 4, 0).otherwise(digest).alias("actual"))
+    return merge.hydrated(held, hot, cold)
+
+
+@query("SELECT CASE o_orderstatus WHEN 'F' THEN 'delete' WHEN 'P' THEN 'update' ELSE 'insert' END AS op, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1")
+def change_log_read(spark, sf):
+    """A change log with damaged lines, read leniently."""
+    lines = store.framed(_changes(spark, sf))
+    damaged = F.when(F.col("ord") % 11 == 0, F.concat(F.col("line"), F.lit("}"))).otherwise(F.col("line"))
+    read = store.unframed(lines.select(damaged.alias("line")), "ord long, seq long, ts long, op string, doc_id long, payload long, metadata string")
+    return read.groupBy("op").agg(F.count("*").alias("n"), F.sum("ord").alias("keys"))
+
+
+@query("SELECT doc_id, place, query_id FROM (SELECT user_id AS doc_id, event_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events) WHERE place < 5")
+def query_pools(spark, sf):
+    return merge.query_pools(log(spark, sf).select("doc_id", F.col("event_id").alias("query_id")), 5).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {_BACKUPS} SELECT CAST(id AS VARCHAR) AS id, ts AS timestamp, kind FROM b WHERE id % 13 <> 0")
+def backup_list(spark, sf):
+    """Of metadata texts some of which are cut."""
+    j = F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.col("ts").alias("timestamp"), "kind"))
+    texts = _backups(spark, sf).select(F.when(F.col("id") % 13 == 0, F.substr(j, F.lit(1), F.lit(12))).otherwise(j).alias("value"))
+    return ops.listed(texts).select("id", "timestamp", "kind")

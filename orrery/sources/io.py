@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ops import listed
+from ..operators.store import framed, unframed
+
 AB_SCHEMA = "timestamp_ms long, strategy string, event_type string, doc_id long, latency_ns long"
 
 
@@ -85,3 +88,21 @@ def load_snapshot(spark: SparkSession, root: str, *, tries: int = 5, strict: boo
         except Exception as e:  # noqa: BLE001  any damage: try the one before
             last = e
     raise FileNotFoundError(f"no readable snapshot in {root}") from last
+
+
+LOG_SCHEMA = "ord long, seq long, ts long, op string, doc_id long, payload long, metadata string"
+
+
+def write_log(entries: DataFrame, path: str, mode: str = "append") -> None:
+    """A change log as text, a checksum before each entry."""
+    framed(entries).select(F.col("line").alias("value")).write.mode(mode).text(path)
+
+
+def read_log(spark: SparkSession, path: str, *, schema: str = LOG_SCHEMA, strict: bool = False) -> DataFrame:
+    """The entries of a change log in any order; damaged ones are left out, or with strict end the job."""
+    return unframed(spark.read.text(path).withColumnRenamed("value", "line"), schema, strict=strict)
+
+
+def list_backups(spark: SparkSession, folder: str) -> DataFrame:
+    """The backups whose metadata files (.json) lie in a folder, newest first; files that can't be read are left out."""
+    return listed(spark.read.text(f"{folder}/*.json", wholetext=True))

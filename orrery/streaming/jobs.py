@@ -13,7 +13,16 @@ from ..operators.knn import knn
 
 
 def windowed_counts(log: DataFrame, width: str = "1 hour", slide: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """log: ts, doc_id; batch or stream. Accesses of each document in sliding windows."""
+    """log: ts, doc_id; batch or stream. Accesses of each document in sliding windows.
+
+    A batch is counted by slide first; only the counts are expanded to the windows that hold them.
+    """
+    wide, step = pd.Timedelta(width), pd.Timedelta(slide)
+    if not log.isStreaming and wide % step == pd.Timedelta(0):
+        parts = log.groupBy(F.window("ts", slide).alias("w"), "doc_id").agg(F.count("*").alias("n"))
+        starts = F.expr(f"sequence(w.start - INTERVAL '{(wide - step).total_seconds():.6f}' SECOND, w.start, INTERVAL '{step.total_seconds():.6f}' SECOND)")
+        out = parts.select("doc_id", "n", F.explode(starts).alias("start")).groupBy("start", "doc_id").agg(F.sum("n").alias("accesses"))
+        return out.select("start", (F.col("start") + F.expr(f"INTERVAL '{wide.total_seconds():.6f}' SECOND")).alias("end"), "doc_id", "accesses")
     rows = log.withWatermark("ts", late) if log.isStreaming else log
     return rows.groupBy(F.window("ts", width, slide).alias("w"), "doc_id").agg(F.count("*").alias("accesses")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "doc_id", "accesses")
 

@@ -34,19 +34,19 @@ def test_same_as_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).columns
+    assert catalog.QUERIES[name](spark, SF).count() >= 0
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_ivf_recall(spark, sf):
-    got = [r.recall for r in catalog.knn_ivf_recall(spark, f"/root/testdata/{sf}").collect()]
+    got = [r.recall for r in catalog.ivf_recalls(spark, f"/root/testdata/{sf}").collect()]
     assert sum(got) / len(got) >= 0.9
 
 
 def test_whole_query_cache(spark):
-    got = catalog.query_cache_lookup_whole(spark, SF).collect()
+    got = catalog.query_cache_lookup(spark, SF).collect()
     assert {r.path for r in got} == {"exact", "similar", "miss"} and any((r.cache_id or 0) % 100 >= 50 for r in got)
-    assert catalog.query_cache_stats_whole(spark, SF).first().exact_hits > 0
+    assert catalog.query_cache_stats(spark, SF).first().exact_hits > 0
 
 
 def test_entry(spark):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from orrery.functions import vector as V
 from orrery.operators import cache, filters, hotness, ops, ranking, store
 from orrery.operators.filters import And, Exact, In, Not, Or, Range
-from orrery.operators.knn import effort, knn, over_fetch
+from orrery.operators.knn import effort, ivf, knn, over_fetch
 from orrery.sources import io as files
+from orrery.streaming import jobs
 
 CASES = [
     (Exact("tool", "kubectl"), {"tool": "kubectl"}, True),
@@ -171,3 +172,151 @@ def test_saved_usage(spark, tmp_path):
     rows = [("a", 1, 2, 3, 4, 5)]
     files.save_usage(spark.createDataFrame(rows, files.USAGE_SCHEMA), path)
     assert [tuple(r) for r in files.restored_usage(spark, path).collect()] == rows
+
+
+def test_knn_passes_over_bad_rows(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.0, 2.0]), (8, [])]
+    c = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert [r.doc_id for r in knn(c, q, 5).orderBy("rank").collect()] == [1, 7]
+    assert [r.doc_id for r in knn(c, q, 5, "euclidean").orderBy("rank").collect()] == [1, 3, 7]
+    assert ivf(c, q, 5).count() == 2 and knn(c.limit(0), q, 5).count() == 0
+
+
+def test_invalidated(spark):
+    x = [1.0, 0.0]
+    results = spark.createDataFrame([(1, 0.1), (1, 0.2), (2, 0.0), (2, 0.1), (3, 0.5)], "cache_id long, distance double")
+    cached = spark.createDataFrame([(i, 2, x) for i in (1, 2, 3, 4)], "cache_id long, k long, embedding array<double>")
+    new = lambda *rows: spark.createDataFrame([(7, list(v)) for v in rows], "doc_id long, embedding array<double>")
+    ids = lambda df: sorted(r.cache_id for r in df.collect())
+    assert ids(cache.invalidated(results, cached, new((0.985, 0.5)))) == [1, 3, 4]  # at a distance of about 0.108
+    assert ids(cache.invalidated(results, cached, new((0.0, 0.0)))) == [3, 4]
+    assert ids(cache.invalidated(results, cached, new().limit(0))) == []
+    assert "NestedLoop" not in cache.invalidated(results, cached, new(x))._jdf.queryExecution().toString()
+
+
+def test_chain_longer_than_a_recursion_limit(spark):
+    rows = [(0, None, 0, "full")] + [(i, i - 1, i, "incremental") for i in range(1, 151)] + [(900, 901, 5, "incremental"), (901, 900, 5, "incremental"), (902, 555, 6, "incremental")]
+    b = spark.createDataFrame(rows, "id long, parent_id long, ts long, kind string")
+    assert sorted((r.id, r.step) for r in ops.chain(b, 1000).collect()) == [(i, i) for i in range(151)]
+    assert sorted(r.id for r in ops.chain(b, 7).collect()) == list(range(8))
+    assert ops.chain(b.where("kind <> 'full'"), 1000).count() == 0
+
+
+def test_breaker_window_starts_anew(spark):
+    # a success at 0, failures at 1, 50, 70 and 90: the window from 0 has expired at 70, so it holds two failures at 90
+    c = spark.createDataFrame([("s", float(t), t == 0) for t in (0, 1, 50, 70, 90)], "service string, t double, ok boolean")
+    assert {r.state for r in cache.circuit_breaker(c, failures=3, window_s=60.0).collect()} == {"closed"}
+    c = spark.createDataFrame([("s", float(t), False) for t in (0, 1, 2, 62, 63, 130)], "service string, t double, ok boolean")
+    assert [(r.state, r.refused) for r in cache.circuit_breaker(c).orderBy("t").collect()] == [("closed", False), ("closed", False), ("open", False), ("open", False), ("open", True), ("open", False)]
+
+
+def test_learned_admission_without_and_with_a_model(spark):
+    point = {r.doc_id: r.p for r in spark.range(60).select(F.col("id").alias("doc_id"), cache.sample_point(F.col("id")).alias("p")).collect()}
+    rows = [(0, i, i, None, False) for i in range(40)] + [(0, 40 + i, 40 + i, s, True) for i, s in enumerate((None, 0.6, 0.4, 0.5))]
+    got = cache.learned(spark.createDataFrame(rows, "cache_id long, pos long, doc_id long, score double, trained boolean"), 20, 0.5).orderBy("pos").collect()
+    held = []
+    for r in got:  # nothing repeats, so each admitted document is in the cache next
+        ok = (r.score or 0) >= 0.5 if r.trained else len(held) < 16 or point[r.doc_id] < cache.SAMPLED
+        held += [r.doc_id] if ok else []
+        assert r.evicted == (held.pop(0) if len(held) > 20 else None)
+
+
+def test_rate_limits_give_tokens_back(spark):
+    rows = [(0, "a", 0.0), (0, "b", 0.1), (0, "a", 0.2), (0, "a", 0.6), (1, "a", 0.0)]
+    r = spark.createDataFrame(rows, "limiter long, tenant string, t double")
+    assert [x.allowed for x in cache.rate_limited(r, 2.0, 1.0).orderBy("limiter", "t").collect()] == [True, False, False, False, True]
+    assert [x.allowed for x in cache.rate_limited(r, 2.0).orderBy("limiter", "t").collect()] == [True] * 5
+
+
+def test_emergency_flush(spark):
+    rows = [(i, 0, 1.0 + i) for i in range(9)]
+    got = cache.flushes(spark.createDataFrame(rows, "doc_id long, tier_id long, t double"), 3, 90.0, every_s=7.0, hard=4).orderBy("t").collect()
+    # at the tick of 7 the tier holds two documents, so only size counts: four fill it before the tick, the next drains it
+    assert [(r.size, r.drained, r.emergency) for r in got] == [(1, False, False), (2, False, False), (3, False, False), (4, False, False), (1, True, True), (2, False, False), (3, False, False), (4, False, False), (1, True, True)]
+
+
+def test_likeness(spark):
+    cached = spark.createDataFrame([([1.0, 0.0], 1), ([0.0, 3.0], 2), ([0.0], 3), ([0.0, 0.0], 4), ([float("nan"), 1.0], 5)], "embedding array<double>, seq long")
+    c = spark.createDataFrame([(1, [1.0, 1.0], "x"), (2, [-1.0, -1.0], "y"), (3, None, "z"), (4, [0.0, 0.0], "w"), (5, [5.0], "v")], "doc_id long, embedding array<double>, likeness string")
+    got = {r.doc_id: r.likeness for r in cache.likeness(c, cached).collect()}
+    assert got == pytest.approx({1: 2**-0.5, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0})
+    near = spark.createDataFrame([(1, [0.9, 0.5])], "doc_id long, embedding array<double>")
+    assert cache.likeness(near, cached, enough=0.4).first().likeness == pytest.approx(0.9 / 1.06**0.5)  # the first of two that would do
+    assert cache.likeness(near, cached, scanned=4, enough=0.4).first().likeness == pytest.approx(0.5 / 1.06**0.5)
+    assert cache.likeness(near, cached.limit(0)).first().likeness == 0.0
+
+
+def test_change_log_files(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    rows = [(i, i, 0, "insert", i, None, 'a "b"\nc') for i in range(5)]
+    files.write_log(spark.createDataFrame(rows, files.LOG_SCHEMA), path)
+    assert sorted(tuple(r) for r in files.read_log(spark, path, strict=True).collect()) == rows
+    (tmp_path / "log" / "part-damaged.txt").write_text('0badbad0 {"ord":9}\n\nhalf')
+    assert files.read_log(spark, path).count() == 5
+    with pytest.raises(Exception, match="damaged"):
+        files.read_log(spark, path, strict=True).collect()
+
+
+def test_backups_listed(spark, tmp_path):
+    for name, text in (("a.json", '{"id": "a", "timestamp": 3, "kind": "full"}'), ("b.json", '{"id": "b", "timestamp": 7}'), ("c.json", "{broken"), ("d.txt", '{"id": "d", "timestamp": 9}')):
+        (tmp_path / name).write_text(text)
+    assert [r.id for r in files.list_backups(spark, f"file://{tmp_path}").collect()] == ["b", "a"]
+
+
+def test_damaged_snapshots_give_way(spark, tmp_path):
+    root, docs = f"{tmp_path}/s", spark.range(5).withColumnRenamed("id", "doc_id")
+    for seq in (1, 2, 3):
+        files.save_snapshot(docs.where(F.col("doc_id") < seq), root, seq)
+    for p in (tmp_path / "s" / f"snapshot-{3:020d}").glob("part*"):
+        p.write_bytes(b"not parquet")
+    bad = spark.read.parquet(f"{root}/snapshot-{2:020d}").withColumn("_crc", F.col("_crc") + 1).toPandas()
+    spark.createDataFrame(bad).write.mode("overwrite").parquet(f"{root}/snapshot-{2:020d}")
+    assert files.load_snapshot(spark, root)[1] == 1
+    assert files.load_snapshot(spark, root, strict=False)[0].count() == 0  # the second, without its bad rows
+
+
+def test_ab_and_usage_files(spark, tmp_path):
+    rows = [(1, "lru", "hit", 4, 100), (2, "learned", "miss", None, 0)]
+    files.write_ab(spark.createDataFrame(rows, files.AB_SCHEMA), f"{tmp_path}/ab")
+    assert sorted(tuple(r) for r in files.read_ab(spark, f"{tmp_path}/ab").collect()) == rows
+    files.write_usage(spark.createDataFrame([("t", 3 << 19)], "tenant string, storage_bytes long"), f"{tmp_path}/usage")
+    assert spark.read.csv(f"{tmp_path}/usage", header=True).first().storage_mb == "1.50"
+
+
+def test_small_functions(spark):
+    f = filters.from_legacy({"b": "2", "a": "1"}, Exact("c", "3"))
+    assert f == And((Exact("a", "1"), Exact("b", "2"), Exact("c", "3"))) and filters.from_legacy({}) == filters.Always() and filters.from_legacy({}, f) is f
+    one = spark.sql("SELECT array(0.1D, 0.2D) a, array(0.1000001D, 0.2D) b, array(0.2D, 0.1D) c, map('x', '1', '__namespace__', 'n') m")
+    h = V.quantised_hash
+    r = one.select((h(F.col("a")) == h(F.col("b"))).alias("same"), (h(F.col("a")) == h(F.col("c"))).alias("other"), V.public_metadata(F.col("m")).alias("public"), V.with_reserved(F.col("m"), F.lit("t"), F.lit(3), F.lit("z")).alias("all")).first()
+    assert (r.same, r.other, r.public) == (True, False, {"x": "1"}) and r.all == {"x": "1", "__tenant_id__": "t", "__tenant_idx__": "3", "__namespace__": "z"}
+    sizes = spark.createDataFrame([(n,) for n in (0, 1023, 1024, 1536, 5 << 20, 3 << 30)], "n long").select(V.format_bytes(F.col("n")).alias("t")).collect()
+    assert [x.t for x in sizes] == ["0 B", "1023 B", "1.00 KB", "1.50 KB", "5.00 MB", "3.00 GB"]
+
+
+def test_streams(spark, tmp_path):
+    log = spark.createDataFrame([(d, f"2024-01-01 00:00:{s:02d}") for d, s in ((1, 0), (1, 10), (2, 5), (1, 30))], "doc_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in range(2):
+        log.where(F.second("ts") < 20 if part == 0 else F.second("ts") >= 20).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+    q = jobs.running_hotness(stream, 10.0).writeStream.format("memory").queryName("hot").outputMode("update").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = {r.doc_id: r.hotness for r in spark.sql("SELECT doc_id, max_by(hotness, asof_s) AS hotness FROM hot GROUP BY doc_id").collect()}
+    assert last == pytest.approx({1: np.exp(-3) + np.exp(-2) + 1, 2: 1.0})
+    spans = jobs.sessions(log, "15 seconds").orderBy("doc_id", "start").collect()
+    assert [(r.doc_id, r.accesses) for r in spans] == [(1, 2), (1, 1), (2, 1)]
+    corpus = spark.createDataFrame([(5, [1.0, 0.0]), (6, [0.0, 1.0])], "doc_id long, embedding array<double>")
+    spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.1, 1.0])], "query_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/q")
+    found = []
+    asked = spark.readStream.schema("query_id long, embedding array<double>").parquet(f"{tmp_path}/q")
+    q = jobs.bulk_search(asked, corpus, 1, lambda df, batch: found.extend((r.query_id, r.doc_id) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(found) == [(1, 5), (2, 6)]
+
+
+def test_windows_by_slide_and_by_window_agree(spark):
+    log = spark.createDataFrame([(d % 3, f"2024-01-01 0{d % 7}:1{d % 6}:00") for d in range(40)], "doc_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = lambda width, slide: sorted(map(tuple, jobs.windowed_counts(log, width, slide).collect()))
+    want = log.groupBy(F.window("ts", "1 hour", "10 minutes").alias("w"), "doc_id").count().select("w.start", "w.end", "doc_id", "count").collect()
+    assert rows("1 hour", "10 minutes") == sorted(map(tuple, want)) and len(rows("1 hour", "25 minutes")) > 0
