@@ -7,7 +7,9 @@ arrays are fetched to the worker's temporary folder and deleted there once mappe
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir as the session has it; a temporary folder only where it is unset and all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "orrery-checkpoints")
     return base.rstrip("/")
 
@@ -33,6 +37,13 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that nothing needs any more, which it does after a collection of the driver's garbage; left alone that
+    comes each half hour, and the files of all passes lie there until then."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def saved(df: DataFrame, path: str) -> DataFrame:
     """df written as Parquet and read again: its lineage ends here."""
     df.write.mode("overwrite").parquet(path)
@@ -72,8 +83,8 @@ def get(uri: str) -> np.ndarray:
     """The array, memory-mapped; each worker process opens a file once."""
     if uri in _OPEN:
         return _OPEN[uri]
-    if len(_OPEN) > 4096:
-        _OPEN.clear()
+    while len(_OPEN) >= 4096:  # the one opened first goes
+        _OPEN.pop(next(iter(_OPEN)))
     if path := _local(uri):
         array = _mapped(path)
     else:
@@ -135,11 +146,11 @@ def build(df: DataFrame, shards: int, arrays, uri: str, extra: str = "") -> tupl
     """
     import json
 
-    def write(batches):
+    def write(batches):  # of one shard, as the shard's number is the task's
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        table = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
         ids = table.column("shard")
@@ -150,7 +161,7 @@ def build(df: DataFrame, shards: int, arrays, uri: str, extra: str = "") -> tupl
                 put(f"{uri}/{shard}-{name}.npy", a)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(out["key"])], pa.int64()), "stats": [json.dumps(stats)]})
 
-    rows = df.repartition(shards, "shard").mapInArrow(write, "shard int, n long, stats string").collect()
+    rows = df.repartitionById(shards, "shard").mapInArrow(write, "shard int, n long, stats string").collect()
     return Store(uri, {r.shard: r.n for r in rows}), [json.loads(r.stats) for r in rows]
 
 
@@ -158,24 +169,35 @@ def build(df: DataFrame, shards: int, arrays, uri: str, extra: str = "") -> tupl
 BLOCKS = "shard int, n int, block binary"
 
 
-def blocks(shard: np.ndarray, *cols: np.ndarray):
-    """Record batches with one row for each shard: its values of all columns, one column after the other."""
+def blocks(shard: np.ndarray, *cols: np.ndarray, rising: bool = False):
+    """Record batches with one row for each shard: its values of all columns, one column after the other.
+
+    A column goes byte by byte, all lowest bytes first: the high ones are alike, so Spark's compression leaves little of
+    them. rising: the first column rises within each shard and goes as differences.
+    """
     import pyarrow as pa
 
     order = np.argsort(shard, kind="stable")
     ids, starts = np.unique(shard[order], return_index=True)
     ends = np.append(starts, len(order))[1:]
     cols = [c[order] for c in cols]
-    data = [b"".join(c[a:b].tobytes() for c in cols) for a, b in zip(starts, ends, strict=True)]
+    data = []
+    for a, b in zip(starts, ends, strict=True):
+        parts = [c[a:b] for c in cols]
+        if rising:
+            parts[0] = np.diff(parts[0], prepend=parts[0].dtype.type(0))
+        data.append(b"".join(np.ascontiguousarray(p).view(np.uint8).reshape(b - a, -1).T.tobytes() for p in parts))
     yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(data, pa.binary())], ["shard", "n", "block"])
 
 
-def unblock(t, *types) -> tuple[np.ndarray, ...]:
+def unblock(t, *types, rising: bool = False) -> tuple[np.ndarray, ...]:
     """The columns that a shard's blocks hold."""
     parts: list[list] = [[] for _ in types]
     for n, block in zip(t.column("n").to_pylist(), t.column("block").to_pylist(), strict=True):
         at = 0
-        for part, kind in zip(parts, types, strict=True):
-            part.append(np.frombuffer(block, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return tuple(np.concatenate([np.zeros(0, k), *p]).astype(k) for p, k in zip(parts, types, strict=True))
+        for i, (part, kind) in enumerate(zip(parts, types, strict=True)):
+            size = np.dtype(kind).itemsize
+            col = np.ascontiguousarray(np.frombuffer(block, np.uint8, n * size, at).reshape(size, n).T).view(kind)[:, 0]
+            part.append(np.cumsum(col, dtype=kind) if rising and not i else col)
+            at += n * size
+    return tuple(np.concatenate([np.zeros(0, k), *p]).astype(k, copy=False) for p, k in zip(parts, types, strict=True))

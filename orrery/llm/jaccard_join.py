@@ -158,14 +158,15 @@ def _signature_rows(words: int, edges, plan, shards: int):
             edge[1:-1] = sig[1:] != sig[:-1]
             keep = edge[:-1] | edge[1:]
             sig, c = sig[keep], c[keep]
-            yield from S.blocks(_shard(sig, shards), sig, c)
+            yield from S.blocks(_shard(sig, shards), sig, c, rising=True)
 
     return f
 
 
 def _shared(shard, t):
     """Signatures that two different sets have, and how common they are (at most two counts from each batch)."""
-    sig, cls = S.unblock(t, np.int64, np.int64)
+    sig, cls = S.unblock(t, X.U, np.int64, rising=True)
+    sig = sig.view(np.int64)
     order = np.argsort(sig)
     sig, cls = sig[order], cls[order]
     if not len(sig):

@@ -1,25 +1,26 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and kept in sorted arrays that workers map.
+"""Interpolated modified Kneser-Ney n-gram model of order 2 or 3, counted in Spark and kept in sorted arrays that workers map.
 
-Three passes over the training texts' tokens. The first counts words into a vocabulary sorted by 64-bit
-hash, in shards; a word's id is its place. The second counts pairs of ids, packed into 64 bits,
-in shards by the hash of the first word, or for words with very many tokens by the hash of the pair, so
-that a common word's pairs are dealt to all tasks. The third, over the pair arrays alone, gathers for each word
-how many different words go before it and how many words follow it once, twice and more often. Each batch
-counts what it has before anything is shuffled. A model may be of any size: workers map its files and read
-the pages that they need, and the driver holds only totals.
+The first pass over the training texts counts words into a vocabulary sorted by 64-bit hash, in shards; a word's id
+is its place. The second counts the n-grams of the highest order as (context, word), where a context packs the ids
+before the word, in shards by the context's hash. A context of very common words is hot: its words are
+dealt to all shards, and its sums are gathered apart. Lower orders come from the arrays of the order above alone: a
+n-gram's count there is the number of different words before it. Each batch counts what it has before anything
+is shuffled. A model may be of any size: a lookup opens only the shards that it hits and reads the pages that it needs, and
+the driver holds totals and shard sizes.
 
-p(w | v) = (c(vw) - D)+ / c(v) + (D1 n1(v) + D2 n2(v) + D3 n3+(v)) / c(v) * p(w), with p(w) of the same form over the
-numbers of words before w, and 1 / (V + 1) below it, where the 1 is for unknown words. Every text has a start
-before its first and an end, a token, after its last word. No count is cut off.
+p(w | context) = (c - D(c) + (D1 n1 + D2 n2 + D3 n3+) p(w | shorter context)) / sum of c over the context, where c is the count
+of the context's n-gram with w, n1, n2 and n3+ the context's words of these counts; without the context the shorter one decides. Below
+the words' own numbers of words before them lies 1 / (V + 1), where the 1 is for unknown words. Every text has order - 1
+starts before its first and an end, a token, after its last word. No count is cut off.
 
 Nulls and edges: a null text is empty and has one token, the end; a null id is no held-out one; repeated rows count
-again; without training texts every score and base score is 0 (one kind of token of chance 1). Incoming columns
-named like a result are dropped.
+again; without training texts every score and base score is 0 (one kind of token of chance 1); an empty table gives an empty
+one; 2^31 different words or more raise ValueError. Incoming columns named like a result are dropped.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from . import _text as X
 
 END = X.U(0x5BD1E995C6A4A793)
 WORDS_PER_SHARD = 2_000_000
+#: A word with fewer training tokens never makes a context hot.
+LEAST_HEAVY = 1000
 RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
 
@@ -54,20 +57,111 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.1), k + 0.9) for k, x in enumerate(d))])
 
 
+@dataclass
+class Level:
+    """The n-grams of one order. grams, by shard: key (contexts in order), off, w (each context's words in order), n. sums: of hot contexts."""
+
+    grams: S.Store
+    sums: S.Store
+    shards: int
+    d: np.ndarray
+
+    def counts(self, key: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of each (context, word)."""
+        out = np.zeros(len(key), np.int64)
+        for s, at in by_shard(gram_shard(key, w, self.shards), self.grams.sizes):
+            a = lambda name, s=s: self.grams.array(s, name)
+            pos = S.find(a("key"), key[at])
+            at, pos = at[pos >= 0], pos[pos >= 0]
+            lo, hi = a("off")[pos].astype(np.int64), a("off")[pos + 1].astype(np.int64)
+            end, words, want = hi.copy(), a("w"), w[at]
+            busy = np.flatnonzero(lo < hi)
+            while len(busy):  # a binary search in all slices at once
+                mid = (lo[busy] + hi[busy]) >> 1
+                less = words[mid] < want[busy]
+                lo[busy[less]], hi[busy[~less]] = mid[less] + 1, mid[~less]
+                busy = busy[lo[busy] < hi[busy]]
+            hit = np.flatnonzero(lo < end)
+            hit = hit[words[lo[hit]] == want[hit]]
+            out[at[hit]] = counts_at(a, lo[hit])
+        return out
+
+    def totals(self, key: np.ndarray) -> np.ndarray:
+        """Rows (sum, n1, n2, n3+) of contexts, zero for unknown ones."""
+        out = np.zeros((len(key), 4), np.int64)
+        hot = key >= HOT
+        cold = np.flatnonzero(~hot)
+        for s, at in by_shard(gram_shard(key[cold], None, self.shards), self.grams.sizes):
+            a = lambda name, s=s: self.grams.array(s, name)
+            at = cold[at]
+            pos = S.find(a("key"), key[at])
+            at, pos = at[pos >= 0], pos[pos >= 0]
+            lo = a("off")[pos].astype(np.int64)
+            size = a("off")[pos + 1].astype(np.int64) - lo
+            wide = np.flatnonzero(size > WIDE)
+            out[at[wide]] = a("wide")[np.searchsorted(a("wide_at"), pos[wide])]
+            few = np.flatnonzero(size <= WIDE)
+            if len(few):
+                first = np.concatenate([[0], np.cumsum(size[few])])
+                n = counts_at(a, np.repeat(lo[few] - first[:-1], size[few]) + np.arange(first[-1]))
+                out[at[few]] = sums_of(n, first[:-1])
+        hot = np.flatnonzero(hot)
+        for s, at in by_shard(gram_shard(key[hot], None, self.shards, True), self.sums.sizes):
+            pos = S.find(self.sums.array(s, "key"), key[hot[at]])
+            out[hot[at[pos >= 0]]] = self.sums.array(s, "sums")[pos[pos >= 0]]
+        return out
+
+
+#: The bit of a context's key that tells that it's hot. Ids are below 2^31, so it is free.
+HOT = X.U(1) << X.U(63)
+#: The sums of contexts with more words than this are stored, others are added up from their words.
+WIDE = 16
+LOW32 = X.U(0xFFFFFFFF)
+
+
+def by_shard(of: np.ndarray, sizes: dict[int, int]):
+    """(shard, places) of each shard that is hit and there."""
+    order = np.argsort(of, kind="stable")
+    ids, starts = np.unique(of[order], return_index=True)
+    for s, a, b in zip(ids.tolist(), starts, np.append(starts, len(order))[1:], strict=True):
+        if s in sizes:
+            yield s, order[a:b]
+
+
+def gram_shard(key: np.ndarray, w: np.ndarray | None, shards: int, sums: bool = False) -> np.ndarray:
+    """By the context, or in a hot one, but for its sums, by the word too."""
+    h = X.mix(key)
+    if w is not None and not sums:
+        h = np.where(key >= HOT, X.mix(h + w.astype(X.U) * X.GOLD), h)
+    return (h % X.U(shards)).astype(np.int32)
+
+
+def sums_of(n: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows (sum, n1, n2, n3+) of runs of counts that begin at `first`."""
+    return np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (n, n == 1, n == 2, n >= 3)], 1) if len(n) else np.zeros((0, 4), np.int64)
+
+
+def counts_at(a, at: np.ndarray) -> np.ndarray:
+    n = a("n")[at].astype(np.int64)
+    large = np.flatnonzero(n == 255)
+    n[large] = a("large")[np.searchsorted(a("large_at"), at[large])]
+    return n
+
+
 @dataclass
 class Model:
+    order: int
     vocab: S.Store
-    pairs: S.Store
-    around: S.Store
     shards: int
     offsets: np.ndarray  # of each shard's ids; the last is V, the id of the start
     heavy: int
     total: int  # training tokens
     texts: int
-    d: np.ndarray
-    d_low: np.ndarray
-    low: list[int]  # words that have 1, 2 and 3 or more different words before them
-    low_total: int
+    before: S.Store  # of each id, how many different words go before it
+    levels: dict[int, Level] = field(default_factory=dict)
+    d_low: np.ndarray = field(default_factory=lambda: discounts([0] * 4))
+    low: list[int] = field(default_factory=lambda: [0] * 3)  # words that have 1, 2 and 3 or more different words before them
+    low_total: int = 0
 
     @property
     def size(self) -> int:
@@ -76,68 +170,74 @@ class Model:
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and training counts of distinct hashes in rising order."""
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        of = vocab_shard(h, self.shards)
-        for s in self.vocab.sizes:
-            a, b = np.searchsorted(of, [s, s + 1])
-            if a < b:
-                at = S.find(self.vocab.array(s, "key"), h[a:b])
-                ids[a:b] = np.where(at < 0, -1, at + self.offsets[s])
-                counts[a:b] = np.where(at < 0, 0, self.vocab.array(s, "c")[at])
+        for s, at in by_shard(vocab_shard(h, self.shards), self.vocab.sizes):
+            pos = S.find(self.vocab.array(s, "key"), h[at])
+            ids[at] = np.where(pos < 0, -1, pos + self.offsets[s])
+            counts[at] = np.where(pos < 0, 0, self.vocab.array(s, "c")[pos])
         return ids, counts
 
-    def pair_shard(self, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """count: training tokens of each pair's first word."""
-        v = pair >> X.U(32)
-        return (X.mix(np.where(count >= self.heavy, pair, v)) % X.U(self.shards)).astype(np.int32)
-
-    def gathered(self, ids: np.ndarray) -> np.ndarray:
-        """Rows (n1, n2, n3, before) of ids, zero for unknown ones."""
-        out = np.zeros((len(ids), 4), np.int64)
-        of = np.searchsorted(self.offsets, ids, "right") - 1
-        for s in self.around.sizes:
-            m = np.flatnonzero((of == s) & (ids >= 0))
-            if len(m):
-                out[m] = self.around.array(s, "n")[ids[m] - self.offsets[s]]
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Training counts of ids; the start has one for each text."""
+        out = np.full(len(ids), self.texts, np.int64)
+        for s, at in by_shard(np.searchsorted(self.offsets, ids, "right") - 1, self.vocab.sizes):
+            out[at] = self.vocab.array(s, "c")[ids[at] - self.offsets[s]]
         return out
 
-    def pair_counts(self, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(pair), np.int64)
-        of = self.pair_shard(pair, count)
-        order = np.argsort(of, kind="stable")
-        ends = np.searchsorted(of[order], np.arange(self.shards + 1))
-        for s in self.pairs.sizes:
-            m = order[ends[s] : ends[s + 1]]
-            at = S.find(self.pairs.array(s, "key"), pair[m])
-            out[m] = np.where(at < 0, 0, self.pairs.array(s, "n")[at])
+    def befores(self, ids: np.ndarray) -> np.ndarray:
+        out, known = np.zeros(len(ids), np.int64), np.flatnonzero(ids >= 0)
+        for s, at in by_shard(np.searchsorted(self.offsets, ids[known], "right") - 1, self.before.sizes):
+            at = known[at]
+            out[at] = self.before.array(s, "n")[ids[at] - self.offsets[s]]
         return out
 
+    def shifted(self, x: np.ndarray, off: np.ndarray, by: int, start: int) -> np.ndarray:
+        """x of the token `by` places before each token of its text, `start` before the first."""
+        out = np.full(len(x), start, x.dtype)
+        out[by:] = x[:-by]
+        some = np.diff(off) > 0
+        first, ends = off[:-1][some], off[1:][some]
+        for k in range(by):
+            at = first + k
+            out[at[at < ends]] = start
+        return out
+
+    def contexts(self, ids: np.ndarray, c: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the n - 1 tokens before each token, and whether all are known."""
+        v, cv = self.shifted(ids, off, 1, self.size), self.shifted(c, off, 1, self.texts)
+        if n == 2:
+            return key_of(v, cv >= self.heavy), v >= 0
+        u, cu = self.shifted(ids, off, 2, self.size), self.shifted(c, off, 2, self.texts)
+        return key_of((u << 32) | (v & 0xFFFFFFFF), np.minimum(cu, cv) >= self.heavy), (u >= 0) & (v >= 0)
+
     def score(self, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each text: known tokens, base score, score."""
         u, at = np.unique(h, return_inverse=True)
         ids, c = self.ids(u)
-        n = self.gathered(ids)
-        kinds = self.size + 1
+        n, kinds = self.befores(ids), self.size + 1
         base = np.log10((c + 1) / (self.total + kinds))
-        low = np.maximum(n[:, 3] - self.d_low[np.minimum(n[:, 3], 3)], 0) / max(1, self.low_total)
+        low = np.maximum(n - self.d_low[np.minimum(n, 3)], 0) / max(1, self.low_total)
         left = float(self.d_low[1:] @ np.array(self.low)) / self.low_total if self.low_total else 1.0
-        low += left / kinds
-        spread = (n[:, :3] @ self.d[1:]) / np.maximum(c, 1)
-        start = self.gathered(np.array([self.size]))[0]
-        before = np.empty(len(h), np.int64)  # places among u of the words before
-        before[1:] = at[:-1]
-        before[off[:-1]] = len(u)
-        c, spread, ids = np.append(c, self.texts), np.append(spread, start[:3] @ self.d[1:] / max(1, self.texts)), np.append(ids, self.size)
-        known = (c[before] > 0) & (ids[at] >= 0)
-        pair = (ids[before[known]].astype(X.U) << X.U(32)) | ids[at[known]].astype(X.U)
-        of_pair = np.zeros(len(h), np.int64)
-        of_pair[known] = self.pair_counts(pair, c[before[known]])
-        p = low[at]
-        seen = c[before] > 0
-        p = np.where(seen, np.maximum(of_pair - self.d[np.minimum(of_pair, 3)], 0) / np.maximum(c[before], 1) + spread[before] * p, p)
+        p = (low + left / kinds)[at]
+        for k, level in sorted(self.levels.items()):
+            key, ok = self.contexts(ids[at], c[at], off, k)
+            some = np.flatnonzero(ok)
+            kinds_of, place = np.unique(key[some], return_inverse=True)
+            t = level.totals(kinds_of)
+            spread = (t[:, 1:] @ level.d[1:]) / np.maximum(t[:, 0], 1)
+            seen = t[place, 0] > 0
+            some, place = some[seen], place[seen]
+            count = np.zeros(len(some), np.int64)
+            known = np.flatnonzero(ids[at][some] >= 0)
+            count[known] = level.counts(key[some[known]], ids[at][some[known]])
+            p[some] = np.maximum(count - level.d[np.minimum(count, 3)], 0) / t[place, 0] + spread[place] * p[some]
         add = lambda v: np.add.reduceat(v, off[:-1])
         return add((c[at] > 0).astype(np.int64)), add(base[at]), add(np.log10(p))
 
 
+def key_of(context: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return context.astype(X.U) | np.where(hot, HOT, X.U(0))
+
+
 def vocab_shard(h: np.ndarray, shards: int) -> np.ndarray:
     """Rising with the hash, so that ids follow the hashes' order over all shards."""
     return ((h >> X.U(32)) * X.U(shards) >> X.U(32)).astype(np.int32)
@@ -148,74 +248,115 @@ def _words(shards: int):
         for b in X.pieces(batches):
             h, _ = tokens(b.column("text"))
             key, n = X.sum_runs(h, np.ones(len(h), np.int64))
-            yield from S.blocks(vocab_shard(key, shards), key, n)
+            yield from S.blocks(vocab_shard(key, shards), key, n.astype(np.uint32), rising=True)
 
     return f
 
 
 def _vocab(shard, t):
-    key, n = X.sum_runs(*S.unblock(t, X.U, np.int64))
-    return {"key": key, "c": n, "stats": {"tokens": int(n.sum())}}
+    key, n = X.sum_runs(*S.unblock(t, X.U, np.uint32, rising=True))
+    return {"key": key, "c": n.astype(np.int64), "stats": {"tokens": int(n.sum())}}
 
 
-def _pairs(m: Model):
+def summed(key: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, w) in order, with their sums."""
+    order = np.lexsort((w, key))
+    key, w = key[order], w[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (w[1:] != w[:-1])])) if len(key) else np.zeros(0, np.int64)
+    return key[first], w[first], np.add.reduceat(n[order], first) if len(key) else n
+
+
+def _grams(m: Model):
     def f(batches):
         for b in X.pieces(batches):
             h, off = tokens(b.column("text"))
             u, at = np.unique(h, return_inverse=True)
             ids, c = m.ids(u)
-            word = ids[at].astype(X.U)
-            first, count = np.empty(len(word), X.U), np.empty(len(word), np.int64)
-            first[1:], count[1:] = word[:-1], c[at][:-1]
-            first[off[:-1]], count[off[:-1]] = m.size, m.texts
-            order = np.argsort(pair := (first << X.U(32)) | word)
-            pair, count = pair[order], count[order]
-            new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-            n = np.diff(np.append(new, len(pair))).astype(np.int32)
-            yield from S.blocks(m.pair_shard(pair[new], count[new]), pair[new], n)
+            key, _ = m.contexts(ids[at], c[at], off, m.order)
+            key, w, n = summed(key, ids[at].astype(np.uint32), np.ones(len(key), np.int64))
+            yield from S.blocks(gram_shard(key, w, m.shards), key, w, n.astype(np.uint32), rising=True)
 
     return f
 
 
-def _pair_arrays(shard, t):
-    pair, n = S.unblock(t, X.U, np.int32)
-    pair, n = X.sum_runs(pair, n)
-    return {"key": pair, "n": n.astype(np.int32), "stats": {str(k): int((n == k).sum()) for k in (1, 2, 3, 4)}}
+def _arrays(shard, t):
+    key, w, n = summed(*S.unblock(t, X.U, np.uint32, np.uint32, rising=True))
+    n = n.astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    off = np.append(first, len(key))
+    wide, large = np.flatnonzero(np.diff(off) > WIDE), np.flatnonzero(n >= 255)
+    small = np.uint32 if len(key) < 1 << 32 else np.uint64
+    stats = {str(k): int((n == k).sum()) for k in (1, 2, 3, 4)}
+    return {"key": key[first], "off": off.astype(small), "w": w, "n": np.minimum(n, 255).astype(np.uint8), "large_at": large, "large": n[large], "wide_at": wide, "wide": sums_of(n, first)[wide] if len(key) else np.zeros((0, 4), np.int64), "stats": stats}
+
 
+def _stored(grams: S.Store, shard: int) -> tuple[np.ndarray, ...]:
+    """A shard's n-grams: (key, w, n)."""
+    a = lambda name: grams.array(shard, name)
+    size = np.diff(a("off").astype(np.int64))
+    return np.repeat(np.asarray(a("key")), size), np.asarray(a("w")), counts_at(a, np.arange(int(size.sum())))
 
-def _around_blocks(m: Model):
-    """Of each pair array: each first word's followers by their counts, and how many words go before each second word."""
 
+def _each(grams: S.Store, use):
     def f(batches):
         for b in batches:
             for s in b.column("id").to_pylist():
-                if s not in m.pairs.sizes:
-                    continue
-                pair, n = m.pairs.array(s, "key"), m.pairs.array(s, "n")
-                first = (pair >> X.U(32)).astype(np.int64)
-                v, *of = X.sum_runs(first, *(x.astype(np.int32) for x in (n == 1, n == 2, n >= 3)))
-                w, before = X.sum_runs((pair & X.U(0xFFFFFFFF)).astype(np.int64), np.ones(len(pair), np.int32))
-                none = np.zeros(len(w), np.int32)
-                ids = np.concatenate([v, w])
-                of = [np.concatenate([x.astype(np.int32), none]) for x in of] + [np.concatenate([np.zeros(len(v), np.int32), before.astype(np.int32)])]
-                shard = np.searchsorted(m.offsets, ids, "right") - 1
-                yield from S.blocks(shard.astype(np.int32), (ids - m.offsets[shard]).astype(np.int32), *of)
+                if s in grams.sizes:
+                    yield from use(*_stored(grams, s))
 
     return f
 
 
-def _around(sizes: list[int]):
+def _shorter(m: Model):
+    """From n-grams (u v, w) those of (v, w), each with how many u it has in the shard."""
+
+    def use(key, w, n):
+        v = (key & LOW32).astype(np.int64)
+        kinds, place = np.unique(v, return_inverse=True)
+        hot = m.counts(kinds) >= m.heavy
+        key, w, n = summed(key_of(v, hot[place]), w, np.ones(len(w), np.int64))
+        yield from S.blocks(gram_shard(key, w, m.shards), key, w, n.astype(np.uint32), rising=True)
+
+    return use
+
+
+def _hot_sums(shards: int):
+    def use(key, w, n):
+        hot = np.flatnonzero(key >= HOT)
+        key, n = key[hot], n[hot]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        yield from S.blocks(gram_shard(key[first], None, shards, True), key[first], *sums_of(n, first).T)
+
+    return use
+
+
+def _sum_arrays(shard, t):
+    key, *cols = X.sum_runs(*S.unblock(t, X.U, *[np.int64] * 4))
+    return {"key": key, "sums": np.stack(cols, 1)}
+
+
+def _befores(m: Model):
+    def use(key, w, n):
+        w, k = X.sum_runs(w.astype(np.int64), np.ones(len(w), np.int64))
+        shard = np.searchsorted(m.offsets, w, "right") - 1
+        yield from S.blocks(shard.astype(np.int32), (w - m.offsets[shard]).astype(np.uint32), k.astype(np.uint32))
+
+    return use
+
+
+def _before_arrays(sizes: list[int]):
     def f(shard, t):
-        at, *cols = S.unblock(t, *[np.int32] * 5)
-        n = np.stack([np.bincount(at, c, sizes[shard]).astype(np.int64) for c in cols], 1)
-        before = n[:, 3]
-        return {"key": np.arange(len(n)), "n": n, "stats": {"total": int(before.sum()), "more": int((before >= 3).sum()), **{str(k): int((before == k).sum()) for k in (1, 2, 3, 4)}}}
+        at, n = S.unblock(t, np.uint32, np.uint32)
+        before = np.bincount(at.astype(np.int64), n, sizes[shard]).astype(np.int64)
+        return {"key": np.zeros(len(before), bool), "n": before, "stats": {"total": int(before.sum()), "more": int((before >= 3).sum()), **{str(k): int((before == k).sum()) for k in (1, 2, 3, 4)}}}
 
     return f
 
 
-def train(texts: DataFrame) -> Model:
+def train(texts: DataFrame, *, order: int = 3) -> Model:
     """A model of the column `text`."""
+    if order not in (2, 3):
+        raise ValueError(f"order must be 2 or 3, not {order}")
     spark = texts.sparkSession
     home = S.workspace(spark, "lm")
     texts = texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -226,16 +367,20 @@ def train(texts: DataFrame) -> Model:
     if offsets[-1] >= 1 << 31:
         raise ValueError("more than 2^31 different words")
     total = sum(s["tokens"] for s in stats)
-    none = S.Store("", {})
-    m = Model(vocab, none, none, shards, offsets, max(1000, total // (20 * shards)), total, about.n, discounts([0] * 4), discounts([0] * 4), [0] * 3, 0)
+    m = Model(order, vocab, shards, offsets, max(LEAST_HEAVY, total // (20 * shards)), total, about.n, S.Store("", {}))
     sums = lambda stats, k: sum(s[k] for s in stats)
-    m.pairs, stats = S.build(texts.mapInArrow(_pairs(m), S.BLOCKS), shards, _pair_arrays, f"{home}/pairs")
-    m.d = discounts([sums(stats, k) for k in "1234"])
     every = spark.range(0, shards, 1, shards)
-    # the start is one more id, after all words, in a shard of its own
-    m.around, stats = S.build(every.mapInArrow(_around_blocks(m), S.BLOCKS), shards, _around([*np.diff(offsets).tolist(), 1]), f"{home}/around")
+    blocks = texts.mapInArrow(_grams(m), S.BLOCKS)
+    for n in range(order, 1, -1):
+        S.release(spark)
+        grams, stats = S.build(blocks, shards, _arrays, f"{home}/grams{n}")
+        hot, _ = S.build(every.mapInArrow(_each(grams, _hot_sums(shards)), S.BLOCKS), shards, _sum_arrays, f"{home}/sums{n}")
+        m.levels[n] = Level(grams, hot, shards, discounts([sums(stats, k) for k in "1234"]))
+        blocks = every.mapInArrow(_each(grams, _shorter(m) if n > 2 else _befores(m)), S.BLOCKS)
+    m.before, stats = S.build(blocks, shards, _before_arrays(np.diff(offsets).tolist()), f"{home}/before")
     m.d_low = discounts([sums(stats, k) for k in "1234"])
     m.low, m.low_total = [sums(stats, "1"), sums(stats, "2"), sums(stats, "more")], sums(stats, "total")
+    S.release(spark)
     return m
 
 

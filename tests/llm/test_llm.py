@@ -204,35 +204,61 @@ def test_m_tree_has_small_pages_on_several_levels_and_prunes():
     assert search.computed < 0.2 * 20 * 6000
 
 
-def test_lm(spark):
-    rows = [(i, text(rng.randrange(0, 80))) for i in range(40)] + [(50, None), (51, ""), (52, "unseen words"), (1, "again again")]
-    model = lm.train(docs(spark, rows[:30]))
-    got = lm.scored(docs(spark, rows), model).collect()
-    toks = [[*words(t), "\0end"] for _, t in rows[:30]]
-    c, pairs = Counter(w for t in toks for w in t), Counter(p for t in toks for p in zip(["\0start", *t[:-1]], t))
-    before, after = Counter(w for _, w in pairs), Counter()
-    for (v, _), n in pairs.items():
-        after[v] += n
-    kinds = len(c) + 1
-    d, dl = lm.discounts([sum(n == k for n in pairs.values()) for k in range(1, 5)]), lm.discounts([sum(n == k for n in before.values()) for k in range(1, 5)])
-    left = sum(dl[min(n, 3)] for n in before.values()) / len(pairs)
-
-    def p(v, w):
-        low = max(before[w] - dl[min(before[w], 3)], 0) / len(pairs) + left / kinds
-        if not after[v]:
-            return low
-        spread = sum(d[min(n, 3)] for (x, _), n in pairs.items() if x == v)
-        return (max(pairs[v, w] - d[min(pairs[v, w], 3)], 0) + spread * low) / after[v]
-
-    assert sum(p("w1", w) for w in c) + p("w1", "\0none") == pytest.approx(1)
-    by = Counter()
+def brute_lm(training, order):
+    """log10 p(token | tokens before) of an interpolated modified Kneser-Ney model, by dictionaries."""
+    toks = [["\0start"] * (order - 1) + [*words(t), "\0end"] for t in training]
+    c = Counter(w for t in toks for w in t[order - 1 :])
+    grams = {order: Counter(tuple(t[i - order + 1 : i + 1]) for t in toks for i in range(order - 1, len(t)))}
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    d = {n: lm.discounts([sum(k == i for k in g.values()) for i in range(1, 5)]) for n, g in grams.items()}
+    after = {n: {} for n in grams}
+    for n, g in grams.items():
+        for x, k in g.items():
+            after[n].setdefault(x[:-1], []).append(k)
+
+    def p(context, w, n=order):
+        if n == 0:
+            return 1 / (len(c) + 1)
+        if context not in after[n]:
+            return p(context[1:], w, n - 1) if n > 1 else 1 / (len(c) + 1)
+        every = after[n][context]
+        k = grams[n][*context, w]
+        spread = sum(d[n][min(x, 3)] for x in every)
+        return (max(k - d[n][min(k, 3)], 0) + spread * p(context[1:], w, n - 1)) / sum(every)
+
+    return c, p
+
+
+@pytest.mark.parametrize("order, heavy", [(2, None), (3, None), (2, 20), (3, 20)])
+def test_lm(spark, order, heavy, monkeypatch):
+    rows = [(i, text(rng.randrange(0, 80))) for i in range(40)] + [(50, None), (51, ""), (52, "unseen words"), (1, "again again"), (53, "w1 unseen w2 w3")]
+    rows += [(60 + i, "w1 w2 " * 40 + f"w{i}") for i in range(3)]
+    training = rows[:30] + rows[-3:]
+    if heavy:  # common words' contexts are dealt to all shards
+        monkeypatch.setattr(lm, "LEAST_HEAVY", heavy)
+    model = lm.train(docs(spark, training), order=order)
+    assert bool(model.levels[order].sums.sizes) is bool(heavy)
+    got = lm.scored(docs(spark, rows).withColumn("score", F.lit("clash")), model).collect()
+    c, p = brute_lm([t for _, t in training], order)
+    kinds, total = len(c) + 1, sum(c.values())
+    some = ("w1",) if order == 2 else ("w2", "w1")
+    assert sum(p(some, w) for w in c) + p(some, "\0none") == pytest.approx(1)
     for (i, t), r in zip(sorted(rows, key=str), sorted(got, key=lambda r: str((r.doc_id, r.text))), strict=True):
         tok = [*words(t), "\0end"]
-        by[r.n_tokens == len(tok), r.n_known == sum(c[w] > 0 for w in tok), r.train_tokens == sum(c.values())] += 1
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (sum(c.values()) + kinds)) for w in tok))
-        assert r.score == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip(["\0start", *tok[:-1]], tok)))
-    assert set(by) == {(True, True, True)}
-    assert lm.scored(docs(spark, [(1, "a")]), lm.train(docs(spark, []))).first().base_score == 0
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tok), sum(c[w] > 0 for w in tok), total)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (total + kinds)) for w in tok))
+        full = ["\0start"] * (order - 1) + tok
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(full[k : k + order - 1]), w)) for k, w in enumerate(tok)))
+
+
+def test_lm_empty_tables(spark):
+    none = lm.train(docs(spark, []))
+    r = lm.scored(docs(spark, [(1, "a")]), none).first()
+    assert (r.base_score, r.score, r.train_tokens) == (0, 0, 0)
+    assert lm.scored(docs(spark, []), none).count() == 0
+    with pytest.raises(ValueError):
+        lm.train(docs(spark, []), order=4)
 
 
 def brute_contamination(rows, items):
