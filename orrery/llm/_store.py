@@ -7,11 +7,11 @@ arrays are fetched to the worker's temporary folder and deleted there once mappe
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder's address; nothing is there yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+@contextmanager
+def owned(spark: SparkSession):
+    """Deletes at its end the folders that operators made inside it: for callers that have stored the results by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[before:]:
+            drop(spark, path)
+        del _MADE[before:]
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -37,17 +53,26 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files that nothing needs any more, which it does after a collection of the driver's garbage; left alone that
-    comes each half hour, and the files of all passes lie there until then."""
-    gc.collect()
-    spark._jvm.System.gc()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Frames made and run inside leave no shuffle files: their results lie in the shared folder, and nothing reads the files again."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def saved(df: DataFrame, path: str) -> DataFrame:
     """df written as Parquet and read again: its lineage ends here."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    with tidy(spark):
+        df.select("*").write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _local(uri: str) -> str | None:
@@ -79,10 +104,15 @@ def put(uri: str, array: np.ndarray) -> None:
 _OPEN: dict[str, np.ndarray] = {}
 
 
-def get(uri: str) -> np.ndarray:
-    """The array, memory-mapped; each worker process opens a file once."""
+def get(uri: str, absent: np.ndarray | None = None) -> np.ndarray:
+    """The array, memory-mapped; each worker process opens a file once. absent: what stands for a file that isn't there."""
     if uri in _OPEN:
         return _OPEN[uri]
+    if absent is not None:
+        try:
+            return get(uri)
+        except FileNotFoundError:
+            return absent
     while len(_OPEN) >= 4096:  # the one opened first goes
         _OPEN.pop(next(iter(_OPEN)))
     if path := _local(uri):
@@ -161,7 +191,8 @@ def build(df: DataFrame, shards: int, arrays, uri: str, extra: str = "") -> tupl
                 put(f"{uri}/{shard}-{name}.npy", a)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(out["key"])], pa.int64()), "stats": [json.dumps(stats)]})
 
-    rows = df.repartitionById(shards, "shard").mapInArrow(write, "shard int, n long, stats string").collect()
+    with tidy(df.sparkSession):
+        rows = df.repartitionById(shards, "shard").mapInArrow(write, "shard int, n long, stats string").collect()
     return Store(uri, {r.shard: r.n for r in rows}), [json.loads(r.stats) for r in rows]
 
 

@@ -372,7 +372,6 @@ def train(texts: DataFrame, *, order: int = 3) -> Model:
     every = spark.range(0, shards, 1, shards)
     blocks = texts.mapInArrow(_grams(m), S.BLOCKS)
     for n in range(order, 1, -1):
-        S.release(spark)
         grams, stats = S.build(blocks, shards, _arrays, f"{home}/grams{n}")
         hot, _ = S.build(every.mapInArrow(_each(grams, _hot_sums(shards)), S.BLOCKS), shards, _sum_arrays, f"{home}/sums{n}")
         m.levels[n] = Level(grams, hot, shards, discounts([sums(stats, k) for k in "1234"]))
@@ -380,7 +379,6 @@ def train(texts: DataFrame, *, order: int = 3) -> Model:
     m.before, stats = S.build(blocks, shards, _before_arrays(np.diff(offsets).tolist()), f"{home}/before")
     m.d_low = discounts([sums(stats, k) for k in "1234"])
     m.low, m.low_total = [sums(stats, "1"), sums(stats, "2"), sums(stats, "more")], sums(stats, "total")
-    S.release(spark)
     return m
 
 
