@@ -10,7 +10,9 @@ No document is shuffled: the index is written to shared files and memory-mapped
 neither a passage in a third of all documents nor a long document makes an uneven task.
 
 Nulls and edges: a null text has no words; an item with a null id or without words takes no part; equal
-items are all listed; repeated rows are judged each alone. Incoming columns named like a result are dropped.
+items are all listed; a window that many items share lists them all, once, in the index, and a document's list is as long as
+its result asks for: both are bounded by the number of items, not by the documents; repeated rows are judged each alone; an empty
+table of either kind gives no hits. Incoming columns named like a result are dropped.
 """
 
 from __future__ import annotations
@@ -89,11 +91,13 @@ def _probe(store: S.Store, shards: int, k: int, r: np.ndarray) -> np.ndarray:
         for s in store.sizes:
             keys = store.array(s, "key")
             sieve[(keys[store.array(s, "k") == k].view(X.U) & X.U((1 << 22) - 1)).astype(np.int64)] = True
+        while len(_SIEVES) >= 8:  # of 4 MB each, in a worker that is used again
+            _SIEVES.pop(next(iter(_SIEVES)))
         _SIEVES[id_] = sieve
     maybe = np.flatnonzero(_SIEVES[id_][(r & X.U((1 << 22) - 1)).astype(np.int64)])
     ok = np.zeros(len(maybe), bool)
     of = _shard(r[maybe], shards)
-    for s in store.sizes:
+    for s in store.sizes.keys() & set(of.tolist()):
         mine = np.flatnonzero(of == s)
         ok[mine] = S.find(store.array(s, "key"), r[maybe[mine]].view(np.int64)) >= 0
     return maybe[ok]
@@ -164,7 +168,7 @@ def _occurrences(index: S.Store, shards: int, ks: list[int], h: np.ndarray, off:
         r = runs(h, k)
         at = _probe(index, shards, k, r)
         of = _shard(r[at], shards)
-        for s in index.sizes:
+        for s in sorted(index.sizes.keys() & set(of.tolist())):
             pos = at[of == s]
             keys = index.array(s, "key")
             lo, hi = (np.searchsorted(keys, r[pos].view(np.int64), side) for side in ("left", "right"))

@@ -11,8 +11,8 @@ all entries share number at most 2,000: those are broadcast, all others are join
 line, however common, makes an uneven task.
 
 Nulls and edges: a null or empty text is one empty line; a null doc_id counts as smaller than any other; of
-rows that share the holder's doc_id all keep the line; each row counts as a document; hashes are of 128 bits.
-Incoming columns named like a result are dropped.
+rows that share the holder's doc_id all keep the line; ids are whole numbers (a text that is none raises); each row counts as a document; hashes are of 128 bits.
+An empty table gives an empty one. Incoming columns named like a result are dropped.
 """
 
 from __future__ import annotations

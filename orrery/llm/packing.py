@@ -8,7 +8,8 @@ a token. What is likely to fill it is known: the tokens of the remaining pieces
 At the end each bin is cut down to the least permitted length that holds its contents.
 
 Nulls and edges: a null or empty text has one token, its end; a null id is packed like any other; repeated rows are
-packed each; pieces of equal size go by id, then by place, so equal input gives equal bins.
+packed each; an empty table gives an empty one; ids are whole numbers (a text that is none raises); other columns are left
+out; pieces of equal size go by id, then by place, so equal input gives equal bins.
 """
 
 from __future__ import annotations

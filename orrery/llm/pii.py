@@ -5,13 +5,14 @@ and exchange from 200; after +1 any), other numbers after a plus, social securit
 to 2099-12-31 (year first, or year last with dots or slashes), and e-mail addresses. What doesn't validate stays as it is.
 
 Each kind's valid values are numbered as pairs (l, r) below (a, b), and a Feistel network with sums modulo a and b
-permutes the pairs; so a card number becomes a valid card number, a date a valid date, in the same layout, two values
-never become one, and equal values stay equal in all documents under one key. Layouts of one number (with
+permutes the pairs; so a card number becomes a valid card number, a date a valid date, in the same layout, two such values
+never become one (two e-mail addresses may, by equal hashes), and equal values stay equal in all documents under one key. Layouts of one number (with
 dashes or blanks) give one number. The digits of an e-mail's local part and its letters are replaced by those of
 a keyed hash, one for one; its domain stays.
 
 A text is cut at all finds by one pattern, the finds are replaced one by one, and the parts are joined again. Nothing is
-shuffled, so a hot source or value has no effect.
+shuffled, so a hot source or value has no effect. The key is a literal of the plan: who can read the application's plans or event
+log can read it.
 
 Nulls and edges: a null text stays null, with no finds; an empty one stays empty; extra columns stay, but
 for one named n_found, which is replaced.

@@ -12,7 +12,7 @@ id are no features.
 
 Nulls and edges: a null text counts as empty, and an empty text has features and a score like any other; rows
 without an id can be scored but not learnt from; of several labels of one document the least counts, null ones
-don't; without labels of both kinds every score is the share of label 1 (0.5 without any). Incoming columns
+don't; of several texts of one document one is learnt from; without labels of both kinds every score is the share of label 1 (0.5 without any). Incoming columns
 named like a result are dropped.
 """
 
@@ -167,7 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, *, most_rows: in
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("quality").cast(pa.int32()), *(pa.array(x[:, j]) for j in range(x.shape[1]))], ["doc_id", "quality", *FEATURES])
 
-    got = rows.mapInArrow(f, T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("quality", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in FEATURES)])).toArrow()
+    every = rows.mapInArrow(f, T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("quality", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in FEATURES)]))
+    # one row for each label reaches the driver, however many rows have its doc_id: the least by its features
+    got = every.groupBy("doc_id").agg(F.min(F.struct("quality", *FEATURES)).alias("one")).select("doc_id", "one.*").toArrow()
     got = got.sort_by([("doc_id", "ascending"), *((n, "ascending") for n in FEATURES)])
     x = np.stack([got.column(n).to_numpy() for n in FEATURES], 1) if got.num_rows else np.zeros((0, len(FEATURES)))
     return fit(x, (got.column("quality").to_numpy() > 0).astype(float))

@@ -10,7 +10,8 @@ than the worst kept one, so many equal vectors cost one page.
 
 Nulls and edges: vectors that are null, or hold a null, infinite or NaN component, and rows without an id take
 no part; shorter vectors count as padded with zeros; an empty vector scores 0; a row with the query's own id is no
-candidate; repeated rows are answers and queries of their own. Sums beyond 2^63 are not supported.
+candidate; repeated rows are answers and queries of their own; an empty table gives an empty one; ids are whole numbers (a text that is none
+raises); other columns are left out. Sums beyond 2^63 are not supported.
 """
 
 from __future__ import annotations

@@ -100,6 +100,14 @@ def test_jaccard_join(spark, plan, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == Counter((rows[i][0], *w) for i, w in want.items())
 
 
+def test_jaccard_join_without_answers_asks_the_shards(spark, monkeypatch):
+    rows = near_rows()
+    monkeypatch.setattr(jaccard_join, "fingerprint", lambda cls: rng.getrandbits(60))
+    got = jaccard_join.classes(docs(spark, rows), words=4, num=85, den=100)
+    want = brute_components(rows, 4, 85, 100)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == Counter((rows[i][0], *w) for i, w in want.items())
+
+
 def test_jaccard_join_empty_table_and_null_id(spark):
     assert jaccard_join.classes(docs(spark, [])).count() == 0
     got = jaccard_join.classes(docs(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (None, "z")])).collect()
@@ -464,12 +472,124 @@ def test_pii_iban_before_capitals(spark):
         assert [len(w) for w in r.text.split()] == [len(w) for w in old.split()] and r.text.split()[-1] == old.split()[-1] and r.text != old
 
 
+def test_url_filter_long_hosts_odd_rules_and_repeats(spark):
+    rules = spark.createDataFrame([("com", "/a", "block"), ("x\0y.com", "/a\0b", "allow"), (None, None, None)], "host string, path string, verdict string")
+    long = "h://" + "a." * 500_000 + "com/a/b"
+    rows = [(1, long), (1, long), (2, "h://x\0y.com/a\0bc"), (3, None), (4, "h://com")]
+    got = [(r.page_id, len(r.host), r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).orderBy("page_id").collect()]
+    assert got == [(1, 1_000_003, "com/a", "block")] * 2 + [(2, 7, "x\0y.com/a\0b", "allow"), (3, 0, "", "block"), (4, 3, None, "allow")]
+    assert url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules.limit(0)).where("verdict = 'allow'").count() == 5
+
+
+def test_quality_takes_one_row_for_each_label(spark):
+    rows = [(1, f"some text {i}") for i in range(50)] + [(i, "words " * i) for i in range(2, 20)] + [(None, "x")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 20)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    seen = []
+    real = quality.fit
+    quality.fit = lambda x, y: seen.append(len(y)) or real(x, y)
+    try:
+        m = quality.train(docs(spark, rows), labels, F.lit(False))
+    finally:
+        quality.fit = real
+    assert seen == [19]
+    got = quality.scored(docs(spark, rows * 2).withColumn("score", F.lit("clash")), m).collect()
+    assert len(got) == 2 * len(rows) and len({r.score for r in got if r.doc_id == 7}) == 1
+    assert quality.scored(docs(spark, []), m).count() == 0
+    assert quality.train(docs(spark, rows), labels.limit(0), F.lit(False)).score(np.zeros((1, len(quality.FEATURES)))).tolist() == [0.5]
+
+
+def test_packing_in_groups(spark):
+    rows = [(i, text(rng.randrange(0, 90))) for i in range(150)] + [(7, "w1 w2"), (7, "w1 w2")]
+    out = packing.packed(docs(spark, rows).withColumn("bin_id", F.lit("clash")), lengths=(16, 32, 64), group=40).collect()
+    assert len({r.bin_id >> 32 for r in out}) > 1 and sum(r.n_tokens for r in out) == sum(len(words(t)) + 1 for _, t in rows)
+    for g in {r.bin_id >> 32 for r in out}:
+        bins = {}
+        for r in sorted((r for r in out if r.bin_id >> 32 == g), key=lambda r: r.bin_offset):
+            bins.setdefault((r.bin_id, r.bin_length), []).append(r.n_tokens)
+        sizes = sorted((n for b in bins.values() for n in b), reverse=True)
+        assert sorted((n, tuple(b)) for (_, n), b in bins.items()) == brute_fit(sizes, (16, 32, 64))
+
+
+def test_top_k_and_pii_on_empty_tables(spark):
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+    assert pii.pseudonymised(docs(spark, []), "k").count() == 0
+
+
+def test_workspaces_are_deleted_by_their_owner(spark, tmp_path):
+    import os
+
+    from orrery.llm import _store
+
+    with _store.owned(spark):
+        url_filter.judge(spark.createDataFrame([("a://b",)], "url string"), spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")).collect()
+        made = _store._local(_store._MADE[-1])
+        assert os.path.isdir(made)
+    assert not os.path.exists(made)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs_and_keeps_ids(spark, name):
     out = queries.QUERIES[name](spark, SF)
     assert out.count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_covers_its_whole_table(spark, name):
+    kind = {"op4_url_filter": "pages", "op10_html_extraction": "pages", "op6_exact_top_k": "embeddings"}.get(name, "documents")
+    id_ = {"pages": "page_id", "embeddings": "vec_id"}.get(kind, "doc_id")
+    want = [r[0] for r in spark.read.parquet(f"{SF}/{kind}.parquet").select(id_).collect()]
+    out = queries.QUERIES[name](spark, SF)
+    if name == "op6_exact_top_k":
+        assert Counter(r.query_id for r in out.collect()) == {i: 20 for i in want if i % 20 == 0}
+    elif name == "op9_packing":
+        assert {r[0] for r in out.select(id_).collect()} == set(want)
+    else:
+        assert sorted(r[0] for r in out.select(id_).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_same_as_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    want = c.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(got.columns)
+    assert Counter(want.fetchall()) == Counter(tuple(r[n] for n in names) for r in got.collect())
+
+
+def holds_window(text_, items):
+    return next(iter(brute_contamination([(0, text_)], items)))[2] >= 13
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Nulls, empty and repeated rows, rows without id, and columns named like those of the operators."""
+    import corpus_pipeline
+
+    bench = text(30)
+    spark.createDataFrame([(1, bench), (2, "one short item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    base = text(40)
+    rows = [(1, base), (2, base), (2, base), (3, text(600) + " " + " ".join(bench.split()[4:18])), (4, None), (5, ""), (None, base), (None, base), (6, text(100) + " one short item"), (7, "one short item")]
+    d = docs(spark, rows)
+    for c in ("score", "n_lines", "n_dropped", "cls", "stay", "n_hit", "n_words", "items", "contaminated", "component_id", "quality"):
+        d = d.withColumn(c, F.lit(f"my {c}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.schema.simpleString() == d.schema.simpleString(), name
+        got = out.collect()
+        assert all(r[c] == f"my {c}" for r in got for c in d.columns[2:])
+        kept = Counter(str(r.doc_id) for r in got)
+        every = Counter(str(i) for i, _ in rows)
+        gone = {"near_duplicates": {"2": 2}, "benchmark_passages": {"3": 1, "7": 1}}.get(name, {})
+        assert kept == every - Counter(gone), name
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.pack(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -480,3 +600,5 @@ def test_pipeline(spark):
         assert kept.columns == d.columns
     out = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert not any(holds_window(r.text, bench) for r in kept.collect()) and any(holds_window(r.text, bench) for r in d.collect())
