@@ -23,6 +23,12 @@ def usage(events: DataFrame) -> DataFrame:
     return events.groupBy("tenant").agg(n("query").alias("query_count"), n("insert").alias("insert_count"), n("delete").alias("delete_count")).withColumn("billable_events", F.col("query_count") + F.col("insert_count") + F.col("delete_count"))
 
 
+def storage(rows: DataFrame) -> DataFrame:
+    """rows: tenant, embedding: how many vectors each tenant has and what they take, at four bytes a component."""
+    out = rows.groupBy("tenant").agg(F.count("*").alias("vector_count"), F.sum(4 * F.greatest(F.size("embedding"), F.lit(0)).cast("long")).alias("storage_bytes"))
+    return out.withColumn("storage_mb", F.col("storage_bytes") / float(1 << 20))
+
+
 def saturating(events: DataFrame, by: str, order: str, delta: str) -> DataFrame:
     """A running sum that never falls below 0: the sum less the least of it so far, where that is negative."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

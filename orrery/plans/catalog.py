@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import cache, hotness, knn, merge, ops, ranking, store
-from ..operators.filters import And, Exact, In, Not, Or, Range, compiled, matching_ids, of_tenant, scope
+from ..operators.filters import Always, And, Exact, In, Not, Or, Range, compiled, from_legacy, matching_ids, of_tenant, scope
 from ..streaming import jobs
 
 K, DAY = 10, 86400.0
@@ -805,3 +805,46 @@ def backup_list(spark, sf):
     j = F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.col("ts").alias("timestamp"), "kind"))
     texts = _backups(spark, sf).select(F.when(F.col("id") % 13 == 0, F.substr(j, F.lit(1), F.lit(12))).otherwise(j).alias("value"))
     return ops.listed(texts).select("id", "timestamp", "kind")
+
+
+@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a, list_transform(list_reverse(embedding), lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings)
+SELECT vec_id, round({L2}, 6) AS apart, round({DOT}, 6) AS product FROM v""")
+def vector_distances(spark, sf):
+    """Each vector and its reverse."""
+    a, b = F.col("embedding"), F.reverse("embedding")
+    return table(spark, sf, "embeddings").select("vec_id", r6(V.l2_distance(a, b)).alias("apart"), r6(V.dot(a, b)).alias("product"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 4) / 4 * 32768 AS BIGINT)) AS q FROM embeddings)
+SELECT count(*) AS vectors, count(DISTINCT q) AS kinds FROM (SELECT q FROM v UNION ALL SELECT q FROM v)""")
+def quantised_kinds(spark, sf):
+    """Vectors rounded to quarters, twice each with a difference below the steps that the hash sees."""
+    e = F.transform(V.as_double(F.col("embedding")), lambda x: F.round(x * 4) / 4)
+    v = table(spark, sf, "embeddings")
+    h = v.select(V.quantised_hash(e).alias("h")).unionByName(v.select(V.quantised_hash(F.transform(e, lambda x: x + 1e-6)).alias("h")))
+    return h.agg(F.count("*").alias("vectors"), F.count_distinct("h").alias("kinds"))
+
+
+@query("SELECT doc_id, 3 AS keys, lang FROM documents")
+def reserved_metadata(spark, sf):
+    """Reserved keys come and go; the caller's own are left."""
+    m = V.with_reserved(F.col("metadata"), F.lit("t"), F.lit(3), F.lit("n"))
+    return docs(spark, sf).select("doc_id", m.alias("m")).select("doc_id", F.size(V.public_metadata(F.col("m"))).alias("keys"), V.public_metadata(F.col("m"))["lang"].alias("lang"))
+
+
+@query("""SELECT label % 3 AS tenant, count(*) AS vector_count, sum(len(embedding) * 4)::BIGINT AS storage_bytes, round(sum(len(embedding) * 4) / 1048576.0::DOUBLE, 6) AS storage_mb,
+CASE WHEN sum(len(embedding) * 4) >= 1073741824 THEN printf('%.2f GB', sum(len(embedding) * 4) / 1073741824.0::DOUBLE) WHEN sum(len(embedding) * 4) >= 1048576 THEN printf('%.2f MB', sum(len(embedding) * 4) / 1048576.0::DOUBLE)
+ WHEN sum(len(embedding) * 4) >= 1024 THEN printf('%.2f KB', sum(len(embedding) * 4) / 1024.0::DOUBLE) ELSE sum(len(embedding) * 4) || ' B' END AS told FROM embeddings GROUP BY 1""")
+def usage_storage(spark, sf):
+    out = ops.storage(vectors(spark, sf))
+    return out.select("tenant", "vector_count", "storage_bytes", r6("storage_mb").alias("storage_mb"), V.format_bytes(F.col("storage_bytes")).alias("told"))
+
+
+_filter_query("filter_none", Always(), "true")
+_filter_query("filter_legacy", from_legacy({"lang": "en", "source": "src2"}, Range("n_chars", "gt", "100")), "lang = 'en' AND source = 'src2' AND n_chars > 100")
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, round(max(CASE WHEN i = floor(0.5 * (n - 1) + 0.5) THEN value END), 6) AS p50, round(max(CASE WHEN i = floor(0.95 * (n - 1) + 0.5) THEN value END), 6) AS p95 FROM r GROUP BY event_type""")
+def percentiles_by_round(spark, sf):
+    return hotness.nearest_rank(log(spark, sf), ["event_type"], "value", [50, 95], "round").select("event_type", r6("p50").alias("p50"), r6("p95").alias("p95"))

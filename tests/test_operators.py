@@ -8,6 +8,7 @@ from orrery.functions import vector as V
 from orrery.operators import cache, filters, hotness, ops, ranking, store
 from orrery.operators.filters import And, Exact, In, Not, Or, Range
 from orrery.operators.knn import effort, ivf, knn, over_fetch
+from orrery.sources import backup, workload
 from orrery.sources import io as files
 from orrery.streaming import jobs
 
@@ -320,3 +321,40 @@ def test_windows_by_slide_and_by_window_agree(spark):
     rows = lambda width, slide: sorted(map(tuple, jobs.windowed_counts(log, width, slide).collect()))
     want = log.groupBy(F.window("ts", "1 hour", "10 minutes").alias("w"), "doc_id").count().select("w.start", "w.end", "doc_id", "count").collect()
     assert rows("1 hour", "10 minutes") == sorted(map(tuple, want)) and len(rows("1 hour", "25 minutes")) > 0
+
+
+def test_backups(spark, tmp_path):
+    folder = f"file://{tmp_path}/b"
+    changes = lambda rows: spark.createDataFrame(rows, "doc_id long, seq long, op string, payload string")
+    first = [(1, 1, "insert", "a"), (2, 2, "insert", "b")]
+    later = [(1, 3, "update", "c"), (2, 4, "delete", None), (3, 5, "insert", "d")]
+    backup.save(changes(first), folder, "one", at=10)
+    backup.save(changes(first + later), folder, "two", parent="one", at=20)
+    backup.save(changes(first + later), folder, "three", parent="two", at=30)
+    rows = lambda **k: sorted((r.doc_id, r.seq, r.payload) for r in backup.restore(spark, folder, **k).collect())
+    assert rows() == [(1, 3, "c"), (3, 5, "d")] and rows(until=19) == [(1, 1, "a"), (2, 2, "b")]
+    assert [r.id for r in files.list_backups(spark, folder).collect()] == ["three", "two", "one"]
+    assert backup.verify(spark, folder, "two") and backup.metadata(spark, folder, "two")["rows"] == 3
+    bad = spark.read.parquet(f"{folder}/two.data").withColumn("payload", F.lit("x")).toPandas()
+    spark.createDataFrame(bad, "doc_id long, seq long, op string, payload string, _crc long").write.mode("overwrite").parquet(f"{folder}/two.data")
+    assert not backup.verify(spark, folder, "two")
+    with pytest.raises(Exception, match="damaged"):
+        rows()
+    with pytest.raises(FileNotFoundError):
+        rows(until=1)
+
+
+def test_workloads(spark):
+    log = workload.accesses(spark, 20_000, 100, exponent=1.1, seed=3)
+    n = {r.doc_id: r["count"] for r in log.groupBy("doc_id").count().collect()}
+    assert sum(n.values()) == 20_000 and set(n) <= set(range(100)) and n[0] > n[5] > n[40]
+    assert log.exceptAll(workload.accesses(spark, 20_000, 100, exponent=1.1, seed=3).repartition(3)).count() == 0
+    assert workload.accesses(spark, 1000, 10, exponent=1.0).where("doc_id < 0 OR doc_id > 9").count() == 0
+    other = workload.accesses(spark, 4_000, 100, cold=0.5, spike=(1_000, 2_000, 77), every=2_000).groupBy((F.col("pos") / 1000).cast("int").alias("k"), "doc_id").count()
+    top = {k: max((r for r in other.collect() if r.k == k), key=lambda r: r["count"]).doc_id for k in range(4)}
+    assert (top[0], top[1], top[2]) == (0, 77, 12)
+    pools = spark.createDataFrame([(d, p, 10 * d + p) for d in range(5) for p in range(3)], "doc_id long, place long, query_id long")
+    asked = workload.paraphrases(log, pools, sticky=0.6).collect()
+    assert len(asked) == 20_000 and all((r.query_id is None) == (r.doc_id >= 5) and (r.query_id is None or r.query_id // 10 == r.doc_id) for r in asked)
+    first = [r.query_id % 10 == 0 for r in asked if r.doc_id < 5]
+    assert 0.68 < sum(first) / len(first) < 0.79
