@@ -8,8 +8,8 @@ indexed value of some segment. Where p = 0, K segments may go unindexed: each se
 commonest subsets, in one global order, and of K + 1 equal subsets the rarest stays in both. So subsets of a
 passage that very many documents hold are left to the documents that have nothing else. (m, p, K) comes
 from a cost model with the number of documents in the band: values written plus pairs met by chance. Deletions compete in every
-group; counted on a table of 47,000 sets, they wrote 1.01 to 9 times the values of subsets alone in each of its 44 groups and
-saved fewer pairs than that, so a plan with them is rare.
+group; counted on a table of 47,000 sets, they wrote 1.002 to 6.4 times the values of subsets alone in each of its 44 groups and
+saved fewer pairs than the values that they added, so a plan with them is rare.
 
 Passes over the texts: one sends the signatures to shards by hash, where those that two different
 sets share are found and sent back to the batches that have them; one writes

@@ -590,6 +590,47 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.pack(spark, d.limit(0), str(tmp_path)).count() == 0
 
 
+def kept_lines(rows):
+    """The texts after brute-force line dedup, as brute_lines judges them."""
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    held = {}
+    for d, t in rows:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            if len(k) >= 40:
+                held.setdefault(k, []).append(d)
+    return [(d, "\n".join(x for x in (t or "").split("\n") if len(held.get(key(x), [])) < 5 or d == max(held[key(x)]))) for d, t in rows]
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage's rows on the smallest tables; of the classifier's stage, that they are those its scores keep."""
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = lambda df: sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    stages = dict(corpus_pipeline.STAGES)
+    model = quality.train(d, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(False))
+    want = rows(quality.scored(d, model).where(F.col("score") >= corpus_pipeline.LEAST_QUALITY))
+    got = stages["quality_filter"](spark, d, SF)
+    assert rows(got) == want and 0 < len(want) < d.count()
+    got = stages["repeated_lines"](spark, got, SF).persist()
+    want = sorted(kept_lines(want))
+    assert rows(got) == want and all(r.n_chars == len(r.text) for r in got.collect())
+    got = stages["near_duplicates"](spark, got, SF).persist()
+    groups = brute_components(want, 5, 8, 10)
+    fewer = [r for i, r in enumerate(want) if groups[i][1] == r[0]]
+    assert rows(got) == fewer and len(fewer) < len(want)
+    got = stages["benchmark_passages"](spark, got, SF).persist()
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = []
+    for r in fewer:
+        (_, n_words, n_hit, _, bad) = next(iter(brute_contamination([r], bench)))
+        clean += [r] if n_hit < 13 and not bad else []
+    assert rows(got) == clean and len(clean) < len(fewer)
+    out = stages["pack"](spark, got, SF).collect()
+    assert Counter({i: len(words(t)) + 1 for i, t in clean}) == sum((Counter({r.doc_id: r.n_tokens}) for r in out), Counter())
+    assert all(r.bin_offset + r.n_tokens <= r.bin_length for r in out)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
