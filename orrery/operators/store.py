@@ -21,13 +21,12 @@ def problem(id_: Column, embedding: Column, dimension: int | None = None) -> Col
 def latest(changes: DataFrame, key: str = "doc_id", order: str = "seq") -> DataFrame:
     """Each key's row of the largest order, deletes left out; versions count from the last delete. Aggregates only: no key's history is sorted."""
     others = [c for c in changes.columns if c != key]
-    is_delete = F.col("op") == "delete"
-    every = changes.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_last"), F.max(F.when(is_delete, F.col(order))).alias("_gone"), F.count("*").alias("_all")).where("_last.op <> 'delete'")
-    # all versions count where no delete came; only keys with one need a second look, at two columns
-    gone = every.where("_gone IS NOT NULL").select(F.col(key).alias("_key"), "_gone")
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_last"), F.count("*").alias("_all")).where("_last.op <> 'delete'")
+    # all versions count where no delete came; keys with one are looked at again, at two columns
+    gone = changes.where("op = 'delete'").groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_gone"))
     after = changes.select(key, order).join(gone, F.col(key).eqNullSafe(F.col("_key"))).where(F.col(order) > F.col("_gone")).groupBy("_key").agg(F.count("*").alias("_after"))
-    out = every.join(after, F.col(key).eqNullSafe(F.col("_key")), "left")
-    return out.select(key, *(F.col(f"_last.{c}").alias(c) for c in others), F.when(F.col("_gone").isNull(), F.col("_all")).otherwise(F.col("_after")).alias("version"))
+    out = last.join(after, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return out.select(key, *(F.col(f"_last.{c}").alias(c) for c in others), F.coalesce("_after", "_all").alias("version"))
 
 
 def lookup(docs: DataFrame, ids: DataFrame) -> DataFrame:
