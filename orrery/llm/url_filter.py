@@ -65,7 +65,7 @@ def _sorted_rules(shard, t):
     host, path, verdict = (t.column(c).to_pylist() for c in ("host", "path", "verdict"))
     rows = sorted({(int(k), h, p, v) for k, h, p, v in zip(keys.tolist(), host, path, verdict, strict=True)}, key=lambda r: (*r[:3], r[3] != "allow", r[3]))
     best = [r for i, r in enumerate(rows) if not i or r[:3] != rows[i - 1][:3]]
-    texts = [x.encode() for r in best for x in r[1:]]  # host, path and verdict of each rule
+    texts = [x.encode() for _, h, p, v in best for x in (f"{h}\0", f"{p}\0", v)]
     stats = {"hosts": sorted({len(r[1]) for r in best}), "paths": sorted({len(r[2]) for r in best})}
     return {"key": np.array([r[0] for r in best], np.uint64), "texts": np.frombuffer(b"".join(texts), np.uint8), "off": np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64), "stats": stats}
 
@@ -94,7 +94,7 @@ def _judge(store: S.Store, shards: int, hosts: list[int], paths: list[int], defa
                 at = int(np.searchsorted(keys, key[j]))
                 while at < len(keys) and keys[at] == key[j]:
                     host, path, verdict = (texts[off[3 * at + i] : off[3 * at + i + 1]].tobytes().decode() for i in range(3))
-                    if (host, path) == (h, p):
+                    if (host[:-1], path[:-1]) == (h, p):
                         best[owner[j]] = max(best[owner[j]], (len(h) + len(p), len(h), h + p, verdict), key=lambda x: x[:2])
                         break
                     at += 1
