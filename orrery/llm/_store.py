@@ -203,8 +203,8 @@ BLOCKS = "shard int, n int, block binary"
 def blocks(shard: np.ndarray, *cols: np.ndarray, rising: bool = False):
     """Record batches with one row for each shard: its values of all columns, one column after the other.
 
-    A column goes byte by byte, all lowest bytes first: the high ones are alike, so Spark's compression leaves little of
-    them. rising: the first column rises within each shard and goes as differences.
+    rising: the first column rises within each shard and goes as differences, and all go byte by byte, the lowest bytes first: the
+    high ones of small numbers are alike, so Spark's compression leaves little of them.
     """
     import pyarrow as pa
 
@@ -217,7 +217,8 @@ def blocks(shard: np.ndarray, *cols: np.ndarray, rising: bool = False):
         parts = [c[a:b] for c in cols]
         if rising:
             parts[0] = np.diff(parts[0], prepend=parts[0].dtype.type(0))
-        data.append(b"".join(np.ascontiguousarray(p).view(np.uint8).reshape(b - a, -1).T.tobytes() for p in parts))
+            parts = [np.ascontiguousarray(p).view(np.uint8).reshape(b - a, -1).T for p in parts]
+        data.append(b"".join(p.tobytes() for p in parts))
     yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(data, pa.binary())], ["shard", "n", "block"])
 
 
@@ -228,7 +229,10 @@ def unblock(t, *types, rising: bool = False) -> tuple[np.ndarray, ...]:
         at = 0
         for i, (part, kind) in enumerate(zip(parts, types, strict=True)):
             size = np.dtype(kind).itemsize
-            col = np.ascontiguousarray(np.frombuffer(block, np.uint8, n * size, at).reshape(size, n).T).view(kind)[:, 0]
-            part.append(np.cumsum(col, dtype=kind) if rising and not i else col)
+            if rising:
+                col = np.ascontiguousarray(np.frombuffer(block, np.uint8, n * size, at).reshape(size, n).T).view(kind)[:, 0]
+                part.append(col if i else np.cumsum(col, dtype=kind))
+            else:
+                part.append(np.frombuffer(block, kind, n, at))
             at += n * size
     return tuple(np.concatenate([np.zeros(0, k), *p]).astype(k, copy=False) for p, k in zip(parts, types, strict=True))

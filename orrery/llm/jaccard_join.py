@@ -173,7 +173,7 @@ def _signature_rows(words: int, edges, plan, shards: int):
             edge[1:-1] = sig[1:] != sig[:-1]
             keep = edge[:-1] | edge[1:]
             sig, c = sig[keep], c[keep]
-            for out in S.blocks(_shard(sig, shards), sig, c, rising=True):
+            for out in S.blocks(_shard(sig, shards), sig, c):
                 every = [pa.array(np.full(out.num_rows, v, kind)) for v, kind in ((task, np.int32), (k, np.int32), (mark, np.int64))]
                 yield pa.RecordBatch.from_arrays([*out.columns, *every], [*out.schema.names, "task", "batch", "print"])
 
@@ -188,7 +188,7 @@ def _shared(uri: str):
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        sig, cls = S.unblock(table, X.U, np.int64, rising=True)
+        sig, cls = S.unblock(table, X.U, np.int64)
         order = np.argsort(sig)
         by, c = sig[order], cls[order]
         first = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
