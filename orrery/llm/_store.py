@@ -7,6 +7,9 @@ arrays are fetched to the worker's temporary folder and deleted there once mappe
 
 from __future__ import annotations
 
+import json
+import math
+import mmap
 import os
 import re
 import tempfile
@@ -84,11 +87,33 @@ def _local(uri: str) -> str | None:
 
 def put(uri: str, array: np.ndarray) -> None:
     """Write an array as .npy. Safe to repeat."""
+    _write(uri, lambda f: np.save(f, array))
+
+
+def put_all(uri: str, arrays: dict[str, np.ndarray]) -> None:
+    """Write arrays into one file: the head's length, the head (dtype, shape and place of each array), the arrays. Safe to repeat."""
+    arrays = {name: np.ascontiguousarray(a) for name, a in arrays.items()}
+    head, at = {}, 0
+    for name, a in arrays.items():
+        head[name] = [a.dtype.str, a.shape, at]
+        at += -(-a.nbytes // 64) * 64
+    text = json.dumps(head).encode()
+    text += b" " * (-(8 + len(text)) % 64)
+
+    def save(f):
+        f.write(len(text).to_bytes(8, "little") + text)
+        for a in arrays.values():
+            f.write(a.tobytes() + bytes(-a.nbytes % 64))
+
+    _write(uri, save)
+
+
+def _write(uri: str, save) -> None:
     if path := _local(uri):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         tmp = f"{path}.{uuid.uuid4().hex}"
         with open(tmp, "wb") as f:
-            np.save(f, array)
+            save(f)
         os.replace(tmp, path)
         return
     from pyarrow import fs
@@ -97,11 +122,13 @@ def put(uri: str, array: np.ndarray) -> None:
     store.create_dir(os.path.dirname(path), recursive=True)
     tmp = f"{path}.{uuid.uuid4().hex}"
     with store.open_output_stream(tmp) as f:
-        np.save(f, array)
+        save(f)
     store.move(tmp, path)
 
 
-_OPEN: dict[str, np.ndarray] = {}
+_OPEN: dict = {}
+#: Files that a worker keeps open. Each is one mapping, of which Linux grants a process 65,530.
+MOST_OPEN = 32768
 
 
 def get(uri: str, absent: np.ndarray | None = None) -> np.ndarray:
@@ -113,10 +140,19 @@ def get(uri: str, absent: np.ndarray | None = None) -> np.ndarray:
             return get(uri)
         except FileNotFoundError:
             return absent
-    while len(_OPEN) >= 4096:  # the one opened first goes
+    return _opened(uri, _mapped)
+
+
+def get_all(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of put_all's file, memory-mapped as one; each worker process opens a file once."""
+    return _OPEN[uri] if uri in _OPEN else _opened(uri, _mapped_all)
+
+
+def _opened(uri: str, mapped):
+    while len(_OPEN) >= MOST_OPEN:  # the one opened first goes
         _OPEN.pop(next(iter(_OPEN)))
     if path := _local(uri):
-        array = _mapped(path)
+        array = mapped(path)
     else:
         from pyarrow import fs
 
@@ -126,7 +162,7 @@ def get(uri: str, absent: np.ndarray | None = None) -> np.ndarray:
             with os.fdopen(fd, "wb") as out, store.open_input_stream(path) as f:
                 while block := f.read(1 << 20):
                     out.write(block)
-            array = _mapped(tmp)
+            array = mapped(tmp)
         finally:
             os.unlink(tmp)  # the mapping keeps the pages
     _OPEN[uri] = array
@@ -139,6 +175,13 @@ def _mapped(path: str) -> np.ndarray:
     return np.load(path, mmap_mode="r")
 
 
+def _mapped_all(path: str) -> dict[str, np.ndarray]:
+    with open(path, "rb") as f:
+        data = f.read() if os.path.getsize(path) <= 4096 else mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    start = 8 + int.from_bytes(data[:8], "little")
+    return {name: np.frombuffer(data, kind, math.prod(shape), start + at).reshape(shape) for name, (kind, shape, at) in json.loads(data[8:start]).items()}
+
+
 def find(keys: np.ndarray, probe: np.ndarray) -> np.ndarray:
     """Where each probe stands in the sorted keys, -1 where it is absent. The probes go in rising order, so pages are read once."""
     if not len(keys) or not len(probe):
@@ -162,19 +205,22 @@ class Store:
     def array(self, shard: int, name: str) -> np.ndarray:
         return get(f"{self.uri}/{shard}-{name}.npy")
 
+    def arrays(self, shard: int) -> dict[str, np.ndarray]:
+        """All of a shard that was built with `together`."""
+        return get_all(f"{self.uri}/{shard}.arrays")
+
     @property
     def rows(self) -> int:
         return sum(self.sizes.values())
 
 
-def build(df: DataFrame, shards: int, arrays, uri: str, extra: str = "") -> tuple[Store, list]:
+def build(df: DataFrame, shards: int, arrays, uri: str, extra: str = "", together: bool = False) -> tuple[Store, list]:
     """Write one set of arrays for each value of df's column `shard`.
 
     arrays(shard, table) gets a shard's rows as a pyarrow table and returns its arrays by name, of which
     `key` gives its size; `stats`, if there, is a short dict of numbers that goes to the driver. A shard
-    must fit a task: the caller deals by a hash, and more shards for more rows.
+    must fit a task: the caller deals by a hash, and more shards for more rows. together: a shard's arrays are one file.
     """
-    import json
 
     def write(batches):  # of one shard, as the shard's number is the task's
         import pyarrow as pa
@@ -187,7 +233,9 @@ def build(df: DataFrame, shards: int, arrays, uri: str, extra: str = "") -> tupl
         for shard in pc.unique(ids).to_pylist():
             out = arrays(shard, table.filter(pc.equal(ids, shard)).combine_chunks())
             stats = out.pop("stats", {})
-            for name, a in out.items():
+            if together:
+                put_all(f"{uri}/{shard}.arrays", out)
+            for name, a in () if together else out.items():
                 put(f"{uri}/{shard}-{name}.npy", a)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(out["key"])], pa.int64()), "stats": [json.dumps(stats)]})
 

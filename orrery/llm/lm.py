@@ -66,15 +66,27 @@ class Level:
     shards: int
     d: np.ndarray
 
-    def counts(self, key: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Of each (context, word)."""
-        out = np.zeros(len(key), np.int64)
-        for s, at in by_shard(gram_shard(key, w, self.shards), self.grams.sizes):
-            a = lambda name, s=s: self.grams.array(s, name)
-            pos = S.find(a("key"), key[at])
-            at, pos = at[pos >= 0], pos[pos >= 0]
-            lo, hi = a("off")[pos].astype(np.int64), a("off")[pos + 1].astype(np.int64)
-            end, words, want = hi.copy(), a("w"), w[at]
+    def look(self, key: np.ndarray, first: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (sum, n1, n2, n3+) of contexts, zero for unknown ones, and the counts of words after them: those after context i are
+        w[first[i] : first[i + 1]]. The keys of cold contexts rise, as do those of hot ones.
+
+        A shard is asked once, for its cold contexts with all their words and for the words of hot ones that it was dealt.
+        """
+        totals, counts = np.zeros((len(key), 4), np.int64), np.zeros(len(w), np.int64)
+        size = np.diff(first)
+        hot, cold = np.flatnonzero(key >= HOT), np.flatnonzero(key < HOT)
+        dealt, owner = spread(first[hot], size[hot]), np.repeat(hot, size[hot])
+        probe = np.concatenate([key[cold], key[owner]])
+        begin, many = np.concatenate([first[cold], dealt]), np.concatenate([size[cold], np.ones(len(dealt), np.int64)])
+        for s, at in by_shard(np.concatenate([gram_shard(key[cold], None, self.shards), gram_shard(key[owner], w[dealt], self.shards)]), self.grams.sizes):
+            a = self.grams.arrays(s)
+            at, pos = rising_hits(a["key"], probe[at], at)
+            lo, hi = a["off"][pos].astype(np.int64), a["off"][pos + 1].astype(np.int64)
+            own = np.searchsorted(at, len(cold))  # the cold ones come first
+            totals[cold[at[:own]]] = sums_at(a, pos[:own], lo[:own], hi[:own])
+            asked = spread(begin[at], many[at])
+            lo, end, words, want = np.repeat(lo, many[at]), np.repeat(hi, many[at]), a["w"], w[asked]
+            hi = end.copy()
             busy = np.flatnonzero(lo < hi)
             while len(busy):  # a binary search in all slices at once
                 mid = (lo[busy] + hi[busy]) >> 1
@@ -83,33 +95,12 @@ class Level:
                 busy = busy[lo[busy] < hi[busy]]
             hit = np.flatnonzero(lo < end)
             hit = hit[words[lo[hit]] == want[hit]]
-            out[at[hit]] = counts_at(a, lo[hit])
-        return out
-
-    def totals(self, key: np.ndarray) -> np.ndarray:
-        """Rows (sum, n1, n2, n3+) of contexts, zero for unknown ones."""
-        out = np.zeros((len(key), 4), np.int64)
-        hot = key >= HOT
-        cold = np.flatnonzero(~hot)
-        for s, at in by_shard(gram_shard(key[cold], None, self.shards), self.grams.sizes):
-            a = lambda name, s=s: self.grams.array(s, name)
-            at = cold[at]
-            pos = S.find(a("key"), key[at])
-            at, pos = at[pos >= 0], pos[pos >= 0]
-            lo = a("off")[pos].astype(np.int64)
-            size = a("off")[pos + 1].astype(np.int64) - lo
-            wide = np.flatnonzero(size > WIDE)
-            out[at[wide]] = a("wide")[np.searchsorted(a("wide_at"), pos[wide])]
-            few = np.flatnonzero(size <= WIDE)
-            if len(few):
-                first = np.concatenate([[0], np.cumsum(size[few])])
-                n = counts_at(a, np.repeat(lo[few] - first[:-1], size[few]) + np.arange(first[-1]))
-                out[at[few]] = sums_of(n, first[:-1])
-        hot = np.flatnonzero(hot)
+            counts[asked[hit]] = counts_at(a, lo[hit])
         for s, at in by_shard(gram_shard(key[hot], None, self.shards, True), self.sums.sizes):
-            pos = S.find(self.sums.array(s, "key"), key[hot[at]])
-            out[hot[at[pos >= 0]]] = self.sums.array(s, "sums")[pos[pos >= 0]]
-        return out
+            a = self.sums.arrays(s)
+            at, pos = rising_hits(a["key"], key[hot[at]], at)
+            totals[hot[at]] = a["sums"][pos]
+        return totals, counts
 
 
 #: The bit of a context's key that tells that it's hot. Ids are below 2^31, so it is free.
@@ -121,13 +112,31 @@ LOW32 = X.U(0xFFFFFFFF)
 
 def by_shard(of: np.ndarray, sizes: dict[int, int]):
     """(shard, places) of each shard that is hit and there."""
+    if not len(of):
+        return
+    if of.max() < 1 << 16:  # short integers are sorted by their digits
+        of = of.astype(np.uint16)
     order = np.argsort(of, kind="stable")
-    ids, starts = np.unique(of[order], return_index=True)
-    for s, a, b in zip(ids.tolist(), starts, np.append(starts, len(order))[1:], strict=True):
+    of = of[order]
+    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    for s, a, b in zip(of[starts].tolist(), starts, np.append(starts, len(order))[1:], strict=True):
         if s in sizes:
             yield s, order[a:b]
 
 
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def rising_hits(keys: np.ndarray, probe: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rising probes those that the sorted keys have: their `at`, and their places."""
+    pos = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
+    hit = np.flatnonzero(keys[pos] == probe)
+    return at[hit], pos[hit]
+
+
 def gram_shard(key: np.ndarray, w: np.ndarray | None, shards: int, sums: bool = False) -> np.ndarray:
     """By the context, or in a hot one, but for its sums, by the word too."""
     h = X.mix(key)
@@ -141,13 +150,34 @@ def sums_of(n: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (n, n == 1, n == 2, n >= 3)], 1) if len(n) else np.zeros((0, 4), np.int64)
 
 
-def counts_at(a, at: np.ndarray) -> np.ndarray:
-    n = a("n")[at].astype(np.int64)
+def counts_at(a: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    n = a["n"][at].astype(np.int64)
     large = np.flatnonzero(n == 255)
-    n[large] = a("large")[np.searchsorted(a("large_at"), at[large])]
+    n[large] = a["large"][np.searchsorted(a["large_at"], at[large])]
     return n
 
 
+def sums_at(a: dict[str, np.ndarray], pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Rows (sum, n1, n2, n3+) of a shard's contexts with words from lo to hi."""
+    out, size = np.empty((len(pos), 4), np.int64), hi - lo
+    wide, few = np.flatnonzero(size > WIDE), np.flatnonzero(size <= WIDE)
+    out[wide] = a["wide"][np.searchsorted(a["wide_at"], pos[wide])]
+    out[few] = sums_of(counts_at(a, spread(lo[few], size[few])), np.cumsum(size[few]) - size[few])
+    return out
+
+
+@dataclass
+class Grams:
+    """A batch's different n-grams of one order, in the order of context and last word."""
+
+    context: np.ndarray  # of each: its context, of those in key and known
+    last: np.ndarray  # of each: its last word, of the batch's different words
+    below: np.ndarray  # of each: the n-gram, or word, without the first word, of those of the order below
+    place: np.ndarray  # of each token: the n-gram that ends there
+    key: np.ndarray  # of contexts
+    known: np.ndarray  # of contexts: whether all words are known
+
+
 @dataclass
 class Model:
     order: int
@@ -171,43 +201,42 @@ class Model:
         """Ids (-1: unknown) and training counts of distinct hashes in rising order."""
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         for s, at in by_shard(vocab_shard(h, self.shards), self.vocab.sizes):
-            pos = S.find(self.vocab.array(s, "key"), h[at])
-            ids[at] = np.where(pos < 0, -1, pos + self.offsets[s])
-            counts[at] = np.where(pos < 0, 0, self.vocab.array(s, "c")[pos])
+            a = self.vocab.arrays(s)
+            at, pos = rising_hits(a["key"], h[at], at)
+            ids[at], counts[at] = pos + self.offsets[s], a["c"][pos]
         return ids, counts
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Training counts of ids; the start has one for each text."""
         out = np.full(len(ids), self.texts, np.int64)
         for s, at in by_shard(np.searchsorted(self.offsets, ids, "right") - 1, self.vocab.sizes):
-            out[at] = self.vocab.array(s, "c")[ids[at] - self.offsets[s]]
+            out[at] = self.vocab.arrays(s)["c"][ids[at] - self.offsets[s]]
         return out
 
     def befores(self, ids: np.ndarray) -> np.ndarray:
         out, known = np.zeros(len(ids), np.int64), np.flatnonzero(ids >= 0)
         for s, at in by_shard(np.searchsorted(self.offsets, ids[known], "right") - 1, self.before.sizes):
             at = known[at]
-            out[at] = self.before.array(s, "n")[ids[at] - self.offsets[s]]
-        return out
-
-    def shifted(self, x: np.ndarray, off: np.ndarray, by: int, start: int) -> np.ndarray:
-        """x of the token `by` places before each token of its text, `start` before the first."""
-        out = np.full(len(x), start, x.dtype)
-        out[by:] = x[:-by]
-        some = np.diff(off) > 0
-        first, ends = off[:-1][some], off[1:][some]
-        for k in range(by):
-            at = first + k
-            out[at[at < ends]] = start
+            out[at] = self.before.arrays(s)["n"][ids[at] - self.offsets[s]]
         return out
 
-    def contexts(self, ids: np.ndarray, c: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the n - 1 tokens before each token, and whether all are known."""
-        v, cv = self.shifted(ids, off, 1, self.size), self.shifted(c, off, 1, self.texts)
-        if n == 2:
-            return key_of(v, cv >= self.heavy), v >= 0
-        u, cu = self.shifted(ids, off, 2, self.size), self.shifted(c, off, 2, self.texts)
-        return key_of((u << 32) | (v & 0xFFFFFFFF), np.minimum(cu, cv) >= self.heavy), (u >= 0) & (v >= 0)
+    def grams(self, ids: np.ndarray, c: np.ndarray, at: np.ndarray, off: np.ndarray):
+        """The n-grams of order 2 and up of texts; at: each token's place among the different words, whose ids and counts are given."""
+        raw, known, least, place = np.append(ids, self.size), np.append(ids >= 0, True), np.append(c, self.texts), at
+        for n in range(2, self.order + 1):
+            context = np.empty_like(place)
+            context[1:] = place[:-1]
+            context[off[:-1]] = len(raw) - 1  # only starts
+            code, held = np.unique(context * len(ids) + at, return_inverse=True)
+            context, last = np.divmod(code, len(ids))
+            below = np.empty(len(code), np.int64)
+            below[held] = place
+            place = held
+            yield Grams(context, last, below, place, key_of(raw, least >= self.heavy), known)
+            if n < self.order:  # the contexts of the next order
+                raw = np.append(raw[context] << 32 | ids[last] & 0xFFFFFFFF, self.size << 32 | self.size)
+                known = np.append(known[context] & (ids[last] >= 0), True)
+                least = np.append(np.minimum(least[context], c[last]), self.texts)
 
     def score(self, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each text: known tokens, base score, score."""
@@ -217,21 +246,20 @@ class Model:
         base = np.log10((c + 1) / (self.total + kinds))
         low = np.maximum(n - self.d_low[np.minimum(n, 3)], 0) / max(1, self.low_total)
         left = float(self.d_low[1:] @ np.array(self.low)) / self.low_total if self.low_total else 1.0
-        p = (low + left / kinds)[at]
-        for k, level in sorted(self.levels.items()):
-            key, ok = self.contexts(ids[at], c[at], off, k)
-            some = np.flatnonzero(ok)
-            kinds_of, place = np.unique(key[some], return_inverse=True)
-            t = level.totals(kinds_of)
-            spread = (t[:, 1:] @ level.d[1:]) / np.maximum(t[:, 0], 1)
-            seen = t[place, 0] > 0
-            some, place = some[seen], place[seen]
-            count = np.zeros(len(some), np.int64)
-            known = np.flatnonzero(ids[at][some] >= 0)
-            count[known] = level.counts(key[some[known]], ids[at][some[known]])
-            p[some] = np.maximum(count - level.d[np.minimum(count, 3)], 0) / t[place, 0] + spread[place] * p[some]
+        p, place = low + left / kinds, at
+        for (_, level), g in zip(sorted(self.levels.items()), self.grams(ids, c, at, off), strict=True):
+            some = np.flatnonzero(np.concatenate([[True], g.context[1:] != g.context[:-1]]))
+            some = g.context[some][g.known[g.context[some]]]
+            asked = np.flatnonzero(g.known[g.context] & (ids[g.last] >= 0))
+            t, found = level.look(g.key[some], np.searchsorted(g.context[asked], np.append(some, len(g.key))), ids[g.last[asked]])
+            total, rest, count = np.zeros(len(g.key), np.int64), np.zeros(len(g.key)), np.zeros(len(g.last), np.int64)
+            total[some], rest[some], count[asked] = t[:, 0], (t[:, 1:] @ level.d[1:]) / np.maximum(t[:, 0], 1), found
+            p, place = p[g.below], g.place
+            seen = np.flatnonzero(total[g.context])
+            of, count = g.context[seen], count[seen]
+            p[seen] = np.maximum(count - level.d[np.minimum(count, 3)], 0) / total[of] + rest[of] * p[seen]
         add = lambda v: np.add.reduceat(v, off[:-1])
-        return add((c[at] > 0).astype(np.int64)), add(base[at]), add(np.log10(p))
+        return add((c[at] > 0).astype(np.int64)), add(base[at]), add(np.log10(p)[place])
 
 
 def key_of(context: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -269,11 +297,15 @@ def summed(key: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, .
 def _grams(m: Model):
     def f(batches):
         for b in X.pieces(batches):
+            if not b.num_rows:
+                continue
             h, off = tokens(b.column("text"))
             u, at = np.unique(h, return_inverse=True)
             ids, c = m.ids(u)
-            key, _ = m.contexts(ids[at], c[at], off, m.order)
-            key, w, n = summed(key, ids[at].astype(np.uint32), np.ones(len(key), np.int64))
+            *_, g = m.grams(ids, c, at, off)
+            key, n = g.key[g.context], np.bincount(g.place)
+            order = np.concatenate([np.flatnonzero(key < HOT), np.flatnonzero(key >= HOT)])  # rising keys
+            key, w, n = key[order], ids[g.last[order]].astype(np.uint32), n[order]
             yield from S.blocks(gram_shard(key, w, m.shards), key, w, n.astype(np.uint32), rising=True)
 
     return f
@@ -292,9 +324,9 @@ def _arrays(shard, t):
 
 def _stored(grams: S.Store, shard: int) -> tuple[np.ndarray, ...]:
     """A shard's n-grams: (key, w, n)."""
-    a = lambda name: grams.array(shard, name)
-    size = np.diff(a("off").astype(np.int64))
-    return np.repeat(np.asarray(a("key")), size), np.asarray(a("w")), counts_at(a, np.arange(int(size.sum())))
+    a = grams.arrays(shard)
+    size = np.diff(a["off"].astype(np.int64))
+    return np.repeat(a["key"], size), a["w"], counts_at(a, np.arange(int(size.sum())))
 
 
 def _each(grams: S.Store, use):
@@ -362,7 +394,7 @@ def train(texts: DataFrame, *, order: int = 3) -> Model:
     texts = texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     about = texts.agg(F.count("*").alias("n"), (F.sum(F.length("text")) / 6).alias("w")).first()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((about.w or 0) / WORDS_PER_SHARD) + 1)
-    vocab, stats = S.build(texts.mapInArrow(_words(shards), S.BLOCKS), shards, _vocab, f"{home}/vocab")
+    vocab, stats = S.build(texts.mapInArrow(_words(shards), S.BLOCKS), shards, _vocab, f"{home}/vocab", together=True)
     offsets = np.concatenate([[0], np.cumsum([vocab.sizes.get(s, 0) for s in range(shards)])]).astype(np.int64)
     if offsets[-1] >= 1 << 31:
         raise ValueError("more than 2^31 different words")
@@ -372,11 +404,11 @@ def train(texts: DataFrame, *, order: int = 3) -> Model:
     every = spark.range(0, shards, 1, shards)
     blocks = texts.mapInArrow(_grams(m), S.BLOCKS)
     for n in range(order, 1, -1):
-        grams, stats = S.build(blocks, shards, _arrays, f"{home}/grams{n}")
-        hot, _ = S.build(every.mapInArrow(_each(grams, _hot_sums(shards)), S.BLOCKS), shards, _sum_arrays, f"{home}/sums{n}")
+        grams, stats = S.build(blocks, shards, _arrays, f"{home}/grams{n}", together=True)
+        hot, _ = S.build(every.mapInArrow(_each(grams, _hot_sums(shards)), S.BLOCKS), shards, _sum_arrays, f"{home}/sums{n}", together=True)
         m.levels[n] = Level(grams, hot, shards, discounts([sums(stats, k) for k in "1234"]))
         blocks = every.mapInArrow(_each(grams, _shorter(m) if n > 2 else _befores(m)), S.BLOCKS)
-    m.before, stats = S.build(blocks, shards, _before_arrays(np.diff(offsets).tolist()), f"{home}/before")
+    m.before, stats = S.build(blocks, shards, _before_arrays(np.diff(offsets).tolist()), f"{home}/before", together=True)
     m.d_low = discounts([sums(stats, k) for k in "1234"])
     m.low, m.low_total = [sums(stats, "1"), sums(stats, "2"), sums(stats, "more")], sums(stats, "total")
     return m

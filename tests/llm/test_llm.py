@@ -269,6 +269,39 @@ def test_lm_empty_tables(spark):
         lm.train(docs(spark, []), order=4)
 
 
+def test_lm_opens_few_files_and_asks_each_shard_once(spark, monkeypatch):
+    """What a batch does for each shard must not grow: six files, and one search in each of the two levels' n-grams."""
+    from orrery.llm import _store
+
+    own = random.Random(7)
+    texts = [" ".join(f"v{min(int(own.expovariate(0.02)), 300)}" for _ in range(60)) for _ in range(60)]
+    monkeypatch.setattr(lm, "LEAST_HEAVY", 20)
+    model = lm.train(docs(spark, list(enumerate(texts))))
+    assert all(level.grams.sizes and level.sums.sizes for level in model.levels.values())
+    monkeypatch.setattr(_store, "_OPEN", {})
+    asked, by_shard = [], lm.by_shard
+    monkeypatch.setattr(lm, "by_shard", lambda of, sizes: (asked.append(s) or (s, at) for s, at in by_shard(of, sizes)))
+    c, p = brute_lm(texts, 3)
+    scored = texts[:20] + ["", "unseen v1 v2 unseen", "v1 v1 v1"]
+    h, off = lm.tokens(pa.array(scored))
+    known, _, score = model.score(h, off)
+    assert len(_store._OPEN) <= 6 * model.shards and max(Counter(asked).values()) <= 6
+    assert known.tolist() == [sum(c[w] > 0 for w in [*words(t), "\0end"]) for t in scored]
+    for t, got in zip(scored, score, strict=True):
+        full = ["\0start"] * 2 + [*words(t), "\0end"]
+        assert got == pytest.approx(sum(math.log10(p(tuple(full[k : k + 2]), full[k + 2])) for k in range(len(full) - 2)))
+
+
+def test_arrays_of_one_file(tmp_path):
+    from orrery.llm import _store
+
+    for n in (0, 5, 5000):  # read whole, and mapped
+        some = {"none": np.zeros((0, 4), np.int64), "flags": np.arange(n) % 3 == 0, "table": np.arange(n * 4).reshape(n, 4), "short": np.arange(n).astype(np.uint8), "last": np.zeros(0, np.uint32)}
+        _store.put_all(f"file://{tmp_path}/{n}.arrays", some)
+        got = _store.get_all(f"file://{tmp_path}/{n}.arrays")
+        assert list(got) == list(some) and all(got[k].dtype == a.dtype and got[k].shape == a.shape and (got[k] == a).all() for k, a in some.items())
+
+
 def brute_contamination(rows, items):
     w = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = {}
