@@ -2,12 +2,14 @@
 
 The corpus is never shuffled: each task compares its rows with a block of queries by array arithmetic and
 keeps k for each query, so the one shuffle carries k rows for each task and query. Queries go out in blocks of
-a bounded size; more queries than one block are more passes over the corpus, in one plan.
+a bounded size; more queries than one block are more passes over the corpus, in one plan. A task compares tiles of a batch
+and a block, of HELD distances each, so its working memory grows neither with the queries nor with the batches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,6 +24,8 @@ from .filters import Always, compiled, search_width
 
 METRICS = ("cosine", "euclidean", "inner_product")
 MOST_K, MOST_QUERIES, BLOCK = 10_000, 100_000, 4_096
+#: Distances or components that are worked on at once.
+HELD = 1 << 20
 
 
 def check(k: int, metric: str) -> None:
@@ -31,6 +35,12 @@ def check(k: int, metric: str) -> None:
         raise ValueError(f"unknown metric {metric}")
 
 
+def tiles(n: int, each: int) -> Iterator[slice]:
+    """All of n rows with `each` numbers a row, in pieces of at most HELD numbers, or one row."""
+    step = max(1, HELD // max(1, each))
+    return (slice(i, min(i + step, n)) for i in range(0, n, step))
+
+
 def matrix(col: pa.Array) -> np.ndarray:
     width = len(col[0]) if len(col) else 0
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -66,8 +76,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "euclidean":
-        return np.stack([np.sqrt(((x - one) ** 2).sum(1)) for one in q]) if len(q) else np.zeros((0, len(x)))
-    return np.maximum(0.0, 1.0 - q @ x.T)
+        d = np.empty((len(q), len(x)))
+        for row, one in zip(d, q, strict=True):
+            row[:] = np.sqrt(((x - one) ** 2).sum(1))
+        return d
+    d = q @ x.T
+    return np.maximum(0.0, np.subtract(1.0, d, out=d), out=d)
 
 
 def _asked(queries: DataFrame, metric: str) -> tuple[pa.Table, np.ndarray, np.ndarray]:
@@ -96,26 +110,35 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *
     asked, ids, vectors = _asked(queries.select("query_id", "embedding"), metric)
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType()), *(corpus.schema[c] for c in keep)])
 
+    def nearest_rows(d: np.ndarray, of: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in d of k distances for each query."""
+        found, at = [], []
+        for i, row in enumerate(d):
+            ok = np.flatnonzero(np.isfinite(row) & ((docs != of[i]) | (not skip_self)))
+            if len(ok) > k:  # all that tie with the k-th stay for the order by id
+                ok = ok[row[ok] <= np.partition(row[ok], k - 1)[k - 1]]
+                ok = ok[np.lexsort((docs[ok], row[ok]))[:k]]
+            found.append(np.full(len(ok), i))
+            at.append(ok)
+        return np.concatenate(found), np.concatenate(at)
+
     def part(of: np.ndarray, block: np.ndarray):
         def f(batches):
+            looked = None
             for b in batches:
-                x, fit = rows(b.column("embedding"), block.shape[1], metric) if len(of) else ((), ())
-                if not len(fit):
-                    continue
-                b = b.take(pa.array(fit))
-                docs = b.column("doc_id").to_numpy()
-                d = np.round(distances(block, x, metric) if cells is None else probed(block, x, *cells, metric), 12)
-                found, at = [], []
-                for i, row in enumerate(d):
-                    ok = np.flatnonzero(np.isfinite(row) & ((docs != of[i]) | (not skip_self)))
-                    if len(ok) > k:  # all that tie with the k-th stay for the order by id
-                        ok = ok[row[ok] <= np.partition(row[ok], k - 1)[k - 1]]
-                        ok = ok[np.lexsort((docs[ok], row[ok]))[:k]]
-                    found.append(np.full(len(ok), i))
-                    at.append(ok)
-                found, at = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (found, at))
-                take = pa.array(at.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(of[found]), b.column("doc_id").take(take), pa.array(d[found, at]), *(b.column(c).take(take) for c in keep)], schema.names)
+                for piece in tiles(b.num_rows if len(of) else 0, block.shape[1]):
+                    x, fit = rows(b.column("embedding")[piece], block.shape[1], metric)
+                    if not len(fit):
+                        continue
+                    held = b[piece].take(pa.array(fit))
+                    docs = held.column("doc_id").to_numpy()
+                    if cells is not None:
+                        groups, looked = grouped(x, cells[0]), probed(block, *cells) if looked is None else looked
+                    for tile in tiles(len(of), len(x)):
+                        d = distances(block[tile], x, metric) if looked is None else within_cells(block[tile], looked[tile], x, groups, metric)
+                        found, at = nearest_rows(np.round(d, 12, out=d), of[tile], docs)
+                        take = pa.array(at)
+                        yield pa.RecordBatch.from_arrays([pa.array(of[tile][found]), held.column("doc_id").take(take), pa.array(d[found, at]), *(held.column(c).take(take) for c in keep)], schema.names)
 
         return f
 
@@ -146,11 +169,33 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argsort(distances(centres, x, "euclidean"), 0, kind="stable").T
 
 
-def probed(q: np.ndarray, x: np.ndarray, centres: np.ndarray, probe: int, metric: str) -> np.ndarray:
-    """Distances as by distances(), infinite where a row's cell isn't one of the query's nearest; those aren't computed."""
-    d, own, looked = np.full((len(q), len(x)), np.inf), nearest(x, centres)[:, 0], nearest(q, centres)[:, :probe]
-    for c in range(len(centres)):
-        some, rows = np.flatnonzero((looked == c).any(1)), np.flatnonzero(own == c)
+def cell_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row."""
+    own = np.zeros(len(x), np.int64)
+    for t in tiles(len(x), len(centres)):
+        own[t] = distances(centres, x[t], "euclidean").argmin(0)
+    return own
+
+
+def probed(q: np.ndarray, centres: np.ndarray, probe: int) -> np.ndarray:
+    """For each query and cell, whether the cell is one of the query's nearest."""
+    looked = np.zeros((len(q), len(centres)), bool)
+    for t in tiles(len(q), len(centres)):
+        np.put_along_axis(looked[t], nearest(q[t], centres)[:, :probe], True, 1)
+    return looked
+
+
+def grouped(x: np.ndarray, centres: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The cells that have rows, and the places of these."""
+    own = cell_of(x, centres)
+    return [(c, np.flatnonzero(own == c)) for c in np.unique(own)]
+
+
+def within_cells(q: np.ndarray, looked: np.ndarray, x: np.ndarray, groups: list[tuple[int, np.ndarray]], metric: str) -> np.ndarray:
+    """Distances as by distances(), infinite where a query doesn't look into a row's cell; those aren't computed."""
+    d = np.full((len(q), len(x)), np.inf)
+    for c, rows in groups:
+        some = np.flatnonzero(looked[:, c])
         d[np.ix_(some, rows)] = distances(q[some], x[rows], metric)
     return d
 
@@ -160,7 +205,7 @@ def probes(x: np.ndarray, centres: np.ndarray, k: int, recall: float, asked: int
 
     Measured on the first `tried` rows of the sample against the whole sample; neighbours in all rows are nearer, so they are lost less often.
     """
-    k, own = min(k, len(x) - 1), nearest(x, centres)[:, 0]
+    k, own = min(k, len(x) - 1), cell_of(x, centres)
     if k < 1:
         return len(centres)
     held = []
@@ -195,7 +240,7 @@ def ivf(corpus: DataFrame, queries: DataFrame, k: int, *, cells: int | None = No
     rng = np.random.default_rng(0)
     centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(10):
-        near = distances(centres, x, "euclidean").argmin(0)
+        near = cell_of(x, centres)
         centres = np.stack([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
     held = -(-effort(k, total, candidates) * len(centres) // max(1, total))  # cells of the mean size with so many rows
     probe = max(min(held, len(centres)), probes(x, centres, k, recall, queries.count(), metric))
@@ -205,25 +250,31 @@ def ivf(corpus: DataFrame, queries: DataFrame, k: int, *, cells: int | None = No
 def threshold_counts(corpus: DataFrame, queries: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """(threshold, same, hits, pairs): all pairs of a query and another row, by equal and different labels, and how many reach each cosine.
 
-    corpus: doc_id, embedding, label; queries: query_id, embedding, label. Each batch is counted where it is read, so
-    no pair leaves its task.
+    corpus: doc_id, embedding, label; queries: query_id, embedding, label. Each task counts what it reads, so
+    no pair leaves it.
     """
     asked, ids, vectors = _asked(queries.select("query_id", "embedding", "label"), "cosine")
     labels = asked.column("label").to_numpy()
 
     def part(of: np.ndarray, own: np.ndarray, block: np.ndarray):
         def f(batches):
+            hits, pairs, seen = np.zeros((2, len(thresholds)), np.int64), np.zeros(2, np.int64), False
             for b in batches:
                 for start in range(0, b.num_rows if len(of) else 0, 1024):
-                    part_ = b.slice(start, 1024)
+                    part_, seen = b.slice(start, 1024), True
                     x, fit = rows(part_.column("embedding"), block.shape[1], "cosine")
                     part_ = part_.take(pa.array(fit))
-                    docs = part_.column("doc_id").to_numpy()
-                    cos = 1.0 - np.round(distances(block, x, "cosine"), 12)
-                    other = of[:, None] != docs
-                    same = own[:, None] == part_.column("label").to_numpy()
-                    out = [(t, s, int((cos[pick] >= t).sum()), int(pick.sum())) for s, pick in ((True, other & same), (False, other & ~same)) for t in thresholds]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["threshold", "same", "hits", "pairs"])
+                    docs, labelled = part_.column("doc_id").to_numpy(), part_.column("label").to_numpy()
+                    for tile in tiles(len(of), 1024):
+                        cos = 1.0 - np.round(distances(block[tile], x, "cosine"), 12)
+                        other, same = of[tile, None] != docs, own[tile, None] == labelled
+                        for s, pick in enumerate((other & ~same, other & same)):
+                            some = cos[pick]
+                            pairs[s] += len(some)
+                            hits[s] += [int((some >= t).sum()) for t in thresholds]
+            if seen:
+                out = [(t, bool(s), int(hits[s, i]), int(pairs[s])) for s in (0, 1) for i, t in enumerate(thresholds)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["threshold", "same", "hits", "pairs"])
 
         return f
 
@@ -253,8 +304,10 @@ def within(corpus: DataFrame, queries: DataFrame) -> DataFrame:
                     size = np.sqrt((y * y).sum(1))
                     y = y / np.where(size > 0, size, 1.0)[:, None]
                     left = np.flatnonzero(~hit)
-                    d = np.round(np.maximum(0.0, 1.0 - np.clip(block[left] @ y.T, -1.0, 1.0)), 12)
-                    hit[left] |= (d <= reach[left, None]).any(1)
+                    for tile in tiles(len(left), 1024):
+                        some = left[tile]
+                        d = np.round(np.maximum(0.0, 1.0 - np.clip(block[some] @ y.T, -1.0, 1.0)), 12)
+                        hit[some] |= (d <= reach[some, None]).any(1)
             yield pa.RecordBatch.from_arrays([pa.array(of[hit])], ["query_id"])
 
         return f

@@ -1,13 +1,15 @@
 import io
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import vector as V
 from orrery.operators import cache, filters, hotness, ops, ranking, store
 from orrery.operators.filters import And, Exact, In, Not, Or, Range
-from orrery.operators.knn import effort, ivf, knn, over_fetch
+from orrery.operators.knn import effort, ivf, knn, over_fetch, threshold_counts, within
 from orrery.sources import backup, workload
 from orrery.sources import io as files
 from orrery.streaming import jobs
@@ -184,6 +186,57 @@ def test_knn_passes_over_bad_rows(spark):
     assert ivf(c, q, 5).count() == 2 and knn(c.limit(0), q, 5).count() == 0
 
 
+def peak_mb(monkeypatch, search, corpus, batch):
+    """What `search` gives to mapInArrow, applied here to a batch: the MB at its peak, and its rows."""
+    caught = []
+    with monkeypatch.context() as m:
+        whole = type(corpus).mapInArrow
+        m.setattr(type(corpus), "mapInArrow", lambda self, f, *a: caught.append(f) or whole(self, f, *a))
+        search()
+    tracemalloc.start()
+    try:
+        out = pa.Table.from_batches(list(caught[0]([batch])))
+        return tracemalloc.get_traced_memory()[1] / 1e6, out
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """4,096 queries, and 10,000 rows as one batch of them reaches a task."""
+    x = np.random.default_rng(1).normal(size=(10_000, 8))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    ids, v = pa.array(np.arange(10_000)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float64()))
+    meta = pa.array([[("lang", "en" if i % 2 else "de")] for i in range(10_000)], pa.map_(pa.string(), pa.string()))
+    c = pa.table({"doc_id": ids, "embedding": v, "metadata": meta, "namespace": pa.array(["en"] * 10_000), "label": pa.array(np.arange(10_000) % 3)})
+    q = pa.table({"query_id": ids, "embedding": v, "label": c["label"]}).slice(0, 4_096)
+    return spark.createDataFrame(c), spark.createDataFrame(q), c.combine_chunks().to_batches()[0], np.round(np.maximum(0.0, 1.0 - x[:4_096] @ x.T), 12)
+
+
+def test_ivf_memory_does_not_grow_with_queries(monkeypatch, many):
+    c, q, batch, d = many
+    mb, got = peak_mb(monkeypatch, lambda: ivf(c, q, 10, cells=256), c, batch.select(["doc_id", "embedding"]))
+    assert mb < 100  # a matrix of all distances takes 328
+    near = np.sort(np.argpartition(d, 9, 1)[:, :10], 1)
+    found = set(zip(got["query_id"].to_pylist(), got["doc_id"].to_pylist(), strict=True))
+    assert sum((i, j) in found for i, row in enumerate(near.tolist()) for j in row) >= 0.9 * 40_960
+
+
+def test_counts_and_reach_of_many_queries(monkeypatch, many):
+    c, q, batch, d = many
+    mb, got = peak_mb(monkeypatch, lambda: threshold_counts(c, q, (0.0, 0.5)), c, batch.select(["doc_id", "embedding", "label"]))
+    assert mb < 100
+    label, other = np.arange(10_000) % 3, np.arange(4_096)[:, None] != np.arange(10_000)
+    for same in (True, False):
+        pick = other & ((label[:4_096, None] == label) == same)
+        for t in (0.0, 0.5):
+            of = [r for r in got.to_pylist() if (r["threshold"], r["same"]) == (t, same)]
+            assert (sum(r["hits"] for r in of), sum(r["pairs"] for r in of)) == ((1.0 - d[pick] >= t).sum(), pick.sum())
+    reach = np.where(np.arange(4_096) % 2, -1.0, 0.1)
+    mb, got = peak_mb(monkeypatch, lambda: within(c, q.withColumn("reach", F.when(F.col("query_id") % 2 == 1, -1.0).otherwise(0.1))), c, batch.select(["embedding"]))
+    assert mb < 100 and got["query_id"].to_pylist() == np.flatnonzero((d <= reach[:, None]).any(1)).tolist()
+
+
 def test_invalidated(spark):
     x = [1.0, 0.0]
     results = spark.createDataFrame([(1, 0.1), (1, 0.2), (2, 0.0), (2, 0.1), (3, 0.5)], "cache_id long, distance double")
