@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from orrery.functions import vector as V
 from orrery.operators import cache, filters, hotness, ops, ranking, store
 from orrery.operators.filters import And, Exact, In, Not, Or, Range
-from orrery.operators.knn import effort, ivf, knn, over_fetch, threshold_counts, within
+from orrery.operators.knn import effort, ivf, knn, knn_post_filter, over_fetch, threshold_counts, within
 from orrery.sources import backup, workload
 from orrery.sources import io as files
 from orrery.streaming import jobs
@@ -222,6 +222,15 @@ def test_ivf_memory_does_not_grow_with_queries(monkeypatch, many):
     assert sum((i, j) in found for i, row in enumerate(near.tolist()) for j in row) >= 0.9 * 40_960
 
 
+def test_search_before_filter_memory_does_not_grow_with_queries(monkeypatch, many):
+    c, q, batch, d = many
+    mb, got = peak_mb(monkeypatch, lambda: knn_post_filter(c, q, 10, In("lang", ("en", "fr"))), c, batch.select(["doc_id", "embedding", "metadata", "namespace"]))
+    assert mb < 100
+    want = np.argsort(d, 1, kind="stable")[:, :30]  # ties by doc_id, three times k
+    assert got["query_id"].to_pylist() == np.repeat(np.arange(4_096), 30).tolist() and got["doc_id"].to_pylist() == want.ravel().tolist()
+    assert all(m == [("lang", "en" if i % 2 else "de")] for i, m in zip(got["doc_id"].to_pylist(), got["metadata"].to_pylist(), strict=True))
+
+
 def test_counts_and_reach_of_many_queries(monkeypatch, many):
     c, q, batch, d = many
     mb, got = peak_mb(monkeypatch, lambda: threshold_counts(c, q, (0.0, 0.5)), c, batch.select(["doc_id", "embedding", "label"]))
